@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, probminhash
-from .common import table
+from . import decontam, probminhash, tokenout
+from .common import shared_dir, table
 
 
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,20 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file (a parameter of the operators that need one)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the token files."""
+    folder = f"{shared_dir(spark)}/tokens"
+    parts = tokenout.write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"), end_id=2)
+    return tokenout.read_tokens(spark, folder, parts)
+
+
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), n_links."""
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
