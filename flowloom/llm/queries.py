@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, probminhash, tokenout
+from . import decontam, piece_fst, probminhash, tokenout
 from .common import shared_dir, table
 
 
@@ -33,6 +33,11 @@ def op8_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenout.read_tokens(spark, folder, parts)
 
 
+def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, exact (decoding the ids gives the text back)."""
+    return piece_fst.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), n_links."""
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
