@@ -31,8 +31,8 @@ THRESHOLD = 0.8
 BANDS = 25
 ROWS = 5
 REGISTERS = BANDS * ROWS
-#: Share of equal registers below which a candidate isn't verified: 0.8 less 3.9 standard deviations.
-LEAST_EQUAL = 0.66
+#: Share of equal registers below which a candidate isn't verified: 0.8 less 2.8 standard deviations.
+LEAST_EQUAL = 0.7
 #: Members of a bucket that meet in one task.
 BLOCK = 1024
 
@@ -138,17 +138,22 @@ def _verify(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(rows: pa.Table) -> pa.Table:
-    """Pairs of one block of a bucket (or of two blocks) that signatures call alike and that are in different components."""
+    """Pairs of one block of a bucket (or of two blocks) that signatures call alike and that are in different components.
+
+    A pair that meets in several buckets is only given in that of the first band it shares.
+    """
     ids, comp, side = (np.asarray(rows.column(c).to_numpy()) for c in ("doc_id", "component", "block"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u4").reshape(-1, REGISTERS)
-    at, to = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    at, to, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
     left, right = np.flatnonzero(side == at), np.flatnonzero(side == to)
     out_a, out_b = [], []
     for x in left:
         alike = right[comp[right] != comp[x]]
         if at == to:
             alike = alike[ids[alike] > ids[x]]
-        alike = alike[(sig[alike] == sig[x]).mean(axis=1) >= LEAST_EQUAL]
+        equal = sig[alike] == sig[x]
+        first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        alike = alike[first & (equal.mean(axis=1) >= LEAST_EQUAL)]
         out_a.append(np.minimum(ids[alike], ids[x]))
         out_b.append(np.maximum(ids[alike], ids[x]))
     return pa.table({"a": np.concatenate(out_a).astype(np.int64), "b": np.concatenate(out_b).astype(np.int64)})
@@ -192,7 +197,7 @@ def near_duplicates(docs: DataFrame, work: str | None = None) -> DataFrame:
         .groupBy("digest").agg(F.first("rep").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         f"{path}/reps",
     )
-    band = reps.select("doc_id", F.explode("bands").alias("key"))
+    band = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     bucket = band.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("size")).where("size > 1")
     inside = materialise(band.join(bucket, "key"), f"{path}/inside")
     sig = reps.select("doc_id", "sig")
@@ -201,14 +206,14 @@ def near_duplicates(docs: DataFrame, work: str | None = None) -> DataFrame:
     comp = materialise(components(edges, f"{path}/first"), f"{path}/component1")
 
     # Buckets that still hold more than one component: compare their members block by block.
-    held = inside.join(comp, inside.doc_id == comp.node, "left").select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    held = inside.join(comp, inside.doc_id == comp.node, "left").select("key", "band", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
     mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("size")).where("lo <> hi and size > 2")
     rest = (
         held.drop("size").join(mixed.select("key", "size"), "key").join(sig, "doc_id")
         .withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("key", "doc_id", "component", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select("key", "band", "doc_id", "component", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     more = rest.groupBy("key", "i", "j").applyInArrow(_blocks, "a long, b long").distinct()
     more = more.join(stars, ["a", "b"], "left_anti")
