@@ -10,8 +10,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, piece_fst, probminhash, tokenout
-from .common import shared_dir, table
+from . import decontam, langid, piece_fst, probminhash, tokenout, toxicity
+from .common import crc_mod, shared_dir, table
+
+
+#: The chain's categories, in order, over the columns of `labels`; the last one is the decision.
+TOXICITY = {"nuisance": "1 - quality", "toxic": "toxic"}
+
+
+def op2_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(langid.training_rows(docs)))
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, p_nuisance, p_toxic, toxic."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), TOXICITY)
+    return toxicity.predict(docs, chain, list(TOXICITY))
 
 
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
