@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, piece_fst, probminhash, tokenout, toxicity
+from . import decontam, langid, piece_fst, probminhash, quality, tokenout, toxicity
 from .common import crc_mod, shared_dir, table
 
 
@@ -37,6 +37,14 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs.where(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
+    found = quality.predict(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file (a parameter of the operators that need one)."""
     import public_tokenizers
