@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, piece_fst, probminhash, quality, tokenout, toxicity
+from . import ann, decontam, langid, piece_fst, probminhash, quality, tokenout, toxicity
 from .common import crc_mod, shared_dir, table
 
 
@@ -18,6 +18,11 @@ from .common import crc_mod, shared_dir, table
 TOXICITY = {"nuisance": "1 - quality", "toxic": "toxic"}
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score."""
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 def op2_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     docs = table(spark, sf_dir, "documents")
