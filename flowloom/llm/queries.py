@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, html_extract, langid, piece_fst, probminhash, quality, tokenout, toxicity
+from . import ann, decontam, html_extract, katz, langid, piece_fst, probminhash, quality, tokenout, toxicity
 from .common import crc_mod, shared_dir, table
 
 
@@ -48,6 +48,11 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return katz.score(table(spark, sf_dir, "documents"), mod=5, rest=1)
+
+
 def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     docs = table(spark, sf_dir, "documents")
