@@ -30,9 +30,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 25
 ROWS = 5
-REGISTERS = BANDS * ROWS
-#: Share of equal registers below which a candidate isn't verified: 0.8 less 2.8 standard deviations.
-LEAST_EQUAL = 0.7
+#: Registers of a signature; the first BANDS * ROWS of them are the bands, all of them estimate the similarity.
+REGISTERS = 240
+#: Share of equal registers below which a candidate isn't verified: 0.8 less 3.1 standard deviations.
+LEAST_EQUAL = 0.72
 #: Members of a bucket that meet in one task.
 BLOCK = 1024
 
@@ -96,7 +97,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingles(hash_words(w, cache)) for w in texts]
             values = signatures(sets)
             short = (mix64(values) >> np.uint64(32)).astype("<u4")
-            bands = values.reshape(len(sets), BANDS, ROWS)
+            bands = values[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS)
             with np.errstate(over="ignore"):
                 key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), BANDS)).copy()
                 for k in range(ROWS):
@@ -152,7 +153,7 @@ def _blocks(rows: pa.Table) -> pa.Table:
         if at == to:
             alike = alike[ids[alike] > ids[x]]
         equal = sig[alike] == sig[x]
-        first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        first = equal[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
         alike = alike[first & (equal.mean(axis=1) >= LEAST_EQUAL)]
         out_a.append(np.minimum(ids[alike], ids[x]))
         out_b.append(np.maximum(ids[alike], ids[x]))
