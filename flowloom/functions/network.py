@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 TCP, UDP = 6, 17
 FIN, SYN, RST, PSH, ACK, URG = 1, 2, 4, 8, 16, 32
@@ -97,7 +98,7 @@ def five_tuple_hash(src_ip: Column, dst_ip: Column, src_port: Column, dst_port:
     return h
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def mix64(value: pd.Series) -> pd.Series:
     """A 64-bit finaliser; its unsigned products overflow LONG, so it runs in Arrow batches."""
     from decimal import Decimal

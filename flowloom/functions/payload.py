@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from .network import uint
 
@@ -66,7 +67,8 @@ class _Fields:
         """Passes a field with a length prefix; false if the prefix isn't there."""
         if not self.has(prefix):
             return False
-        self.at += self.number(prefix)
+        size = self.number(prefix)
+        self.at += size
         return True
 
 
@@ -130,7 +132,7 @@ def _series(walk):
         return payload.map(lambda b: walk(bytes(b)) if b is not None else None)
 
     run.__annotations__ = {"payload": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")
+    return F.pandas_udf(run, StringType())
 
 
 tls_server_name = _series(server_name)
@@ -138,7 +140,7 @@ dns_query_name = _series(dns_name)
 quic_server_name = _series(quic_name)
 
 
-@udtf(returnType="type int, body string")
+@udtf(returnType=StructType().add("type", IntegerType()).add("body", StringType()))
 class TlsExtensions:
     """Table function: one row for each extension of a client hello, its body as hex."""
 

@@ -19,40 +19,41 @@ def decode(raw: DataFrame) -> DataFrame:
     A frame isn't ok if it is shorter than Ethernet's header, or claims IPv4, TCP or UDP with a header that doesn't fit.
     Frames of other types are ok, and all beyond their Ethernet header is payload.
     """
-    data, n = F.col("data"), F.octet_length("data")
-    d = raw.withColumns({"frame_len": n, "ether_type": uint(data, 12, 2).cast("int"), "src_mac": F.when(n >= ETHERNET, mac(data, 6)), "dest_mac": F.when(n >= ETHERNET, mac(data, 0))})
-    first = uint(data, ETHERNET, 1)
-    d = d.withColumns({"_ip": F.coalesce(F.col("ether_type") == IPV4, F.lit(False)), "_version": F.floor(first / 16).cast("int"), "_header": (first.bitwiseAND(F.lit(15)) * 4).cast("int")})
-    d = d.withColumn("has_ip", F.coalesce(F.col("_ip") & (n >= ETHERNET + 20) & (F.col("_version") == 4) & (F.col("_header") >= 20) & (n >= ETHERNET + F.col("_header")), F.lit(False)))
-
-    def inside(c: Column) -> Column:
-        return F.when(F.col("has_ip"), c)
-
-    d = d.withColumns(
-        {
-            "ip_version": inside(F.col("_version")), "ttl": inside(uint(data, 22, 1)).cast("int"), "protocol": inside(uint(data, 23, 1)).cast("int"),
-            "src_ip": inside(wire_address(data, 26)), "dst_ip": inside(wire_address(data, 30)), "_at": inside(F.lit(ETHERNET) + F.col("_header")),
-        }
+    data, n = F.col("data"), F.col("frame_len")
+    base = raw.withColumn("frame_len", F.octet_length("data"))
+    d = _once(
+        base, ether_type=uint(data, 12, 2).cast("int"), _first=uint(data, ETHERNET, 1).cast("int"), _protocol=uint(data, 23, 1).cast("int"),
+        src_mac=F.when(n >= ETHERNET, mac(data, 6)), dest_mac=F.when(n >= ETHERNET, mac(data, 0)),
     )
-    at = F.col("_at")
-    d = d.withColumn("_tcp_header", F.when(F.col("protocol") == TCP, (F.floor(uint(data, at + 12, 1) / 16) * 4).cast("int")))
-    d = d.withColumns(
-        {
-            "has_tcp": F.coalesce((F.col("protocol") == TCP) & (n >= at + 20) & (F.col("_tcp_header") >= 20) & (n >= at + F.col("_tcp_header")), F.lit(False)),
-            "has_udp": F.coalesce((F.col("protocol") == UDP) & (n >= at + 8), F.lit(False)),
-        }
-    )
-    tcp, either = F.col("has_tcp"), F.col("has_tcp") | F.col("has_udp")
-    d = d.withColumns(
-        {
-            "src_port": F.when(either, uint(data, at, 2)).cast("int"), "dst_port": F.when(either, uint(data, at + 2, 2)).cast("int"),
-            "seq": F.when(tcp, uint(data, at + 4, 4)), "ack": F.when(tcp, uint(data, at + 8, 4)), "tcp_flags": F.when(tcp, uint(data, at + 13, 1)).cast("int"),
-            "payload_offset": F.when(tcp, at + F.col("_tcp_header")).when(F.col("has_udp"), at + 8).when(F.col("has_ip"), at).otherwise(F.lit(ETHERNET)),
-            "ok": (n >= ETHERNET) & (~F.col("_ip") | F.col("has_ip")) & (F.coalesce(F.col("protocol") != TCP, F.lit(True)) | tcp) & (F.coalesce(F.col("protocol") != UDP, F.lit(True)) | F.col("has_udp")),
-        }
+    first, header = F.col("_first"), F.col("_first").bitwiseAND(F.lit(15)) * 4
+    is_ip = F.col("ether_type") == IPV4
+    d = _once(d, has_ip=_true(is_ip & (n >= ETHERNET + 20) & (F.floor(first / 16) == 4) & (header >= 20) & (n >= header + ETHERNET)), _at=header + ETHERNET)
+    ip, at = F.col("has_ip"), F.col("_at")
+    tcp_header = F.when(ip & (F.col("_protocol") == TCP), (F.floor(uint(data, at + 12, 1) / 16) * 4).cast("int"))
+    d = _once(
+        d, ip_version=F.when(ip, F.lit(4)), protocol=F.when(ip, F.col("_protocol")), ttl=F.when(ip, uint(data, 22, 1).cast("int")), _tcp_header=tcp_header,
+        src_ip=F.when(ip, wire_address(data, 26)), dst_ip=F.when(ip, wire_address(data, 30)), has_udp=_true(ip & (F.col("_protocol") == UDP) & (n >= at + 8)),
     )
-    d = d.withColumns({"payload_length": F.greatest(F.lit(0), n - F.col("payload_offset")).cast("int"), "src_ip_s": inside(format_ip(F.col("src_ip"))), "dst_ip_s": inside(format_ip(F.col("dst_ip")))})
-    return d.drop("_ip", "_version", "_header", "_at", "_tcp_header")
+    d = _once(d, has_tcp=_true((F.col("_tcp_header") >= 20) & (n >= at + 20) & (n >= at + F.col("_tcp_header"))))
+    tcp, udp = F.col("has_tcp"), F.col("has_udp")
+    d = _once(
+        d, src_port=F.when(tcp | udp, uint(data, at, 2).cast("int")), dst_port=F.when(tcp | udp, uint(data, at + 2, 2).cast("int")),
+        seq=F.when(tcp, uint(data, at + 4, 4)), ack=F.when(tcp, uint(data, at + 8, 4)), tcp_flags=F.when(tcp, uint(data, at + 13, 1).cast("int")),
+        payload_offset=F.when(tcp, at + F.col("_tcp_header")).when(udp, at + 8).when(ip, at).otherwise(F.lit(ETHERNET)),
+        src_ip_s=F.when(ip, format_ip(F.col("src_ip"))), dst_ip_s=F.when(ip, format_ip(F.col("dst_ip"))),
+        ok=_true((n >= ETHERNET) & (ip | ~is_ip) & (~F.coalesce(F.col("protocol") == TCP, F.lit(False)) | tcp) & (~F.coalesce(F.col("protocol") == UDP, F.lit(False)) | udp)),
+    )
+    d = d.withColumn("payload_length", F.greatest(F.lit(0), n - F.col("payload_offset")).cast("int"))
+    return d.drop("_first", "_protocol", "_at", "_tcp_header")
+
+
+def _true(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once for a row; a plain projection would be repeated in every filter on them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
 def transport_packets(raw: DataFrame) -> DataFrame:
