@@ -34,11 +34,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, shared_dir
+from .common import materialise, mix64, shared_dir, steps
 
 LARGEST = 5
 #: Rows of a file, and tokens, that a chunk has at most.
-CHUNK_ROWS, CHUNK_TOKENS = 8192, 5_000_000
+CHUNK_ROWS, CHUNK_TOKENS = 4096, 2_500_000
 #: Tokens of the corpus for which there is one bucket more.
 BUCKET_TOKENS = 2_000_000
 #: White space can't be in a word, so these bytes name what isn't one: the end, the context of the first token, all unknown tokens.
@@ -76,17 +76,19 @@ class Chunk:
 
     def add(self, doc_id, text: str | None) -> None:
         found = (text or "").encode("utf-8", "replace").lower().split()
-        self.tokens.append(np.fromiter(map(self.number.__getitem__, found), np.int64, len(found)))
+        self.tokens.append(np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)))
         self.doc_ids.append(doc_id)
         self.sizes.append(len(found) + 1)
         self.n += len(found) + 1
 
     def close(self, mod: int, rest: int) -> Chunk:
-        end = np.array([self.end])
+        end = np.array([self.end], np.int32)
         self.at = np.concatenate([x for t in self.tokens for x in (t, end)])
+        self.tokens = []
         self.size = np.array(self.sizes)
         self.first = np.cumsum(self.size) - self.size
-        self.before = np.append(self.start, self.at[:-1])
+        self.before = np.empty_like(self.at)
+        self.before[1:] = self.at[:-1]
         self.before[self.first] = self.start
         self.rest = [None if d is None else zlib.crc32(str(d).encode()) % mod for d in self.doc_ids]
         self.learns = np.repeat([r is not None and r != rest for r in self.rest], self.size)
@@ -100,9 +102,9 @@ class Chunk:
         """
         width = len(self.number)
         ok = (known[self.before] > 0) | (self.before == self.start)
-        code = self.before[ok] * width + np.where(known[self.at] > 0, self.at, self.unknown)[ok]
+        code = self.before[ok].astype(np.int64) * width + np.where(known[self.at] > 0, self.at, self.unknown)[ok]
         distinct, inverse = np.unique(code, return_inverse=True)
-        of = np.full(len(self.at), -1)
+        of = np.full(len(self.at), -1, np.int32)
         of[ok] = inverse
         count = np.bincount(inverse, self.learns[ok], len(distinct)).astype(np.int64)
         return distinct // width, distinct % width, count, of
@@ -134,7 +136,7 @@ def _located(docs: DataFrame, path: str) -> DataFrame:
 
 def _chunks(batches: Iterator[pa.RecordBatch], mod: int, rest: int) -> Iterator[Chunk]:
     chunk, name = None, None
-    for batch in batches:
+    for batch in (part for whole in batches for part in steps(whole, "text")):
         for doc_id, text, *at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "file", "block", "row"))):
             new = (at[0], at[1], at[2] // CHUNK_ROWS)
             if name is None or new != name[:3] or chunk.n > CHUNK_TOKENS:
