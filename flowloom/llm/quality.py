@@ -111,6 +111,20 @@ def _tree(gradient: np.ndarray, curvature: np.ndarray, leaves: int) -> np.ndarra
     return out
 
 
+def _joint_tree(gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
+    """Steps for joint bins from the best tree that cuts the first feature once and the second once on either side."""
+    best, out = -1.0, np.zeros_like(gradient)
+    for cut in range(1, len(gradient)):
+        step, gain = np.zeros_like(gradient), 0.0
+        for side in (slice(0, cut), slice(cut, None)):
+            g, h = gradient[side].sum(0), curvature[side].sum(0)
+            step[side] = _tree(g, h, 2)
+            gain += float((step[side][0] * g).sum())
+        if gain > best:
+            best, out = gain, step
+    return out
+
+
 class Additive:
     """Lookup tables of single features and of pairs."""
 
@@ -145,12 +159,7 @@ class Additive:
                 cell = coarse[a] * PAIR_BINS + coarse[b]
                 gg = np.bincount(cell, y - p, PAIR_BINS**2).reshape(PAIR_BINS, -1)
                 hh = np.bincount(cell, p * (1 - p), PAIR_BINS**2).reshape(PAIR_BINS, -1)
-                # A shallow tree over the first feature's bins, then one over the second's in each of its leaves.
-                rows = _tree(gg.sum(1), hh.sum(1), 2)
-                step = np.zeros_like(table)
-                for value in np.unique(rows):
-                    here = rows == value
-                    step[here] = RATE * _tree(gg[here].sum(0), hh[here].sum(0), 2)
+                step = RATE * _joint_tree(gg, hh)
                 table += step
                 z += step[coarse[a], coarse[b]]
 
