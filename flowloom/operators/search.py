@@ -114,5 +114,6 @@ def index_problems(index: DataFrame) -> DataFrame:
     """(problem, n): repeated ids, several models or lengths, zero vectors; empty if the index is sound."""
     twice = index.groupBy("chunk_id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("repeated id").alias("problem"), "n")
     rest = index.agg(F.countDistinct("model_name").alias("m"), F.countDistinct(F.size("vector")).alias("d"), F.count_if(norm(F.col("vector")) < 1e-12).alias("z"))
-    rest = rest.select(F.inline(F.array(F.struct(F.lit("several models").alias("problem"), F.greatest(F.col("m") - 1, F.lit(0)).alias("n")), F.struct(F.lit("several lengths"), F.greatest(F.col("d") - 1, F.lit(0))), F.struct(F.lit("zero vector"), F.col("z")))))
+    problem = lambda name, n: F.struct(F.lit(name).alias("problem"), n.cast("long").alias("n"))
+    rest = rest.select(F.inline(F.array(problem("several models", F.col("m") - 1), problem("several lengths", F.col("d") - 1), problem("zero vector", F.col("z")))))
     return twice.union(rest).where("n > 0")
