@@ -40,7 +40,7 @@ LARGEST = 5
 #: Rows of a file, and tokens, that a chunk has at most.
 CHUNK_ROWS, CHUNK_TOKENS = 4096, 2_500_000
 #: Tokens of the corpus for which there is one bucket more.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 #: White space can't be in a word, so these bytes name what isn't one: the end, the context of the first token, all unknown tokens.
 END, START, UNKNOWN = b"\n", b"\t", b"\x0b"
 
@@ -93,6 +93,8 @@ class Chunk:
         self.rest = [None if d is None else zlib.crc32(str(d).encode()) % mod for d in self.doc_ids]
         self.learns = np.repeat([r is not None and r != rest for r in self.rest], self.size)
         self.hash = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.number), np.uint64, len(self.number))
+        self.width = len(self.number)
+        self.number.clear()  # from here on words are numbers
         return self
 
     def pairs(self, known: np.ndarray):
@@ -100,25 +102,29 @@ class Chunk:
 
         known: the corpus count of each word. Unknown tokens are one token, which tells the context's backoff weight.
         """
-        width = len(self.number)
+        width = self.width
         ok = (known[self.before] > 0) | (self.before == self.start)
         code = self.before[ok].astype(np.int64) * width + np.where(known[self.at] > 0, self.at, self.unknown)[ok]
         distinct, inverse = np.unique(code, return_inverse=True)
+        del code
         of = np.full(len(self.at), -1, np.int32)
         of[ok] = inverse
-        count = np.bincount(inverse, self.learns[ok], len(distinct)).astype(np.int64)
-        return distinct // width, distinct % width, count, of
+        count = np.bincount(inverse, self.learns[ok], len(distinct)).astype(np.int32)
+        del inverse
+        return (distinct // width).astype(np.int32), (distinct % width).astype(np.int32), count, of
 
     def sent(self, known: np.ndarray, buckets: int, total: int):
         """The bigrams in the order in which they are sent: bucket, context, 48 bits of the token; see pairs()."""
         context, token, count, of = self.pairs(known)
         share = known[context].astype(float)
         share[context == self.start] = known[self.end]
-        salts = np.maximum(1, np.ceil(2.0 * buckets * share / max(1, total))).astype(np.int64)
+        salts = np.maximum(1, np.ceil(2.0 * buckets * share / max(1, total))).astype(np.int32)
+        del share
         ids = mix64(self.hash[token]) >> np.uint64(16)
         group = mix64(self.hash[context] + np.uint64(0x9E3779B97F4A7C15))
-        bucket = ((group + ids % salts.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((ids, group, bucket))
+        bucket = ((group + ids % salts.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        del context
+        order = np.lexsort((ids, group, bucket)).astype(np.int32)
         return bucket[order], group[order], ids[order], token[order], count[order], salts[order], order, of
 
 
@@ -272,15 +278,18 @@ class Told:
         files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True)) if f.base_name.endswith(".parquet")]
         if not files:
             raise RuntimeError(f"no totals for chunk {chunk}: its rows were read in another order than before")
-        rows = pa.concat_tables(pq.ParquetFile(fs.open_input_file(f)).read() for f in files).sort_by("bucket")
-        self.rows = {r["bucket"]: r for r in rows.to_pylist()}
+        self.table = pa.concat_tables(pq.ParquetFile(fs.open_input_file(f)).read() for f in files)
+        self.place = {b: k for k, b in enumerate(self.table["bucket"].to_pylist())}
+
+    def __call__(self, bucket: int, column: str) -> bytes:
+        return self.table[column][self.place[bucket]].as_py()
 
     def words(self, chunk: Chunk, buckets: int) -> np.ndarray:
         """The corpus count of each word of the chunk, by its number; START has none."""
-        known = np.zeros(len(chunk.number), np.int64)
+        known = np.zeros(chunk.width, np.int64)
         bucket, order = _word_buckets(chunk, buckets)
         for b, where in _cuts(bucket):
-            known[order[where]] = _unpack(self.rows[b]["counts"], "<u4")
+            known[order[where]] = _unpack(self(b, "counts"), "<u4")
         known[[chunk.start, chunk.unknown]] = 0
         return known
 
@@ -294,7 +303,7 @@ def _word_buckets(chunk: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def _ask_words(buckets: int, mod: int, rest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, mod, rest):
-            count = np.bincount(chunk.at, chunk.learns, len(chunk.number))
+            count = np.bincount(chunk.at, chunk.learns, chunk.width)
             bucket, order = _word_buckets(chunk, buckets)
             rows = [(b, chunk.id, _pack(chunk.hash[order[w]], "<u8"), _pack(count[order[w]], "<u4")) + (b"",) * 4 for b, w in _cuts(bucket)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 6])], names=[c.split()[0] for c in _ASKED.split(", ")])
@@ -331,14 +340,13 @@ def _score(words: str, word_buckets: int, pairs: str, buckets: int, unigrams: Un
             single = unigrams.probability(known)
             bucket, group, _, token, _, _, order, of = chunk.sent(known, buckets, n)
             p = np.empty(len(bucket))
-            told = Told(pairs, chunk.id).rows if len(bucket) else {}
+            told = Told(pairs, chunk.id) if len(bucket) else None
             for b, w in _cuts(bucket):
-                row = told[b]
-                count = _unpack(row["counts"], "<u4").astype(np.int64)
+                count = _unpack(told(b, "counts"), "<u4").astype(np.int64)
                 first = np.append(True, group[w][1:] != group[w][:-1])
-                total = _unpack(row["totals"], "<u4").astype(float)
-                hist = _unpack(row["hist"], "<u4").reshape(-1, LARGEST).astype(float)
-                sums = _unpack(row["sums"], "<f8").copy()
+                total = _unpack(told(b, "totals"), "<u4").astype(float)
+                hist = _unpack(told(b, "hist"), "<u4").reshape(-1, LARGEST).astype(float)
+                sums = _unpack(told(b, "sums"), "<f8").copy()
                 for k, g in enumerate(group[w][first].tolist()):
                     if g in split:
                         total[k], hist[k], sums[k] = split[g][0], split[g][1:-1], split[g][-1]
@@ -354,6 +362,7 @@ def _score(words: str, word_buckets: int, pairs: str, buckets: int, unigrams: Un
                 p[w] = np.where(count > 0, discounts(count) * scale[at] / np.maximum(total[at], 1), weight[at] * single[token[w]])
             by_type = np.empty(len(order))
             by_type[order] = p
+            del p, told, bucket, group, token, order
             if n:
                 # Unknown contexts aren't in the table: the unigram stands.
                 prob = np.where(of >= 0, by_type[np.maximum(of, 0)] if len(by_type) else 1.0, single[chunk.at])
