@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, steps
 from .sampling import sample
 
-BUCKETS = 4096
-SAMPLE_ROWS = 6_000
+BUCKETS = 2048
+SAMPLE_ROWS = 3_000
 UNDETERMINED = "und"
 #: The family of common languages by ISO 639-1 code; others are a family of their own.
 FAMILIES = {
@@ -52,7 +52,7 @@ def features(text: str) -> np.ndarray:
     raw = raw[np.append(True, (raw[1:] != 32) | (raw[:-1] != 32))]  # one blank between words
     two = raw[:-1] * np.uint32(256) + raw[1:]
     three = two[:-1] * np.uint32(256) + raw[2:]
-    code = np.concatenate([(two * np.uint32(2654435761)) >> np.uint32(20), ((three + np.uint32(1 << 24)) * np.uint32(2246822519)) >> np.uint32(20)])
+    code = np.concatenate([(two * np.uint32(2654435761)) >> np.uint32(21), ((three + np.uint32(1 << 24)) * np.uint32(2246822519)) >> np.uint32(21)])
     count = np.bincount(code, minlength=BUCKETS).astype(np.float32)
     return np.sqrt(count / max(1, len(code)))
 

@@ -16,7 +16,6 @@ without positive labels all probabilities are 0; repeated rows get equal results
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import CACHE_WORDS, steps, words
 from .sampling import sample
 
-SAMPLE_ROWS = 9_000
+SAMPLE_ROWS = 6_000
 TERMS = 6_000
 FOLDS = 3
 THRESHOLD = 0.5
@@ -95,10 +94,15 @@ class Chain:
     def __init__(self, categories: list[str], rows: list[np.ndarray], labels: np.ndarray):
         self.categories, self.models = categories, []
         # The terms that occur in enough rows and tell a category best, by the difference of their shares' square roots.
-        count = Counter(t for r in rows for t in r.tolist())
-        common = np.array(sorted(t for t, n in count.items() if n >= 3), np.int64)
-        number = {int(t): k for k, t in enumerate(common)}
-        local = [np.array([number[t] for t in r.tolist() if t in number], np.int64) for r in rows]
+        terms, count = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int64), return_counts=True)
+        common = terms[count >= 3]
+        del terms, count
+
+        def numbered(known: np.ndarray) -> list[np.ndarray]:
+            found = [np.minimum(np.searchsorted(known, r), max(0, len(known) - 1)) for r in rows]
+            return [f[known[f] == r] if len(known) else f[:0] for f, r in zip(found, rows)]
+
+        local = numbered(common)
         gain = np.zeros(len(common))
         for j in range(len(categories)):
             share = []
@@ -108,7 +112,7 @@ class Chain:
             gain = np.maximum(gain, np.abs(np.sqrt(share[1]) - np.sqrt(share[0])))
         best = np.sort(np.argsort(-gain, kind="stable")[:TERMS])
         self.number = {int(common[k]): i for i, k in enumerate(best)}
-        local = [np.array([self.number[t] for t in r.tolist() if t in self.number], np.int64) for r in rows]
+        local = numbered(common[best])
         fold = np.arange(len(rows)) % FOLDS
         dense = np.empty((len(rows), 0))
         for j in range(len(categories)):
