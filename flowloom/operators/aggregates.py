@@ -20,8 +20,7 @@ def distribution(rows: DataFrame, column: str, by: list[str] | None = None) -> D
     """How many rows each value has, with its share in percent."""
     by = by or []
     counts = rows.groupBy(*by, column).agg(F.count("*").alias("n"))
-    total = rows.groupBy(*by).agg(F.count("*").alias("total"))
-    both = counts.join(total, by) if by else counts.crossJoin(F.broadcast(total))  # one row
+    both = counts.join(rows.groupBy(*by).agg(F.count("*").alias("total")), by) if by else counts.withColumn("total", F.lit(rows.count()))
     return both.select(*by, column, "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 

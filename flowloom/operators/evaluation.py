@@ -72,18 +72,40 @@ def candidates(case_accounts: DataFrame) -> DataFrame:
 
 def admissible(totals: DataFrame, baseline: str) -> DataFrame:
     """Whether each candidate may replace the baseline: recall kept, no more irrelevant documents, no growth into sizes that fail; ranked by recall per 1000 tokens."""
-    b = F.broadcast(totals.where(F.col("candidate") == baseline).select(*[F.col(c).alias(f"b_{c}") for c in ("recall", "irrelevant", "largest")]))  # one row
-    t = totals.where(F.col("candidate") != baseline).crossJoin(b)
-    fits = (F.col("largest") < FAILING_TOKENS) | (F.col("b_largest") >= FAILING_TOKENS)
-    ok = F.coalesce((F.col("recall") + 1e-9 >= F.col("b_recall")) & (F.col("irrelevant") <= F.col("b_irrelevant")) & fits, F.lit(False))
+    b = totals.where(F.col("candidate") == baseline).first()
+    t = totals.where(F.col("candidate") != baseline)
+    base = lambda c: F.lit(b[c] if b else None)
+    fits = (F.col("largest") < FAILING_TOKENS) | (base("largest") >= FAILING_TOKENS)
+    ok = F.coalesce((F.col("recall") + 1e-9 >= base("recall")) & (F.col("irrelevant") <= base("irrelevant")) & fits, F.lit(False))
     order = Window.partitionBy("ok").orderBy(F.desc("per_1k_tokens"), F.desc_nulls_last("precision"), "largest", F.desc("candidate"))
-    return t.withColumn("ok", ok).withColumn("place", F.when(F.col("ok"), F.row_number().over(order))).drop("b_recall", "b_irrelevant", "b_largest")
+    return t.withColumn("ok", ok).withColumn("place", F.when(F.col("ok"), F.row_number().over(order)))
 
 
 def decision(before: DataFrame, after: DataFrame) -> DataFrame:
     """accept or reject of a change, from one-row tables (recall, precision, irrelevant): no precision may be lost, nor more than 0.05 of recall."""
-    a = after.select(*[F.col(c).alias(f"a_{c}") for c in ("recall", "precision", "irrelevant")])
-    both = before.crossJoin(F.broadcast(a))
-    dr, dp, di = (F.col(f"a_{c}") - F.col(c) for c in ("recall", "precision", "irrelevant"))
+    a = after.first()
+    dr, dp, di = (F.lit(a[c]) - F.col(c) for c in ("recall", "precision", "irrelevant"))
     verdict = F.when(dr.isNull() | dp.isNull(), "undecided").when((dp < 0) | (di > 0) | (dr < -0.05) | ((dr <= 0) & (dp <= 0) & (di == 0)), "reject").otherwise("accept")
-    return both.select(verdict.alias("verdict"), F.bround(dr, 4).alias("recall_delta"), F.bround(dp, 4).alias("precision_delta"), di.alias("irrelevant_delta"))
+    return before.select(verdict.alias("verdict"), F.bround(dr, 4).alias("recall_delta"), F.bround(dp, 4).alias("precision_delta"), di.alias("irrelevant_delta"))
+
+
+def sweep(merged: DataFrame, relevant: DataFrame, grid: list[dict], by: list[str]) -> DataFrame:
+    """Mean recall and precision of each setting of a grid, over one ranking: every setting only filters and caps it anew.
+
+    merged: (by, chunk_id, document_id, similarity); grid: least, per_document and final_k by name. A grid is a few rows.
+    """
+    from .search import select_chunks
+
+    out = None
+    for setting in grid:
+        chosen = select_chunks(merged.where(F.col("similarity") >= setting.get("least", -1.0)), setting.get("final_k", 8), setting.get("per_document", 2), by)
+        ranking = chosen.select(*by, F.col("document_id").alias("item"), (F.col("rank") + 1).alias("rank"))
+        k = setting.get("final_k", 8)
+        row = means(metrics(ranking, relevant, by, (k,)), [f"recall_{k}", f"precision_{k}"]).select(F.lit(setting["name"]).alias("setting"), F.col(f"recall_{k}").alias("recall"), F.col(f"precision_{k}").alias("precision"), "cases")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def recommended(swept: DataFrame, least_recall: float) -> DataFrame:
+    """The setting with the best precision among those that keep the recall."""
+    return swept.where(F.col("recall") >= least_recall).agg(F.max_by("setting", F.struct("precision", "recall")).alias("setting"))

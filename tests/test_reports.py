@@ -234,6 +234,15 @@ def test_candidates(spark):
     assert [verdict(one(0.8, 0.5, 1), y) for y in (one(0.79, 0.6, 1), one(0.7, 0.6, 1), one(0.9, 0.4, 1), one(0.8, 0.5, 1), one(0.8, 0.5, 0), one(None, 0.5, 0))] == ["accept", "reject", "reject", "reject", "accept", "undecided"]
 
 
+def test_sweeps(spark):
+    merged = spark.createDataFrame([("a", "c1", "d1", 0.9), ("a", "c2", "d2", 0.5), ("a", "c3", "d1", 0.8), ("b", "c1", "d3", 0.4)], "case string, chunk_id string, document_id string, similarity double")
+    relevant = spark.createDataFrame([("a", "d1"), ("a", "d2"), ("b", "d3")], "case string, item string")
+    grid = [{"name": "all"}, {"name": "high", "least": 0.7}, {"name": "one", "final_k": 1}]
+    got = {r.setting: (r.recall, r.precision, r.cases) for r in evaluation.sweep(merged, relevant, grid, ["case"]).collect()}
+    assert got == {"all": (1.0, 1.0, 2), "high": (0.25, 1.0, 2), "one": (0.75, 1.0, 2)}
+    assert evaluation.recommended(evaluation.sweep(merged, relevant, grid, ["case"]), 0.9).first().setting == "all"
+
+
 GOOD = "---\nid: dns-notes\ntitle: \"Names\"\ncategory: basics\nversion: 1.0\n# a comment\nkeywords:\n  - dns\n  - names\nmitre: []\n---\n## One\nfirst\n\n## Two\nsecond\n"
 
 
