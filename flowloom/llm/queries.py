@@ -81,8 +81,8 @@ def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), n_links."""
-    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    """doc_id, class_id (least doc_id of its class)."""
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -90,5 +90,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+# DuckDB: the words of the contract, and the two queries that SQL can answer in full.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+CONTAMINATION_SQL = f"""with i as (select item_id, {_WORDS} as w from benchmark), b as (select item_id, w, least(13, len(w)) as n from i where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[k : k + n - 1], ' ') as s from b, unnest(generate_series(1, len(w) - n + 1)) as t(k)),
+d as (select doc_id, {_WORDS} as w from documents), l as (select distinct n from b),
+dw as (select doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') as s from d, l, unnest(generate_series(1, len(w) - n + 1)) as t(k)),
+m as (select doc_id, k, dw.n, item_id from dw join win using (n, s)), h as (select doc_id, count(distinct p) as n_hit from m, unnest(generate_series(k, k + n - 1)) as t(p) group by doc_id),
+f as (select doc_id, list_sort(list(distinct cast(item_id as varchar))) as items from m group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(items), 0) as bigint) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join h using (doc_id) left join f using (doc_id)"""
+
+CLASSES_SQL = f"""with recursive d as (select doc_id, {_WORDS} as w from documents),
+s as (select distinct doc_id, case when len(w) >= 5 then array_to_string(w[k : k + 4], ' ') else array_to_string(w, ' ') || ' .' end as sh from d, unnest(generate_series(1, greatest(1, len(w) - 4))) as t(k) where len(w) > 0),
+n as (select doc_id, count(*) as c from s group by doc_id), p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where k >= 0.8 * (x.c + y.c - k) - 1e-12), g as (select a, b from e union all select b, a from e),
+r(doc_id, reached) as (select doc_id, doc_id from d union select r.doc_id, g.b from r join g on g.a = r.reached)
+select doc_id, min(reached) as class_id from r group by doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_suffix_decontamination": CONTAMINATION_SQL, "op10_probminhash": CLASSES_SQL}
