@@ -27,13 +27,13 @@ class Capture:
 def judge(raw: DataFrame, rules: Rules) -> Capture:
     """Decodes frames, follows their flows and applies the rules."""
     packets = decode.transport_packets(raw)
-    judged = _kept(flows.judged_packets(packets, rules))
-    verdicts = _kept(flows.verdicts(judged, rules))
+    judged = kept(flows.judged_packets(packets, rules))
+    verdicts = kept(flows.verdicts(judged, rules))
     counted = judged.join(verdicts.select("capture", "packet_no", "reason"), ["capture", "packet_no"])
-    return Capture(raw, packets, verdicts, _kept(flows.engine_flows(judged, verdicts)), aggregates.capture_totals(counted))
+    return Capture(raw, packets, verdicts, kept(flows.engine_flows(judged, verdicts)), aggregates.capture_totals(counted))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder, where the session names one: several tables are made from them."""
     spark = df.sparkSession
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -68,9 +68,9 @@ def explain(made: Capture, knowledge: DataFrame, encoder: embedding.Encoder, cli
     """
     records = report.flow_records(made.flows, settings.address_mode, settings.max_flows)
     unknown = made.flows.groupBy("capture").agg(F.count_if(F.col("app") == "Unknown").alias("unknown_flows"))
-    records = _kept(records)
+    records = kept(records)
     fired = signals.signals(records, made.totals.select("capture", "dropped_packets").join(unknown, "capture"))
-    fired = _kept(fired)
+    fired = kept(fired)
     queries = answers.signal_queries(fired, signals.profile(records))
     chunks = chunking.chunks(knowledge)
     index = search.joined(chunks, embedding.embed_chunks(chunks, encoder))
@@ -81,7 +81,7 @@ def explain(made: Capture, knowledge: DataFrame, encoder: embedding.Encoder, cli
     ranked = ranked.withColumn("matched", F.array_sort(F.transform(F.filter(F.map_keys("per_query"), lambda k: k.startswith("signal:")), lambda k: F.regexp_replace(k, "^signal:", ""))))
     sized = ranked.withColumn("size", F.length(context.rendered(F.lit("K"))))
     taken = context.fit_budget(sized, settings.max_items, settings.max_chars, settings.max_tokens)
-    excerpts = _kept(ranked.join(taken, ["capture", "chunk_id"]))
+    excerpts = kept(ranked.join(taken, ["capture", "chunk_id"]))
     if client is None:
         return Explained(records, fired, queries, excerpts, None)
     text = context.render_records(records, ["flow_id", "protocol", "dst_port", "server_name", "application", "state", "verdict", "bytes_out", "bytes_in"])

@@ -14,6 +14,7 @@ from .functions.text import content_hash, entropy, estimate_tokens, leftmost_lab
 from .operators import aggregates, chunking, context, decode, evaluation, flows, report, search, signals
 from .operators.inspect import block_reason, inspect
 from .plans import captures
+from .plans.pipeline import kept
 from .sources.rules import Rules
 from .streaming.flows import flow_sessions
 
@@ -136,8 +137,8 @@ from o group by all"""
 
 def engine_flows(spark: SparkSession, d: str) -> DataFrame:
     """Flows after the engine's state machine and rules (sequential: no SQL form)."""
-    judged = flows.judged_packets(_packets(spark, d), RULES)
-    f = flows.engine_flows(judged, flows.verdicts(judged, RULES))
+    judged = kept(flows.judged_packets(_packets(spark, d), RULES))
+    f = flows.engine_flows(judged, kept(flows.verdicts(judged, RULES)))
     return f.select("capture", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "state", "app", "sni", "action", "packets_out", "packets_in", "dropped", "blocked_events")
 
 
