@@ -37,24 +37,25 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     return packets.select("*", *canonical())
 
 
-def counters(packets: DataFrame, key: list[str] = KEY) -> DataFrame:
+def counters(packets: DataFrame) -> DataFrame:
     """One row per flow: the opener's tuple, packets and bytes each way, flag sightings, first packet.
 
-    Both directions are counted first; which of them is outbound is known once the opener is.
+    Both directions are counted first; which of them is outbound is known once the first packet's direction is. All buffers are
+    numbers, so this is a hash aggregate.
     """
     is_lo = keeps_direction(*(F.col(c) for c in TUPLE))
     flag = lambda bit: F.coalesce(F.col("tcp_flags"), F.lit(0)).bitwiseAND(F.lit(bit)) != 0
-    by = packets.groupBy(*key).agg(
-        F.min_by(F.struct(*TUPLE), "packet_no").alias("opener"),
+    by = packets.groupBy(*KEY).agg(
+        F.min_by(is_lo, "packet_no").alias("opened_lo"),
         F.count_if(is_lo).alias("lo_packets"), F.count_if(~is_lo).alias("hi_packets"),
         F.sum(F.when(is_lo, F.col("frame_len")).otherwise(0)).alias("lo_bytes"), F.sum(F.when(is_lo, 0).otherwise(F.col("frame_len"))).alias("hi_bytes"),
         F.bool_or(flag(SYN) & ~flag(ACK)).alias("syn_seen"), F.bool_or(flag(SYN) & flag(ACK)).alias("syn_ack_seen"), F.bool_or(flag(FIN)).alias("fin_seen"),
         F.min("packet_no").alias("first_packet_no"), F.max("packet_no").alias("last_packet_no"),
     )
-    opened_lo = keeps_direction(*(F.col(f"opener.{c}") for c in TUPLE))
-    way = lambda lo, hi: F.when(opened_lo, F.col(lo)).otherwise(F.col(hi))
+    way = lambda lo, hi: F.when(F.col("opened_lo"), F.col(lo)).otherwise(F.col(hi))
+    opener = [way("lo_ip", "hi_ip").alias("src_ip"), way("lo_port", "hi_port").alias("src_port"), way("hi_ip", "lo_ip").alias("dst_ip"), way("hi_port", "lo_port").alias("dst_port")]
     out = [way("lo_packets", "hi_packets").alias("packets_out"), way("hi_packets", "lo_packets").alias("packets_in"), way("lo_bytes", "hi_bytes").alias("bytes_out"), way("hi_bytes", "lo_bytes").alias("bytes_in")]
-    return by.select(*key, *[F.col(f"opener.{c}").alias(c) for c in TUPLE], *out, "syn_seen", "syn_ack_seen", "fin_seen", "first_packet_no", "last_packet_no")
+    return by.select(*KEY, *opener, *out, "syn_seen", "syn_ack_seen", "fin_seen", "first_packet_no", "last_packet_no")
 
 
 # ---- the engine policy's state machine ---------------------------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.apps import classify_host, classify_sql
+from .functions.apps import app_code, app_name, classify_host, classify_sql
 from .functions.network import five_tuple_hash, protocol_name, tcp_flags_name
 from .functions.text import content_hash, entropy, estimate_tokens, leftmost_label, redact_secrets, sanitize_hostname
 from .operators import aggregates, chunking, context, decode, evaluation, flows, report, search, signals
@@ -80,8 +80,8 @@ def capture_applications(spark: SparkSession, d: str) -> DataFrame:
     """Flows of each application in the derived captures, by the first packet that names one: the flagship query."""
     p = flows.with_flow_key(inspect(_packets(spark, d)))
     named = F.when(F.col("cand_app").isNotNull(), F.col("packet_no"))
-    by = p.groupBy(*flows.KEY).agg(F.coalesce(F.min_by("cand_app", named), F.lit("Unknown")).alias("app"))
-    return by.groupBy("capture", "app").agg(F.count("*").alias("flows"))
+    by = p.groupBy(*flows.KEY).agg(F.min_by(app_code(F.col("cand_app")), named).alias("code"))  # a number, so that it is a hash aggregate
+    return by.groupBy("capture", app_name(F.coalesce("code", F.lit(0))).alias("app")).agg(F.count("*").alias("flows"))
 
 
 _NAMED = _TUPLES + f""",
