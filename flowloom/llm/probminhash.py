@@ -1,10 +1,15 @@
 """Near-duplicate detection with ProbMinHash signatures.
 
-A document is a weighted set of five-word shingles (weight 1 + ln of the count).
-Each shingle starts a Poisson process whose rate is its weight; every arrival
-falls on one register, which keeps the shingle that arrives first. A document
-stops as soon as no further arrival can beat its latest register. Two registers
-agree with the probability Jaccard similarity of the two weighted sets.
+A document is a set of five-word shingles. Each shingle starts a Poisson process
+whose rate is its weight; every arrival falls on one register, which keeps the
+shingle that arrives first. A document stops as soon as no further arrival can
+beat its latest register. Two registers agree with the probability Jaccard
+similarity of the two weighted sets.
+
+Texts are linked by the Jaccard similarity of their shingle sets, whatever the
+shingles' counts. The search therefore gives all shingles weight 1: the probability
+Jaccard similarity is then that very similarity. Weights of 1 + ln of the count would
+lose pairs of which one repeats a passage; `signatures` has them for other uses.
 
 Signatures are cut into bands; documents that share a band are candidates, and
 candidates are verified exactly on their shingle sets.
@@ -53,8 +58,11 @@ def shingles(items: np.ndarray) -> np.ndarray:
     return mix64(x)
 
 
-def signatures(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
-    """ProbMinHash of each array of shingle hashes: one row of register values (0: no shingle)."""
+def signatures(sets: list[np.ndarray], registers: int = REGISTERS, weighted: bool = True) -> np.ndarray:
+    """ProbMinHash of each array of shingle hashes: one row of register values (0: no shingle).
+
+    A shingle weighs 1 + ln of its count, or 1 if not `weighted`.
+    """
     count = len(sets)
     first = np.full(count * registers, np.inf)
     found = np.zeros(count * registers, np.uint64)
@@ -69,7 +77,7 @@ def signatures(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray
     key = key[new]
     doc = (key >> np.uint64(40)).astype(np.int64)
     element = (key & np.uint64((1 << 40) - 1)) + np.uint64(1)
-    rate = 1.0 + np.log(repeats)
+    rate = 1.0 + np.log(repeats) if weighted else np.ones(len(key))
     state, t = mix64(element), np.zeros(len(key))
     while len(doc):
         with np.errstate(over="ignore"):
@@ -95,7 +103,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(whole, "text"):
             texts = [words(t) for t in batch.column("text").to_pylist()]
             sets = [shingles(hash_words(w, cache)) for w in texts]
-            values = signatures(sets)
+            values = signatures(sets, weighted=False)
             short = (mix64(values) >> np.uint64(32)).astype("<u4")
             bands = values[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS)
             with np.errstate(over="ignore"):

@@ -54,6 +54,28 @@ def test_classes_match_brute_force(spark, corpus):
     assert got == components_of(rows)
 
 
+def test_repeated_passages_match_brute_force(spark):
+    """Links don't depend on how often a text repeats what another one says once."""
+    rng, rows = random.Random(3), []
+    for k in range(24):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        if k % 2:
+            more = text + text[100:300] * 50
+        else:
+            more = text + [f"n{rng.randrange(10**6)}" for _ in range(70)] * 20
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(more))]
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_of(rows) and got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_registers_without_weights_estimate_jaccard():
+    text = [f"w{k}" for k in range(400)]
+    a, b = _sets([" ".join(text), " ".join(text + text[100:300] * 50)])
+    true = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+    s = M.signatures([a, b], registers=4000, weighted=False)
+    assert abs((s[0] == s[1]).mean() - true) < 0.03
+
+
 def test_odd_rows(spark, odd):
     got = {r.doc_id: (r.class_id, r.n_links) for r in M.near_duplicates(odd).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11}
