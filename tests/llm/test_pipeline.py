@@ -1,3 +1,5 @@
+import random
+
 from brute_force import components_of, contamination_of
 
 import corpus_pipeline as P
@@ -40,3 +42,20 @@ def test_stages_take_odd_rows(spark, odd, folder):
             assert set(out.columns) == set(odd.columns), name
     once = P.distinct(spark, odd, folder).collect()
     assert sorted(r.doc_id or 0 for r in once) == [0, 1, 2, 3, 4, 5, 7, 9, 10, 11]
+
+
+def test_texts_in_no_learnt_language_go(spark, corpus):
+    rng = random.Random(5)
+    known = {lang: " ".join(d[1] for d in corpus[0] if d[2] == lang and d[3] != "leak").split(" ") for lang in ("en", "de", "es", "fr")}
+    docs = [(k, " ".join(rng.choices(known[lang], k=60)), lang, "s", 0) for k in range(1200) for lang in [["en", "de", "es", "fr"][k % 4]]]
+    other = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神互相对待。",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(100)),
+        rng.randbytes(300).hex(),
+    ]
+    rows = docs + [(5000 + k, text, None, "s", 0) for k, text in enumerate(other)]
+    kept = set(_rows(P.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")))
+    assert not kept & set(range(5000, 5000 + len(other)))
+    assert len(kept) >= 0.98 * len(docs)
