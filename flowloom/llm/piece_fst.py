@@ -216,6 +216,21 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
 
 
+def encode_exact(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, token_ids array<int>, exact (decoding the ids gives the text back) of every row of (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fst = machine(model)
+        for whole in batches:
+            for batch in steps(whole, "text"):
+                texts = batch.column("text").to_pylist()
+                ids = [np.array(fst.encode(t), np.int32) for t in texts]
+                exact = [fst.decode(x.tolist()) == fst.decoded_form(t) for x, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], names=["doc_id", "token_ids", "exact"])
+
+    return _input(docs).mapInArrow(run, "doc_id long, token_ids array<int>, exact boolean")
+
+
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), exact (decoding gives the text back)."""
 

@@ -59,3 +59,14 @@ def test_texts_in_no_learnt_language_go(spark, corpus):
     kept = set(_rows(P.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")))
     assert not kept & set(range(5000, 5000 + len(other)))
     assert len(kept) >= 0.98 * len(docs)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    rows = [(1, "one two three four five six", "en", "b", 1), (1, "other words stand in this row", "en", "b", 1), (1, "one two three four five six", "en", "a", 1), (2, "one two three four five six", "en", "b", 1)]
+    out = P.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted((r.doc_id, r.text, r.source) for r in out.collect()) == [(1, rows[0][1], "a"), (1, rows[1][1], "b")]
+
+
+def test_last_stage_decodes(spark, odd):
+    out = {r.doc_id: r for r in P.pieces(spark, odd, "").collect()}
+    assert all(r.exact for r in out.values()) and out[10].n_tokens == len(out[10].token_ids) > 0
