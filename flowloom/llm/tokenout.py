@@ -12,19 +12,21 @@ A folder holds, for each range of ascending doc_id, two Arrow IPC streams:
 The id type is the smallest unsigned integer that holds the vocabulary.
 
 Defined results: a null text is an empty document (the end id alone); rows that
-repeat an id are written one after another; rows without an id come first;
+repeat an id are written one after another, in the order of a hash of their texts; rows without an id come first;
 an empty table gives a folder without parts and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import re
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,68 +36,145 @@ from .common import steps
 
 SEQUENCE = 1024
 BATCH = 256
-#: Words that a task remembers, and the longest that it does.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
-
-_AFTER_BLANK = re.compile(r"\s ")
-#: A word that ends in a letter or digit, then ASCII punctuation; the pre-tokenizer always cuts between the two.
-_ENDS_IN_MARKS = re.compile(r"(.*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-/:-@\[-`{-~]+)", re.S)
+#: Bytes of text that are encoded at once.
+STEP = 4 << 20
+#: Words, and ids of words, that a worker remembers; longer words than CACHE_CHARS aren't found again.
+CACHE_WORDS, CACHE_IDS, CACHE_CHARS = 1_200_000, 8_000_000, 48
+
+# Fixed values, for RE2: white space of Unicode followed by a blank; letters of Latin scripts.
+_BEFORE_BLANK = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _ENCODERS: dict[str, WordwiseEncoder] = {}
 
 
+def _gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + length], one after another."""
+    ends = np.cumsum(length)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)]
+
+
+class Sequences:
+    """Id sequences by number, in three growing arrays. Number 0 is the empty one."""
+
+    def __init__(self):
+        self.ids, self.start, self.length = np.empty(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.used, self.count = 0, 1
+
+    def add(self, found: list[list[int]]) -> range:
+        """Files sequences; their numbers."""
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        total, first, last = int(length.sum()), self.count, self.count + len(found)
+        for name, need in (("ids", self.used + total), ("start", last), ("length", last)):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(need + need // 2 - len(held), held.dtype)]))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.start[first:last] = self.used + np.cumsum(length) - length
+        self.length[first:last] = length
+        self.used, self.count = self.used + total, last
+        return range(first, last)
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the numbered sequences in a row, how many each has)."""
+        return _gather(self.ids, self.start[numbers], self.length[numbers]), self.length[numbers]
+
+
 class WordwiseEncoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
-    The pre-tokenizer of byte-level BPE never joins a non-blank character to a blank after it, so
-    the encoding of a text is that of its words, each with the blank before it, in a row. Texts in
-    which a blank follows other white space, and vocabularies of another make, are encoded as one.
+    The pre-tokenizer of byte-level BPE never joins a non-blank character to a blank after it, so the encoding of a text is
+    that of its words, each with the blank before it, in a row; and it always cuts between a letter or digit and the ASCII marks
+    at a word's end. A word of letters is one run, which the library's model is asked for directly; other words go through
+    the whole library. Texts in which a blank follows other white space or that name a special token, and vocabularies of
+    another make, are encoded as one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         made = json.load(open(path, encoding="utf-8"))
-        kind = made.get("pre_tokenizer") or {}
+        kind, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
         self.wordwise = made.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
+        self.plain = self.wordwise and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        if self.plain and hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # each word is asked for once
         self.wide = self.library.get_vocab_size() > 65_536
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
         self.added = [t["content"] for t in made.get("added_tokens") or []]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of words with the blank before them; marks at their ends are encoded apart, so that words are met again."""
-        cut = {w: m.groups() for w in new if (m := _ENDS_IN_MARKS.fullmatch(w)) and not any(t in w for t in self.added)}
-        stems = list({cut[w][0] if w in cut else w for w in new} - self.known.keys())
-        marks = list({m for _, m in cut.values()} - self.marks.keys())
-        self.marks.update(zip(marks, self._ids(marks)))
-        learnt = dict(zip(stems, self._ids([f" {w}" for w in stems])))
-        for w, (stem, mark) in cut.items():
-            learnt[w] = (learnt.get(stem) or self.known[stem]) + self.marks[mark]
-        self.known.update((w, x) for w, x in learnt.items() if len(w) <= CACHE_CHARS)
-        return learnt
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.marks) > CACHE_WORDS // 10:
-            self.marks.clear()
-        get = self.known.get
-        split = [t.split(" ") if self.wordwise and not _AFTER_BLANK.search(t) else None for t in texts]
-        heads = self._ids([t if parts is None else parts[0] for t, parts in zip(texts, split)])
-        found = [list(map(get, parts[1:])) if parts else [] for parts in split]
-        new: set[str] = set()
-        gaps = [k for k, ids in enumerate(found) if None in ids]
-        for k in gaps:
-            new.update(w for w, ids in zip(split[k][1:], found[k]) if ids is None)
-        learnt = self._learn(list(new))
-        for k in gaps:
-            found[k] = [learnt[w] if ids is None else ids for w, ids in zip(split[k][1:], found[k])]
-        return [head + b"".join(ids) for head, ids in zip(heads, found)]
+        # Byte-level vocabularies write a byte that prints as itself, and the others from 256 on.
+        prints = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+        others = (b for b in range(256) if b not in prints)
+        self.letters = {b: b for b in prints} | {b: 256 + k for k, b in enumerate(others)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.stored = Sequences()
+        self.known: dict[bool, dict[str, int]] = {False: {}, True: {}}  # by whether a blank comes before
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _numbers(self, words: pa.Array, blank: bool) -> np.ndarray:
+        """The number of each of the (distinct) words' sequences; new ones are encoded and filed."""
+        known, texts = self.known[blank], words.to_numpy(zero_copy_only=False).tolist()
+        numbers = list(map(known.get, texts))
+        gaps = [k for k, n in enumerate(numbers) if n is None]
+        if gaps:
+            plain = pc.match_substring_regex(words.take(pa.array(gaps)), f"^[{_LATIN}]+$").to_numpy(zero_copy_only=False).tolist() if self.plain else [False] * len(gaps)
+            ask, letters, before = self.model.tokenize, self.letters, chr(self.letters[32]) if blank else ""
+            rest = iter(self._library([(" " if blank else "") + texts[k] for k, p in zip(gaps, plain) if not p]))
+            found = []
+            for k, p in zip(gaps, plain):
+                if p:
+                    w = texts[k]
+                    found.append([t.id for t in ask(before + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))])
+                else:
+                    found.append(next(rest))
+            for k, n in zip(gaps, self.stored.add(found)):
+                numbers[k] = n
+                if len(texts[k]) <= CACHE_CHARS:
+                    known[texts[k]] = n
+        return np.array(numbers, np.int64)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence numbers of distinct words after a blank: of their stems, and of the marks at their ends (0: none)."""
+        stems = pc.utf8_rtrim(words, characters=string.punctuation)
+        cut = pc.and_(pc.not_equal(stems, words), pc.match_substring_regex(stems, f"[{_LATIN}0-9]$"))
+        stems = pc.if_else(cut, stems, words).dictionary_encode()
+        marks = np.zeros(len(words), np.int64)
+        marked = pc.replace_substring_regex(words.filter(cut), f"(?s)^.*[{_LATIN}0-9]", "").dictionary_encode()
+        marks[cut.to_numpy(zero_copy_only=False)] = self._numbers(marked.dictionary, False)[marked.indices.to_numpy()]
+        return self._numbers(stems.dictionary, True)[stems.indices.to_numpy()], marks
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, how many each has); nulls are empty, `end` follows each text."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        if len(self.known[True]) + len(self.known[False]) > CACHE_WORDS or self.stored.used > CACHE_IDS:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _BEFORE_BLANK) if self.wordwise else pa.array([True] * len(texts))
+        for content in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, content))
+        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        first = offsets[:-1] - offsets[0]
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        heads = coded.dictionary.take(pa.array(code[first])).dictionary_encode()
+        head = self._numbers(heads.dictionary, False)[heads.indices.to_numpy()]
+        apart = whole.to_numpy(zero_copy_only=False)
+        head[apart] = np.array(self.stored.add(self._library(texts.filter(whole).to_pylist())), np.int64)
+        stems, marks = self._words(coded.dictionary)
+        word_ids, size = self.stored.joined(np.stack([stems, marks], 1).ravel())
+        head_ids, head_size = self.stored.joined(head)
+        size = size.reshape(-1, 2).sum(1)
+        start = np.cumsum(size) - size
+        pool, start, size = np.concatenate([word_ids, head_ids]), start[code], size[code]
+        start[first], size[first] = len(word_ids) + np.cumsum(head_size) - head_size, head_size
+        ids, size = _gather(pool, start, size), np.add.reduceat(size, first)
+        return (ids, size) if end is None else (np.insert(ids, np.cumsum(size), end), size + 1)
 
 
 def encoder(path: str) -> WordwiseEncoder:
@@ -125,11 +204,11 @@ class _Part:
         self.streams = [pa.ipc.new_stream(f, s) for f, s in zip(self.files, (self.schema, self.index))]
         self.held, self.n_held, self.total, self.docs = [], 0, 0, 0
 
-    def add(self, doc_ids: list, encoded: list[bytes]) -> None:
-        ids = np.frombuffer(b"".join(encoded), "<u4").astype(self.kind.to_pandas_dtype())
-        size = np.array([len(x) // 4 for x in encoded], np.int64)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        """Documents in a row: their ids, and how many each has."""
+        ids = ids.astype(self.kind.to_pandas_dtype())
         start = self.total + np.cumsum(size) - size
-        self.streams[1].write_batch(pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(size)], schema=self.index))
+        self.streams[1].write_batch(pa.record_batch([doc_ids, pa.array(start), pa.array(size)], schema=self.index))
         self.total += len(ids)
         self.docs += len(size)
         self.held.append(ids)
@@ -197,24 +276,25 @@ class TokenFile:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None) -> list[tuple[int, int, int]]:
-    """Writes (doc_id, text) to the folder in ascending doc_id order; (part, ids, documents) of each part."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
+    """Writes (doc_id, text) to the folder in ascending doc_id order; (part, ids, documents) of each part.
+
+    Parts are ranges of (doc_id, hash of the text), so that rows of one id, or without one, may fill several; without a number there are as many as
+    the input has partitions, and no fewer than the session's shuffles have.
+    """
+    parts = parts or max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, part, library = TaskContext.get().partitionId(), None, encoder(tokenizer)
         for whole in batches:
-            for batch in steps(whole, "text"):
+            for batch in steps(whole, "text", STEP):
                 part = part or _Part(folder, number, library.wide)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                part.add(batch.column("doc_id").to_pylist(), [x + end for x in library.encode(texts)])
+                part.add(batch.column("doc_id"), *library.encode(batch.column("text"), end_id))
         if part:
             total, n = part.close()
             yield pa.RecordBatch.from_pydict({"part": [number], "n_ids": [total], "n_docs": [n]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ranged = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return sorted(tuple(r) for r in ranged.mapInArrow(write, "part long, n_ids long, n_docs long").collect())
 
 

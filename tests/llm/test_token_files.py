@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,7 +24,24 @@ def encoder():
 @given(st.lists(st.sampled_from(["a", "É", "word", " ", "  ", "\n", "\t", "\x1c", " ", "'s", "!?", "7", "日", "<|endoftext|>", "&&& "]), max_size=25))
 def test_wordwise_encoding_is_the_librarys(encoder, parts):
     text = "".join(parts)
-    assert encoder.encode([text])[0] == np.array(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    ids, size = encoder.encode(pa.array([text, None, text]), end=7)
+    want = encoder.library.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == [*want, 7, 7, *want, 7] and size.tolist() == [len(want) + 1, 1, len(want) + 1]
+
+
+def test_words_may_be_forgotten(encoder, monkeypatch):
+    monkeypatch.setattr(T, "CACHE_WORDS", 1)
+    for text in ("many words are met, again and again", "again & again: " + "x" * 300, "many words!"):
+        assert encoder.encode(pa.array([text]))[0].tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_of_one_id_fill_several_parts(spark):
+    frame = spark.range(2000).selectExpr("if(id % 2 = 0, null, 7L) as doc_id", "concat('text ', id) as text")
+    folder = shared_dir(spark)
+    parts = T.write_tokens(frame, folder, PATH, end_id=2, parts=6)
+    assert len(parts) > 3 and max(p[2] for p in parts) < 1000
+    rows = T.read_tokens(spark, folder, parts).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 1000 + [7] * 1000
 
 
 def _expected(encoder, rows):
@@ -57,7 +75,7 @@ def test_sequences_and_masks(spark, corpus, encoder):
 
 def test_odd_rows(spark, odd, encoder):
     folder = shared_dir(spark)
-    rows = sorted(((r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = sorted(((r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     got = T.read_tokens(spark, folder, T.write_tokens(odd, folder, PATH, end_id=2)).orderBy("start").collect()
     assert [tuple(r) for r in got] == _expected(encoder, rows)
 
