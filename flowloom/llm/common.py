@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +90,38 @@ def steps(batch: pa.RecordBatch, text: str, budget: int = STEP_BYTES) -> Iterato
 def crc_mod(column: str, mod: int):
     """crc32 of the id as text, modulo `mod`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
+
+
+def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + length], one after another."""
+    ends = np.cumsum(length)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)]
+
+
+class Sequences:
+    """Id sequences by number, in three growing arrays. Number 0 is the empty one."""
+
+    def __init__(self):
+        self.ids, self.start, self.length = np.empty(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.used, self.count = 0, 1
+
+    def add(self, ids: np.ndarray, length: np.ndarray) -> range:
+        """Files sequences that stand in a row; their numbers."""
+        total, first, last = self.used + len(ids), self.count, self.count + len(length)
+        for name, need in (("ids", total), ("start", last), ("length", last)):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(need + need // 2 - len(held), held.dtype)]))
+        self.ids[self.used : total] = ids
+        self.start[first:last] = self.used + np.cumsum(length) - length
+        self.length[first:last] = length
+        self.used, self.count = total, last
+        return range(first, last)
+
+    def add_lists(self, found: list[list[int]]) -> range:
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        return self.add(np.fromiter(chain.from_iterable(found), np.uint32, length.sum()), length)
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the numbered sequences in a row, how many each has)."""
+        return gather(self.ids, self.start[numbers], self.length[numbers]), self.length[numbers]

@@ -22,7 +22,6 @@ import json
 import string
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps
+from .common import Sequences, gather, steps
 
 SEQUENCE = 1024
 BATCH = 256
@@ -47,38 +46,6 @@ _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _ENCODERS: dict[str, WordwiseEncoder] = {}
 
 
-def _gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The runs values[start : start + length], one after another."""
-    ends = np.cumsum(length)
-    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)]
-
-
-class Sequences:
-    """Id sequences by number, in three growing arrays. Number 0 is the empty one."""
-
-    def __init__(self):
-        self.ids, self.start, self.length = np.empty(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
-        self.used, self.count = 0, 1
-
-    def add(self, found: list[list[int]]) -> range:
-        """Files sequences; their numbers."""
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        total, first, last = int(length.sum()), self.count, self.count + len(found)
-        for name, need in (("ids", self.used + total), ("start", last), ("length", last)):
-            held = getattr(self, name)
-            if need > len(held):
-                setattr(self, name, np.concatenate([held, np.zeros(need + need // 2 - len(held), held.dtype)]))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.start[first:last] = self.used + np.cumsum(length) - length
-        self.length[first:last] = length
-        self.used, self.count = self.used + total, last
-        return range(first, last)
-
-    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the ids of the numbered sequences in a row, how many each has)."""
-        return _gather(self.ids, self.start[numbers], self.length[numbers]), self.length[numbers]
-
-
 class WordwiseEncoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
@@ -131,7 +98,7 @@ class WordwiseEncoder:
                     found.append([t.id for t in ask(before + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))])
                 else:
                     found.append(next(rest))
-            for k, n in zip(gaps, self.stored.add(found)):
+            for k, n in zip(gaps, self.stored.add_lists(found)):
                 numbers[k] = n
                 if len(texts[k]) <= CACHE_CHARS:
                     known[texts[k]] = n
@@ -165,7 +132,7 @@ class WordwiseEncoder:
         heads = coded.dictionary.take(pa.array(code[first])).dictionary_encode()
         head = self._numbers(heads.dictionary, False)[heads.indices.to_numpy()]
         apart = whole.to_numpy(zero_copy_only=False)
-        head[apart] = np.array(self.stored.add(self._library(texts.filter(whole).to_pylist())), np.int64)
+        head[apart] = np.array(self.stored.add_lists(self._library(texts.filter(whole).to_pylist())), np.int64)
         stems, marks = self._words(coded.dictionary)
         word_ids, size = self.stored.joined(np.stack([stems, marks], 1).ravel())
         head_ids, head_size = self.stored.joined(head)
@@ -173,7 +140,7 @@ class WordwiseEncoder:
         start = np.cumsum(size) - size
         pool, start, size = np.concatenate([word_ids, head_ids]), start[code], size[code]
         start[first], size[first] = len(word_ids) + np.cumsum(head_size) - head_size, head_size
-        ids, size = _gather(pool, start, size), np.add.reduceat(size, first)
+        ids, size = gather(pool, start, size), np.add.reduceat(size, first)
         return (ids, size) if end is None else (np.insert(ids, np.cumsum(size), end), size + 1)
 
 
