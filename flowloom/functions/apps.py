@@ -16,24 +16,24 @@ APP_NAMES = [
 # What host names tell an application, in the order in which they are tried. How a pattern is
 # compared: any = anywhere in the name; domain = the name or a parent domain; label = a whole label; start = a label's beginning.
 APP_PATTERNS = [
-    ("YouTube", "any youtube, any ytimg, domain youtu.be, any yt3.ggpht"),
-    ("Instagram", "any instagram, any cdninstagram"),
-    ("WhatsApp", "any whatsapp, domain wa.me"),
-    ("Facebook", "any facebook, any fbcdn, domain fb.com, any fbsbx, domain meta.com"),
-    ("Netflix", "any netflix, any nflxvideo, any nflximg"),
-    ("GitHub", "any github, any githubusercontent"),
-    ("TikTok", "any tiktok, any tiktokcdn, domain musical.ly, any bytedance"),
-    ("Telegram", "any telegram, domain t.me"),
-    ("Spotify", "any spotify, domain scdn.co"),
-    ("Discord", "any discord, any discordapp"),
-    ("Zoom", "label zoom"),
-    ("Twitter/X", "any twitter, any twimg, domain x.com, domain t.co"),
-    ("Google", "any google, any gstatic, any googleapis, any ggpht, any gvt1"),
-    ("Amazon", "any amazon, any amazonaws, any cloudfront, label aws"),
-    ("Microsoft", "any microsoft, domain msn.com, start office, any azure, domain live.com, any outlook, label bing"),
-    ("Apple", "label apple, any icloud, any mzstatic, any itunes"),
-    ("Cloudflare", "any cloudflare, start cf-"),
-]
+    ("YouTube", [("any", "youtube"), ("any", "ytimg"), ("domain", "youtu.be"), ("any", "yt3.ggpht")]),
+    ("Instagram", [("any", "instagram"), ("any", "cdninstagram")]),
+    ("WhatsApp", [("any", "whatsapp"), ("domain", "wa.me")]),
+    ("Facebook", [("any", "facebook"), ("any", "fbcdn"), ("domain", "fb.com"), ("any", "fbsbx"), ("domain", "meta.com")]),
+    ("Netflix", [("any", "netflix"), ("any", "nflxvideo"), ("any", "nflximg")]),
+    ("GitHub", [("any", "github"), ("any", "githubusercontent")]),
+    ("TikTok", [("any", "tiktok"), ("any", "tiktokcdn"), ("domain", "musical.ly"), ("any", "bytedance")]),
+    ("Telegram", [("any", "telegram"), ("domain", "t.me")]),
+    ("Spotify", [("any", "spotify"), ("domain", "scdn.co")]),
+    ("Discord", [("any", "discord"), ("any", "discordapp")]),
+    ("Zoom", [("label", "zoom")]),
+    ("Twitter/X", [("any", "twitter"), ("any", "twimg"), ("domain", "x.com"), ("domain", "t.co")]),
+    ("Google", [("any", "google"), ("any", "gstatic"), ("any", "googleapis"), ("any", "ggpht"), ("any", "gvt1")]),
+    ("Amazon", [("any", "amazon"), ("any", "amazonaws"), ("any", "cloudfront"), ("label", "aws")]),
+    ("Microsoft", [("any", "microsoft"), ("domain", "msn.com"), ("start", "office"), ("any", "azure"), ("domain", "live.com"), ("any", "outlook"), ("label", "bing")]),
+    ("Apple", [("label", "apple"), ("any", "icloud"), ("any", "mzstatic"), ("any", "itunes")]),
+    ("Cloudflare", [("any", "cloudflare"), ("start", "cf-")]),
+]
 
 _COMPARE = {
     "any": lambda host, p: host.contains(p),
@@ -48,7 +48,7 @@ def classify_host(host: Column) -> Column:
     name = F.lower(host)
     found = F.when(host.isNull() | (host == ""), "Unknown")
     for app, patterns in APP_PATTERNS:
-        tests = [_COMPARE[kind](name, p) for kind, p in (x.split(" ") for x in patterns.split(", "))]
+        tests = [_COMPARE[kind](name, p) for kind, p in patterns]
         found = found.when(reduce(Column.__or__, tests), app)
     return found.otherwise("HTTPS")
 
@@ -70,6 +70,6 @@ def classify_sql(host: str) -> str:
         "label": "contains('.' || h || '.', '.{p}.')", "start": "contains('.' || h, '.{p}')",
     }
     whens = " ".join(
-        f"when {' or '.join(sql[kind].format(p=p) for kind, p in (x.split(' ') for x in patterns.split(', ')))} then '{app}'" for app, patterns in APP_PATTERNS
+        f"when {' or '.join(sql[kind].format(p=p) for kind, p in patterns)} then '{app}'" for app, patterns in APP_PATTERNS
     )
     return f"(select case when h is null or h = '' then 'Unknown' {whens} else 'HTTPS' end from (select lower({host}) as h))"
