@@ -39,16 +39,18 @@ def _hosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # DuckDB: what captures.tuples() derives, by its own formulas.
-_TUPLES = """
-with e as (select *, coalesce(cast(json_extract_string(props, '$.k') as bigint), 0) as k from events),
-h as (select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages),
+_KNOWN = "[" + ", ".join(f"'{h}'" for h, _ in captures.KNOWN_HOSTS) + "]"
+_PAGE_HOST = f"case when page_id % 2 = 1 then {_KNOWN}[cast(page_id // 2 % {len(captures.KNOWN_HOSTS)} as int) + 1] else regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) end"
+_TUPLES = f"""
+with e as (select *, coalesce(cast(json_extract_string(props, '$.k') as bigint), 0) as k, (select greatest({captures.CAPTURES}, count(*) // {captures.CAPTURE_EVENTS}) from events) as nc from events),
+h as (select page_id, {_PAGE_HOST} as host from pages),
 c as (
   select e.*, h.host as page_host, event_id % 3 = 0 as back, 10 + 65536 * ((user_id // 256) % 256) + 16777216 * (user_id % 256) as client,
     93 + 184 * 256 + 65536 * ((k // 256) % 256) + 16777216 * (k % 256) as server, [443, 80, 53, 8080, 9001][cast(k % 5 as int) + 1] as service, 40000 + user_id % 20000 as port
-  from e left join h on h.page_id = e.event_id % 200
+  from e left join h on h.page_id = e.event_id % (select count(*) from pages)
 ),
 t as (
-  select 'events-' || (event_id % 4) || '.pcap' as capture, event_id // 4 as packet_no, event_id, ts,
+  select 'events-' || (event_id % nc) || '.pcap' as capture, event_id // nc as packet_no, event_id, ts,
     case when back then server else client end as src_ip, case when back then client else server end as dst_ip,
     case when back then service else port end as src_port, case when back then port else service end as dst_port,
     case when service = 53 then 17 else 6 end as protocol,
@@ -67,13 +69,15 @@ _IP = "(({0}) % 256) || '.' || (({0}) // 256 % 256) || '.' || (({0}) // 65536 %
 
 
 def host_applications(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of each application."""
-    named = _hosts(spark, d).select(classify_host(F.col("host")).alias("app"))
+    """Pages of each application (all groups of names are met: see captures.KNOWN_HOSTS)."""
+    named = captures.page_hosts(_read(spark, d, "pages")).select(classify_host(F.col("host")).alias("app"))
     return aggregates.distribution(named, "app").select("app", "n", F.round("percent", 6).alias("percent"))
 
 
 _HOSTS = "h as (select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages)"
-HOST_APPLICATIONS = f"with {_HOSTS}, a as (select {classify_sql('host')} as app from h) select app, count(*) as n, round(100.0 * count(*) / (select count(*) from a), 6) as percent from a group by app"
+# The applications of the well-known hosts are written out, so that this doesn't ask the same patterns again.
+HOST_APPLICATIONS = f"""with k(host, app) as (values {", ".join(f"('{h}', '{a}')" for h, a in captures.KNOWN_HOSTS)}), h as (select page_id, {_PAGE_HOST} as host from pages),
+a as (select coalesce(app, 'HTTPS') as app from h left join k using (host)) select app, count(*) as n, round(100.0 * count(*) / (select count(*) from a), 6) as percent from a group by app"""
 
 
 def capture_applications(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +188,7 @@ def written_captures(spark: SparkSession, d: str) -> DataFrame:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="flowloom-")
     path = f"{root.rstrip('/')}/captures-{uuid.uuid4().hex}"
     write_captures(_frames(spark, d), path)
-    p = decode.transport_packets(read_captures(spark, path))
+    p = decode.transport_packets(read_captures(spark, path))  # a capture's files are numbered
     name = F.regexp_replace("capture", r"-\d+\.pcap$", ".pcap")
     return p.groupBy(name.alias("capture")).agg(F.count("*").alias("packets"), F.sum("frame_len").alias("bytes"), F.sum("payload_length").alias("payload_bytes"), F.countDistinct("src_ip").alias("sources"))
 
@@ -245,7 +249,7 @@ select j.capture, j.flow_id, coalesce(a.label, {_IP.format('j.src_ip')}) as src_
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Events as flow records: eight captures by user."""
-    e = _read(spark, d, "events").join(_hosts(spark, d).withColumnRenamed("page_id", "_p"), F.col("event_id") % 200 == F.col("_p"), "left")
+    e = _read(spark, d, "events").join(_hosts(spark, d).withColumnRenamed("page_id", "_p"), F.col("event_id") % max(1, _read(spark, d, "pages").count()) == F.col("_p"), "left")
     return e.selectExpr(
         "concat('c', user_id % 8) as capture", "cast(event_id as int) as flow_id", "case when user_id % 5 = 0 then 'UDP' else 'TCP' end as protocol",
         "case when user_id % 5 = 0 then case when event_id % 3 = 0 then 443 else 53 end else case event_id % 4 when 0 then 443 when 1 then 80 when 2 then 8443 else cast(9000 + event_id % 50 as int) end end as dst_port",
@@ -259,7 +263,7 @@ _RECORDS = f"""with {_HOSTS}, r as (select 'c' || (user_id % 8) as capture, even
   case when user_id % 5 = 0 then case when event_id % 3 = 0 then 443 else 53 end else case event_id % 4 when 0 then 443 when 1 then 80 when 2 then 8443 else 9000 + event_id % 50 end end as dst_port,
   case when event_id % 7 < 4 then host end as server_name, case when event_type in ('view', 'error') then 'Unknown' else 'HTTPS' end as application, event_type = 'error' as blocked,
   cast(floor(abs(value) * 40) as bigint) as bytes_out, cast(floor(abs(value) * 7) as bigint) as bytes_in, event_type <> 'view' as syn_seen, event_type = 'purchase' as syn_ack_seen, 'h' || (user_id % 16) as src_ip
-  from events left join h on page_id = event_id % 200)"""
+  from events left join h on page_id = event_id % (select count(*) from pages))"""
 
 
 def capture_signals(spark: SparkSession, d: str) -> DataFrame:

@@ -143,7 +143,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_captures(packets: DataFrame, path: str, keep_orig_len: bool = False) -> None:
-    """Writes rows of RAW: each capture goes to one task and one file, in packet order."""
+    """Writes rows of RAW in packet order: ranges of (capture, packet_no), so that a long capture is several tasks' work and as many numbered files."""
     packets.sparkSession.dataSource.register(PcapSource)
-    ordered = packets.repartition("capture").sortWithinPartitions("capture", "packet_no")
+    parts = max(packets.rdd.getNumPartitions(), int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = packets.repartitionByRange(parts, "capture", "packet_no").sortWithinPartitions("capture", "packet_no")
     ordered.select(*[c.split()[0] for c in RAW.split(", ")]).write.format("pcap").option("keep_orig_len", keep_orig_len).mode("append").save(path)
