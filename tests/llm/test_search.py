@@ -32,11 +32,64 @@ def test_recall_against_brute_force(spark):
 
 def test_walk_is_by_summed_distance():
     rng = np.random.default_rng(1)
-    index = ann.MultiIndex(ann.unit(rng.normal(0, 1, (500, 8))), 5, 0.9)
+    index = ann.MultiIndex(ann.unit(rng.normal(0, 1, (500, 8))), 20)
     first, second = rng.random(len(index.books[0])), rng.random(len(index.books[1]))
-    pairs = index.walk(first, second, np.ones((len(first), len(second)), int), np.inf)
-    sums = [first[i] + second[j] for i, j in pairs]
-    assert len(set(pairs)) == len(first) * len(second) and sums == sorted(sums)
+    steps = list(index.walk(first, second))
+    sums = [first[i] + second[j] for _, i, j in steps]
+    assert len({s[1:] for s in steps}) == len(first) * len(second) == len(steps) and sums == sorted(sums) == [s[0] for s in steps]
+
+
+def test_small_buckets_agree(spark, monkeypatch):
+    """Split and shared buckets give what one bucket gives; a walk over everything gives the exact rows."""
+    rng = np.random.default_rng(2)
+    x, ids = rng.normal(0, 1, (800, 6)), np.arange(800)
+    x[100:400] = x[100] + 0.01 * x[100:400]  # a crowded first centroid
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    got = {}
+    for r in ann.search(frame, "vec_id % 50 = 0", 5, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = _exact(ids, x, 5, 50)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.98
+
+
+def test_clustered_vectors_are_found_in_few_cells():
+    rng = np.random.default_rng(3)
+    centers = rng.normal(0, 1, (60, 32))
+    x = ann.unit(centers[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(0, 1, (6000, 32)))
+    index = ann.MultiIndex(x, 38)
+    i, j = index.cells(x)
+    np.add.at(index.counts, (i, j), 1)
+    d1, d2 = index.halves(x[:100])
+    near = x[:100] @ x.T
+    near[np.arange(100), np.arange(100)] = -9
+    share = []
+    for q in range(100):
+        met = {}
+        total = 0
+        for _, a, b in index.walk(d1[q], d2[q]):
+            total += index.counts[a, b]
+            met[a, b] = total
+        share += [met[i[e], j[e]] / 6000 for e in np.argsort(-near[q])[:5]]
+    assert np.quantile(share, 0.95) < 0.1
+
+
+def test_any_finite_magnitude_counts(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 8))
+    tiny, huge = x[:10] * 1e-200, x[10:20] * 1e200
+    rows = [(k, v.tolist()) for k, v in enumerate([*x, *tiny, *huge, np.full(8, 5e-324)])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(frame, "vec_id % 50 = 0", 5).collect()
+    assert len(found) == 9 * 5 and all(np.isfinite(r.score) for r in found)
+    got = {(r.query_id, r.rank): r for r in found}
+    assert got[0, 1].vec_id == 400 and abs(got[0, 1].score - 1) < 1e-12 and got[400, 1].vec_id == 0
+
+
+def test_rows_of_one_id_are_all_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.6, 0.8]), (0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.9, 0.1])]
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0", 5).collect())
+    assert got == [(0, 1, 1, 0.8), (0, 2, 1, 0.684653), (0, 3, 0, 0.6)]
 
 
 def test_odd_rows(spark):
