@@ -36,7 +36,7 @@ LEAST_CELLS, CELLS = 16, 1024
 SAMPLE_ROWS, SAMPLE_CELLS = 6_000, 20
 PROBES = 256
 RECALL = 0.97
-BLOCK = 8192
+BLOCK = 2048
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:

@@ -60,6 +60,9 @@ _MARKUP = re.compile(
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
 class Page:
     """The elements of a page that aren't inline, in page order, and the text pieces of each.
 
@@ -70,7 +73,7 @@ class Page:
         self.tag, self.tokens, self.parent, self.depth = ["#root"], [()], [-1], [0]
         self.pieces: list[tuple] = []
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones with the element they are in
-        at, links, end = 0, 0, len(source)
+        at, links, end, endless = 0, 0, len(source), set()
         while at < end:
             found = _MARKUP.search(source, at)
             text = source[at : found.start()] if found else source[at:]
@@ -97,9 +100,12 @@ class Page:
                             self.pieces.append((None, "", False))
                         break
                 continue
-            if name in RAW:
-                closing = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = closing.end() if closing else end
+            if name in RAW:  # skipped with its content, if it has an end
+                closing = None if rest.endswith("/") or name in endless else _ENDS[name].search(source, at)
+                if closing:
+                    at = closing.end()
+                elif not rest.endswith("/"):
+                    endless.add(name)
                 continue
             if name in INLINE:
                 if name not in VOID and not rest.endswith("/"):
@@ -189,8 +195,12 @@ def features(page: Page, odds: Odds) -> tuple[np.ndarray, np.ndarray]:
             x[p] += x[k]
         if own[k] and (not blocks[p] or before[k] < before[p]):
             blocks[p] = 1
+    place, same = np.zeros(n, int), np.ones(n)
     for x in kids:
         x.reverse()
+        tags = Counter(page.tag[k] for k in x)
+        for at, k in enumerate(x):
+            place[k], same[k] = at, tags[page.tag[k]] / len(x)
     total = max(1.0, tree[0])
     x = np.zeros((n, FEATURES))
     low, high, token = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -201,14 +211,13 @@ def features(page: Page, odds: Odds) -> tuple[np.ndarray, np.ndarray]:
         low[k] = min([low[p], *of]) if k else 0.0
         high[k] = max([high[p], *of]) if k else 0.0
         mates = kids[p] if k else [0]
-        place = mates.index(k) if len(mates) < 64 else 0
-        prev, nxt = (mates[place - 1] if place else -1), (mates[place + 1] if place + 1 < len(mates) else -1)
-        same = sum(page.tag[m] == page.tag[k] for m in mates[:64]) / min(64, len(mates))
+        at = place[k]
+        prev, nxt = (mates[at - 1] if at else -1), (mates[at + 1] if at + 1 < len(mates) else -1)
         x[k] = (
             of[0], token[k], low[p], high[p], low[k], high[k],
             depth[k], np.log1p(own[k]), np.log1p(tree[k]), np.log1p(tree_nodes[k]),
             tree[k] / tree_nodes[k], tree_link[k] / max(1.0, tree[k]), tree_marks[k] / max(1.0, tree_words[k]), tree_words[k] / tree_nodes[k],
-            tree[k] / total, tree[k] / max(1.0, tree[p]), len(mates), place / len(mates), same, len(kids[k]),
+            tree[k] / total, tree[k] / max(1.0, tree[p]), len(mates), at / len(mates), same[k], len(kids[k]),
             np.log1p(tree[prev]) if prev >= 0 else -1.0, np.log1p(tree[nxt]) if nxt >= 0 else -1.0, token[p], k / n,
         )
     return x, own

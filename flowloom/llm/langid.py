@@ -15,7 +15,6 @@ repeated rows get equal results; without any labelled row every text is `und`; o
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, steps
 from .sampling import sample
 
-BUCKETS = 2048
-SAMPLE_ROWS = 3_000
+BITS = 12
+BUCKETS = 1 << BITS
+SAMPLE_ROWS = 6_000
 #: Labelled rows that a threshold is set on at most.
 CALIBRATION_ROWS = 12_000
 UNDETERMINED = "und"
@@ -40,10 +40,13 @@ FAMILIES = {
     "uralic": ["fi", "et", "hu"],
 }
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256)], np.uint32)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def family(lang: str) -> str:
     return next((name for name, langs in FAMILIES.items() if lang in langs), lang)
 
@@ -54,26 +57,30 @@ def features(text: str) -> np.ndarray:
     raw = raw[np.append(True, (raw[1:] != 32) | (raw[:-1] != 32))]  # one blank between words
     two = raw[:-1] * np.uint32(256) + raw[1:]
     three = two[:-1] * np.uint32(256) + raw[2:]
-    code = np.concatenate([(two * np.uint32(2654435761)) >> np.uint32(21), ((three + np.uint32(1 << 24)) * np.uint32(2246822519)) >> np.uint32(21)])
+    code = np.concatenate([(two * np.uint32(2654435761)) >> np.uint32(32 - BITS), ((three + np.uint32(1 << 24)) * np.uint32(2246822519)) >> np.uint32(32 - BITS)])
     count = np.bincount(code, minlength=BUCKETS).astype(np.float32)
     return np.sqrt(count / max(1, len(code)))
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss, y in {-1, 1}; classes weigh alike. Newton steps by conjugate gradients."""
+    """A linear SVM with squared hinge loss, y in {-1, 1}; classes weigh alike. Newton steps by conjugate gradients.
+
+    x is single precision and never copied: rows within the margin are told by their weights.
+    """
     n, d = x.shape
+    dot = lambda v: (x @ v.astype(np.float32)).astype(float)
+    back = lambda v: (v.astype(np.float32) @ x).astype(float)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * n * cost / n * 100
     w, b = np.zeros(d), 0.0
     for _ in range(rounds):
-        margin = 1 - y * (x @ w + b)
-        on = margin > 0
-        xs, ws = x[on], weight[on]
-        grad = w - xs.T @ (ws * y[on] * margin[on])
-        grad_b = -(ws * y[on] * margin[on]).sum()
+        margin = 1 - y * (dot(w) + b)
+        ws = np.where(margin > 0, weight, 0.0)
+        grad = w - back(ws * y * margin)
+        grad_b = -(ws * y * margin).sum()
 
         def times(v):
-            z = ws * (xs @ v[:-1] + v[-1])
-            return np.append(v[:-1] + xs.T @ z, z.sum() + 1e-6 * v[-1])
+            z = ws * (dot(v[:-1]) + v[-1])
+            return np.append(v[:-1] + back(z), z.sum() + 1e-6 * v[-1])
 
         r = -np.append(grad, grad_b)
         if np.linalg.norm(r) < 1e-3 * np.sqrt(d):
@@ -88,7 +95,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60)
             if rr < 1e-6:
                 break
             p = r + rr / old * p
-        loss = lambda s: 0.5 * ((w + s * v[:-1]) ** 2).sum() + 0.5 * (weight * np.maximum(0, 1 - y * (x @ (w + s * v[:-1]) + b + s * v[-1])) ** 2).sum()
+        loss = lambda s: 0.5 * ((w + s * v[:-1]) ** 2).sum() + 0.5 * (weight * np.maximum(0, 1 - y * (dot(w + s * v[:-1]) + b + s * v[-1])) ** 2).sum()
         at, s = loss(0), 1.0
         while loss(s) > at and s > 1e-3:
             s /= 2
@@ -151,7 +158,7 @@ def fit(train: DataFrame, limit: int = SAMPLE_ROWS) -> Hierarchy | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text"):
-                rows = [(lang, features(t).astype(np.float16).tobytes()) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()) if t and _LETTER.search(t)]
+                rows = [(lang, features(t).astype(np.float16).tobytes()) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()) if has_letter(t)]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "x": pa.array([r[1] for r in rows], pa.binary())})
 
     labelled = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null")
@@ -166,7 +173,7 @@ def fit(train: DataFrame, limit: int = SAMPLE_ROWS) -> Hierarchy | None:
 def _judge(batch: pa.RecordBatch, model: Hierarchy | None) -> tuple[list[str], np.ndarray]:
     texts = batch.column("text").to_pylist()
     pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    rows = [k for k, t in enumerate(texts) if model and t and _LETTER.search(t)]
+    rows = [k for k, t in enumerate(texts) if model and has_letter(t)]
     for a in range(0, len(rows), 1024):
         some = rows[a : a + 1024]
         langs, s = model.predict(np.stack([features(texts[k]) for k in some]))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on at most; the same for every size of input.
 SAMPLE_ROWS = 12_000
+#: Strata that are sampled one by one, the most frequent first; all others are one stratum.
+STRATA = 1_000
 
 
 def sample(rows: DataFrame, strata: list[str], limit: int = SAMPLE_ROWS) -> DataFrame:
@@ -14,17 +16,21 @@ def sample(rows: DataFrame, strata: list[str], limit: int = SAMPLE_ROWS) -> Data
 
     Each stratum keeps a fraction limit / (strata * its rows); nothing is sorted and no group meets in one task.
     """
-    counts = [r.asDict() for r in rows.groupBy(*strata).count().limit(1000).collect()]
+    found = rows.groupBy(*strata).count()
+    counts = [r.asDict() for r in found.orderBy(F.desc("count"), *strata).limit(STRATA).collect()]
     if not counts:
         return rows.limit(0)
+    named = len(counts)
+    if named == STRATA and (rest := rows.count() - sum(c["count"] for c in counts)):
+        counts.append({"count": rest})
     share = limit / len(counts)
     spare = sum(max(0.0, share - c["count"]) for c in counts)  # small strata leave room to large ones
     wide = sum(1 for c in counts if c["count"] > share) or 1
-    chosen = F.lit(False)
-    for c in counts:
+    parts = [min(1.0, (share + spare / wide) / c["count"]) for c in counts]
+    part = F.lit(parts[-1])
+    for c, p in zip(counts[:named], parts):
         here = F.lit(True)
         for s in strata:
             here = here & F.col(s).eqNullSafe(F.lit(c[s]))
-        part = min(1.0, (share + spare / wide) / c["count"])
-        chosen = F.when(here, F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) < int(part * 1_000_003) + 1).otherwise(chosen)
-    return rows.where(chosen)
+        part = F.when(here, p).otherwise(part)
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) <= F.floor(part * 1_000_003))

@@ -10,7 +10,7 @@ The models are fitted on the driver on a bounded sample (SAMPLE_ROWS) of labelle
 computes the features and picks, over that sample, the terms that tell a category best.
 
 Defined results: null and empty texts have no term and get the models' prior, capped below the
-threshold; rows whose label is null don't teach; repeated labels of an id count once, any 1 winning;
+threshold; a row teaches the categories whose label it has; repeated labels of an id count once, any 1 winning;
 without positive labels all probabilities are 0; repeated rows get equal results; other columns are ignored.
 """
 
@@ -89,7 +89,7 @@ class Logistic:
 
 
 class Chain:
-    """The fitted models of the categories, in order."""
+    """The fitted models of the categories, in order. Labels are 0, 1 or -1 (unknown)."""
 
     def __init__(self, categories: list[str], rows: list[np.ndarray], labels: np.ndarray):
         self.categories, self.models = categories, []
@@ -116,13 +116,13 @@ class Chain:
         fold = np.arange(len(rows)) % FOLDS
         dense = np.empty((len(rows), 0))
         for j in range(len(categories)):
-            y = labels[:, j].astype(float)
-            self.models.append(Logistic(local, dense, y, len(best)))
+            y, known = labels[:, j].astype(float), labels[:, j] >= 0
+            pick = lambda mask: ([local[k] for k in np.flatnonzero(mask)], dense[mask])  # noqa: B023, E731
+            self.models.append(Logistic(*pick(known), y[known], len(best)))
             unseen = np.zeros(len(rows))
             for f in range(FOLDS if j + 1 < len(categories) else 0):
-                inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                model = Logistic([local[k] for k in inside], dense[inside], y[inside], len(best))
-                unseen[outside] = model.probability([local[k] for k in outside], dense[outside])
+                model = Logistic(*pick(known & (fold != f)), y[known & (fold != f)], len(best))
+                unseen[fold == f] = model.probability(*pick(fold == f))
             dense = np.hstack([dense, unseen[:, None]])
 
     def probabilities(self, texts: list[str | None], known: Matched) -> np.ndarray:
@@ -139,9 +139,9 @@ class Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], limit: int = SAMPLE_ROWS) -> Chain | None:
-    """Fits a chain of the categories (name -> SQL expression over the columns of `labels`, 0 or 1); None without labelled rows."""
+    """Fits a chain of the categories (name -> SQL expression over the columns of `labels`, 0 or 1); None without labels of the last category."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.expr(e).cast("int").alias(c) for c, e in categories.items()))
-    marks = marks.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories)).dropna()
+    marks = marks.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories)).dropna("all", subset=list(categories))
     chosen = sample(marks, list(categories), limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by `limit`
 
@@ -154,10 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], limit: i
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x, *(batch.column(c) for c in categories)], names=["doc_id", "x", *categories])
 
     got = rows.mapInArrow(run, ", ".join(["doc_id long, x binary", *(f"{c} int" for c in categories)])).collect()
-    if not got:
+    if all(r[list(categories)[-1]] is None for r in got):
         return None
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    return Chain(list(categories), [np.frombuffer(bytes(r.x), np.int64) for r in got], np.array([[r[c] for c in categories] for r in got]))
+    return Chain(list(categories), [np.frombuffer(bytes(r.x), np.int64) for r in got], np.array([[-1 if r[c] is None else r[c] for c in categories] for r in got]))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], chain: Chain | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

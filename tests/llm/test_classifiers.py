@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from brute_force import language_of, toxicity_of
 from pyspark.sql import functions as F
 
 from flowloom.llm import langid, queries, quality, toxicity
@@ -31,6 +32,22 @@ def test_families_come_first():
     assert model.predict(x.astype(np.float32))[0] == langs
 
 
+def test_votes_against_plain_loops(spark, folder):
+    """Every prediction again, machine by machine."""
+    docs, _ = _docs(spark, folder)
+    model = langid.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in langid.predict(docs, model).collect():
+        lang, score = language_of(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+@pytest.mark.parametrize("text", ["½", "²", "3 ½ ²", "_", "١٢"])
+def test_numbers_and_signs_are_no_letters(spark, folder, text):
+    model = langid.fit(_docs(spark, folder)[0])
+    assert langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().lang_pred == "und"
+
+
 def test_language_of_odd_rows(spark, odd, folder):
     docs, _ = _docs(spark, folder)
     model = langid.fit(docs)
@@ -61,6 +78,24 @@ def test_chain_feeds_earlier_probabilities():
     assert len(chain.models[1].dense) == 2 and chain.models[1].dense[0] < -0.5
 
 
+def test_chain_against_plain_sums(spark, folder):
+    """Every probability again, term by term, in the order of the chain."""
+    docs, labels = _docs(spark, folder)
+    chain = toxicity.fit(docs, labels, queries.TOXICITY)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in toxicity.predict(docs, chain, list(queries.TOXICITY)).collect():
+        want = toxicity_of(chain, texts[r.doc_id])
+        assert all(abs(r[f"p_{c}"] - p) < 1e-4 for c, p in zip(chain.categories, want)) and r.toxic == (want[-1] >= toxicity.THRESHOLD)
+
+
+def test_a_row_teaches_what_it_is_labelled_with(spark, folder):
+    docs, labels = _docs(spark, folder)
+    half = labels.withColumn("quality", F.when(F.col("doc_id") % 2 == 0, F.col("quality")))  # no toxic label is lost with it
+    chain = toxicity.fit(docs, half, queries.TOXICITY)
+    got = toxicity.predict(docs, chain, list(queries.TOXICITY)).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    assert sum(r.toxic != bool(r.label) for r in got) <= 2
+
+
 def test_toxicity_of_odd_rows(spark, odd, folder):
     docs, labels = _docs(spark, folder)
     chain = toxicity.fit(docs, labels, queries.TOXICITY)
@@ -80,6 +115,19 @@ def test_quality_on_held_out_documents(spark, folder):
     assert got and all(r.predicted == r.quality for r in got)
 
 
+def test_quality_against_plain_sums(spark, folder):
+    """Every score again, table by table."""
+    docs, labels = _docs(spark, folder)
+    model = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in quality.predict(docs, model).collect():
+        x = quality.features(texts[r.doc_id])
+        bins = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges)]
+        coarse = [b * quality.PAIR_BINS // len(t) for b, t in zip(bins, model.tables)]
+        z = model.start + sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[coarse[a]][coarse[b]] for (a, b), t in zip(model.pairs, model.joint))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
 def test_pairs_learn_an_interaction():
     rng = np.random.default_rng(3)
     x = rng.random((4000, len(quality.FEATURES)))

@@ -44,6 +44,39 @@ def test_decoding_never_contradicts():
             assert "".join("1" if c else "0" for c in chain).strip("0").count("01") == 0
 
 
+def test_elements_without_an_end_lose_nothing(model):
+    page = PAGE.replace("{k}", "9")
+    for extra in ("<svg width=1/>", '<iframe src="x"/>', "<button>", "<select/>", "<object data=x>"):
+        assert model.texts([page.replace("<p>Third", extra + "<p>Third")]) == [TEXT.replace("{k}", "9")], extra
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 400])
+def test_many_siblings(model, n):
+    texts = [f"This is paragraph {k} of a long article, with a comma." for k in range(n)]
+    page = PAGE.replace("{k}", "1").replace("<p>Third one.</p>", "".join(f"<p>{t}</p>" for t in texts))
+    assert model.texts([page])[0] == "\n\n".join([*TEXT.replace("{k}", "1").split("\n\n")[:-1], *texts])
+    parsed = H.Page(page)
+    place = H.features(parsed, model.odds)[0][:, 17]
+    mates = [k for k in range(len(parsed.tag)) if parsed.tag[parsed.parent[k]] == "article" and k]
+    assert np.allclose(place[mates], np.arange(len(mates)) / len(mates))
+
+
+def test_very_long_pages(model):
+    text = "word, " * 60_000
+    assert model.texts([PAGE.replace("{k}", "1").replace("Third one.", text)])[0].endswith(text.strip())
+
+
+def test_whole_query_against_articles(spark, tmp_path):
+    """The registered query over a table of its own: learning and extraction together give the articles back."""
+    from flowloom.llm import queries
+
+    rows = [(k, f"http://x/{k}", PAGE.replace("{k}", str(k))) for k in range(80)] + [(80, "u", None), (81, None, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in queries.op4_boosted_html_text(spark, str(tmp_path)).collect()}
+    want = {k: TEXT.replace("{k}", str(k)) for k in range(80)} | {80: "", 81: ""}
+    assert {k: r.text for k, r in got.items()} == want and all(r.n_chars == len(want[k]) for k, r in got.items())
+
+
 def test_malformed_pages(model):
     for page in ("", "   ", "no markup at all", "<", "<p", '<a title="never closed>text', "</div></p>", "<!-- open", "<script>var x", "<p>" * 3000, "<b><i><p>x</b></i>", "&amp;&#0;&bogus;"):
         assert isinstance(model.texts([page])[0], str)

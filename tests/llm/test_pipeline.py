@@ -1,6 +1,6 @@
 import random
 
-from brute_force import components_of, contamination_of
+from brute_force import components_of, contamination_of, language_of, toxicity_of
 
 import corpus_pipeline as P
 from flowloom.llm import langid, toxicity
@@ -14,11 +14,13 @@ def _rows(df):
 def test_stages_against_brute_force(spark, folder, corpus):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    found = {r.doc_id: r for r in langid.predict(docs, langid.fit(langid.training_rows(docs))).collect()}
+    model = langid.fit(langid.training_rows(docs))
     one = P.language(spark, docs, folder)
-    assert set(_rows(one)) == {i for i, r in found.items() if r.lang_pred != "und" and r.score >= 0.5} and one.columns == docs.columns
+    told = {i: language_of(model, t) for i, t in _rows(docs).items()}
+    assert set(_rows(one)) == {i for i, (lang, score) in told.items() if lang != "und" and score >= 0.5} and one.columns == docs.columns
     two = P.civil(spark, one, folder)
-    bad = {r.doc_id for r in toxicity.predict(one, toxicity.fit(one, labels, TOXICITY), list(TOXICITY)).where("toxic").collect()}
+    chain = toxicity.fit(one, labels, TOXICITY)
+    bad = {i for i, t in _rows(one).items() if toxicity_of(chain, t)[-1] >= toxicity.THRESHOLD}
     assert set(_rows(two)) == set(_rows(one)) - bad and two.columns == docs.columns
     kept = _rows(two)
     three = P.distinct(spark, two, folder)
