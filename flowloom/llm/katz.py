@@ -54,6 +54,17 @@ def _pack(x: np.ndarray, kind: str) -> bytes:
     return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Counts in 32 bits each, or in 64 if one needs them; the first byte tells which."""
+    x = np.asarray(x).astype(np.int64, copy=False)
+    kind = "<u8" if x.max(initial=0) >> 32 else "<u4"
+    return bytes([int(kind[-1])]) + _pack(x, kind)
+
+
+def _unpack_counts(b: bytes) -> np.ndarray:
+    return _unpack(b[1:], f"<u{b[0]}").astype(np.int64, copy=False) if b[0] == 8 else _unpack(b[1:], "<u4")
+
+
 def _unpack(b: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
@@ -129,15 +140,16 @@ class Chunk:
 
 
 def _located(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text, file, block, row) of rows that are read from files; other rows are written to the shared folder first."""
+    """(doc_id, text, file, block, row) of rows that are read from files; all others are written to the shared folder first.
+
+    Places in files are only trusted if the rows are a plain scan: above a shuffle, a join or an explode Spark still resolves them, but
+    rows then come in another order, or several times.
+    """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.row_index").alias("row")]
-    try:
-        located = docs.select(*columns, *where)
-        located.schema  # noqa: B018  resolves the hidden column
-        return located
-    except AnalysisException:
-        return materialise(docs.select(*columns), f"{path}/documents").select(*columns, *where)
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        docs = materialise(docs.select(*columns), f"{path}/documents")
+    return docs.select(*columns, *where)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], mod: int, rest: int) -> Iterator[Chunk]:
@@ -203,12 +215,12 @@ class Unigrams:
 def _merge_words(rows: pa.Table) -> pa.Table:
     """Adds up the chunks' word counts of a bucket; each chunk gets the totals, and one row (chunk -1) the counts of counts."""
     ids = [_unpack(b, "<u8") for b in rows["ids"].to_pylist()]
-    counts = [_unpack(b, "<u4") for b in rows["counts"].to_pylist()]
+    counts = [_unpack_counts(b) for b in rows["counts"].to_pylist()]
     distinct, inverse = np.unique(np.concatenate(ids), return_inverse=True)
     total = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
     told, at = [], 0
     for x in ids:
-        told.append(_pack(total[inverse[at : at + len(x)]], "<u4"))
+        told.append(_pack_counts(total[inverse[at : at + len(x)]]))
         at += len(x)
     hist = np.append(np.bincount(np.minimum(total, LARGEST + 2), minlength=LARGEST + 3)[1 : LARGEST + 2], [total.sum(), (total > 0).sum()])
     n = len(told)
@@ -233,8 +245,8 @@ def _merge_pairs(unigrams: Unigrams):
         runs = [_unpack(b, "<u4") for b in rows["runs"].to_pylist()]
         group = np.concatenate([np.repeat(g, r) for g, r in zip(groups, runs)])
         ids = np.concatenate([_unpack(b, "<u8") for b in rows["ids"].to_pylist()])
-        count = np.concatenate([_unpack(b, "<u4") for b in rows["counts"].to_pylist()])
-        seen = np.concatenate([_unpack(b, "<u4") for b in rows["seen"].to_pylist()])
+        count = np.concatenate([_unpack_counts(b) for b in rows["counts"].to_pylist()])
+        seen = np.concatenate([_unpack_counts(b) for b in rows["seen"].to_pylist()])
         with np.errstate(over="ignore"):
             _, first, inverse = np.unique(mix64(group * np.uint64(0x9E3779B97F4A7C15) + ids), return_index=True, return_inverse=True)
         total = np.bincount(inverse, count, len(first)).astype(np.int64)
@@ -245,11 +257,11 @@ def _merge_pairs(unigrams: Unigrams):
         told, totals, hists, held, at = [], [], [], [], 0
         for g, r in zip(groups, runs):
             size = int(r.sum())
-            told.append(_pack(total[inverse[at : at + size]], "<u4"))
+            told.append(_pack_counts(total[inverse[at : at + size]]))
             at += size
             where = np.searchsorted(contexts, g)
-            totals.append(_pack(tallies[where, 0], "<u4"))
-            hists.append(_pack(tallies[where, 1:].ravel(), "<u4"))
+            totals.append(_pack_counts(tallies[where, 0]))
+            hists.append(_pack_counts(tallies[where, 1:].ravel()))
             held.append(_pack(sums[where], "<f8"))
         salts = np.concatenate([_unpack(b, "<u4") for b in rows["salts"].to_pylist()])
         split = np.unique(np.concatenate(groups)[salts > 1])
@@ -289,7 +301,7 @@ class Told:
         known = np.zeros(chunk.width, np.int64)
         bucket, order = _word_buckets(chunk, buckets)
         for b, where in _cuts(bucket):
-            known[order[where]] = _unpack(self(b, "counts"), "<u4")
+            known[order[where]] = _unpack_counts(self(b, "counts"))
         known[[chunk.start, chunk.unknown]] = 0
         return known
 
@@ -305,7 +317,7 @@ def _ask_words(buckets: int, mod: int, rest: int):
         for chunk in _chunks(batches, mod, rest):
             count = np.bincount(chunk.at, chunk.learns, chunk.width)
             bucket, order = _word_buckets(chunk, buckets)
-            rows = [(b, chunk.id, _pack(chunk.hash[order[w]], "<u8"), _pack(count[order[w]], "<u4")) + (b"",) * 4 for b, w in _cuts(bucket)]
+            rows = [(b, chunk.id, _pack(chunk.hash[order[w]], "<u8"), _pack_counts(count[order[w]].astype(np.int64))) + (b"",) * 4 for b, w in _cuts(bucket)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 6])], names=[c.split()[0] for c in _ASKED.split(", ")])
 
     return run
@@ -321,7 +333,7 @@ def _ask_pairs(words: str, word_buckets: int, buckets: int, unigrams: Unigrams,
                 first = np.flatnonzero(np.append(True, group[w][1:] != group[w][:-1]))
                 runs = np.diff(np.append(first, w.stop - w.start))
                 rows.append(
-                    (b, chunk.id, _pack(ids[w], "<u8"), _pack(count[w], "<u4"), _pack(group[w][first], "<u8"), _pack(runs, "<u4"), _pack(salts[w][first], "<u4"), _pack(known[token[w]], "<u4"))
+                    (b, chunk.id, _pack(ids[w], "<u8"), _pack_counts(count[w]), _pack(group[w][first], "<u8"), _pack(runs, "<u4"), _pack(salts[w][first], "<u4"), _pack_counts(known[token[w]]))
                 )
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 6])], names=[c.split()[0] for c in _ASKED.split(", ")])
@@ -342,10 +354,10 @@ def _score(words: str, word_buckets: int, pairs: str, buckets: int, unigrams: Un
             p = np.empty(len(bucket))
             told = Told(pairs, chunk.id) if len(bucket) else None
             for b, w in _cuts(bucket):
-                count = _unpack(told(b, "counts"), "<u4").astype(np.int64)
+                count = _unpack_counts(told(b, "counts")).astype(np.int64)
                 first = np.append(True, group[w][1:] != group[w][:-1])
-                total = _unpack(told(b, "totals"), "<u4").astype(float)
-                hist = _unpack(told(b, "hist"), "<u4").reshape(-1, LARGEST).astype(float)
+                total = _unpack_counts(told(b, "totals")).astype(float)
+                hist = _unpack_counts(told(b, "hist")).reshape(-1, LARGEST).astype(float)
                 sums = _unpack(told(b, "sums"), "<f8").copy()
                 for k, g in enumerate(group[w][first].tolist()):
                     if g in split:
@@ -418,4 +430,8 @@ def _table(asked: DataFrame, merge, path: str) -> None:
 
 
 def _stats(docs: DataFrame, path: str) -> list:
-    return docs.sparkSession.read.schema(_TOLD).parquet(path).where("chunk = -1").select("counts", "totals", "hist", "sums").collect()
+    """The buckets' own rows, read from their folder alone: the chunks' folders aren't listed."""
+    try:
+        return docs.sparkSession.read.schema(_TOLD.replace("chunk long, ", "")).parquet(f"{path}/chunk=-1").select("counts", "totals", "hist", "sums").collect()
+    except AnalysisException:  # no rows, no folder
+        return []

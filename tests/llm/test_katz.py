@@ -74,6 +74,27 @@ def test_small_chunks_and_split_contexts_agree(spark, corpus, monkeypatch):
     _check(K.score(frame).collect(), docs)
 
 
+def test_rows_in_another_order_than_their_files(spark, corpus, folder):
+    """Shuffled, united and exploded rows are counted once each."""
+    docs = [(d[0], d[1]) for d in corpus[0]]
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    _check(K.score(frame.repartition(5)).collect(), docs)
+    _check(K.score(frame.where("doc_id < 90").union(frame.where("doc_id >= 90"))).collect(), docs)
+    twice = frame.selectExpr("explode(array(doc_id, doc_id + 1000)) as doc_id", "text")
+    _check(K.score(twice).collect(), [(i + k, t) for i, t in docs for k in (0, 1000)])
+
+
+def test_counts_beyond_32_bits():
+    for x in ([0, 5, 2**32 - 1], [2**32 + 5, 1], []):
+        assert K._unpack_counts(K._pack_counts(np.array(x, np.int64))).tolist() == x
+    group = K.mix64(np.array([5], np.uint64))
+    row = lambda n: {"bucket": 0, "chunk": n, "ids": K._pack(group, "<u8"), "counts": K._pack_counts(np.array([2**32 - 1]))}
+    import pyarrow as pa
+
+    told = K._merge_words(pa.Table.from_pylist([row(1), row(2)])).to_pylist()
+    assert [K._unpack_counts(t["counts"]).tolist() for t in told[:2]] == [[2**33 - 2]] * 2
+
+
 def test_odd_rows(spark, odd):
     rows = K.score(odd).collect()
     assert len(rows) == odd.count()
