@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.network import five_tuple_hash, mix64
 
 
+def inspection_counters(judged: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per capture: packets that named their flow, names taken from TLS, and those that told an application beyond the protocol's own.
+
+    judged and verdicts: the rows of flows.judged_packets and flows.verdicts, one for each packet.
+    """
+    key = ["capture", "lo_ip", "lo_port", "hi_ip", "hi_port", "protocol", "packet_no"]
+    named = judged.select(*key, "cand_kind", "cand_app").join(verdicts.where("named").select(*key), key)
+    tls, http = F.col("cand_kind") == "tls", F.col("cand_kind") == "http"
+    hit = (tls & ~F.col("cand_app").isin("Unknown", "HTTPS")) | (http & ~F.col("cand_app").isin("Unknown", "HTTP"))
+    return named.groupBy("capture").agg(F.count("*").alias("classified"), F.count_if(tls).alias("sni_extractions"), F.count_if(hit).alias("classification_hits"))
+
+
 def capture_totals(packets: DataFrame) -> DataFrame:
     """Packets and bytes, TCP and UDP, of each capture; with a column `reason` also forwarded and dropped."""
     more = [F.count_if(F.col("reason").isNull()).alias("forwarded_packets"), F.count_if(F.col("reason").isNotNull()).alias("dropped_packets")] if "reason" in packets.columns else []

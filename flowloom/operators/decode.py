@@ -56,6 +56,11 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+def first_packets(packets: DataFrame, n: int) -> DataFrame:
+    """The first n records of each capture (a run's packet limit)."""
+    return packets.where(F.col("packet_no") < n)
+
+
 def transport_packets(raw: DataFrame) -> DataFrame:
     """The well-formed IPv4 TCP and UDP packets."""
     return decode(raw).where("ok and has_ip and (has_tcp or has_udp)")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .embedding import norm
 
-#: Queries that one block holds at most; a larger set is searched block by block.
-QUERY_BLOCK = 512
+#: Entries of the index that one task holds at a time, and queries that it compares with them at once.
+BUCKET, QUERIES = 4096, 256
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,58 +24,63 @@ def cosine(a: Column, b: Column) -> Column:
 def search(queries: DataFrame, index: DataFrame, top_k: int, least: float | None = None) -> DataFrame:
     """The top_k entries of each query: label, chunk_id, similarity, rank (from 0); ties go to the lesser chunk_id.
 
-    queries: (label, vector), index: (chunk_id, vector). Queries go in blocks to where the index is; every task keeps the best of its
-    entries for each query, so that only those are shuffled. Scores below `least` don't count; scores are clamped to [-1, 1] afterwards.
+    queries: (label, vector), index: (chunk_id, vector). The index lies in buckets by a hash; the queries, a stated set, are sent to every bucket,
+    whose task holds its entries and streams the queries past them, so that only each bucket's best are shuffled. Nothing passes through the driver.
+    Scores below `least` don't count; scores are clamped to [-1, 1] afterwards. A query vector that is zero or not finite is an error;
+    entries with null or non-finite components take no part, and a zero entry has similarity 0.
     """
     if top_k < 0:
         raise ValueError("top_k is negative")
-    spark = index.sparkSession
-    out = spark.createDataFrame([], "label string, chunk_id string, similarity double")
-    block: list = []
-
-    def add(rows: list) -> None:
-        nonlocal out
-        out = out.union(_scan(index, [r.label for r in rows], np.array([r.vector for r in rows], float), top_k, least))
-
-    if top_k:
-        for row in queries.select(F.col("label").cast("string").alias("label"), "vector").toLocalIterator():
-            block.append(row)
-            if len(block) == QUERY_BLOCK:
-                add(block)
-                block = []
-        if block:
-            add(block)
+    x = F.col("vector")
+    finite = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    asked = queries.select(F.col("label").cast("string").alias("label"), F.col("vector").cast("array<double>").alias("vector"))
+    if asked.where(~finite | (norm(x) < 1e-12)).limit(1).count():
+        raise ValueError("a query vector is zero or not finite")
+    rows = index.select(F.col("chunk_id").cast("string").alias("label"), F.col("vector").cast("array<double>").alias("vector")).where(finite)
+    buckets = rows.count() // BUCKET + 1
+    entries = rows.select(F.pmod(F.xxhash64("label"), F.lit(buckets)).alias("bucket"), F.lit(True).alias("entry"), "label", "vector")
+    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"), F.lit(False).alias("entry"), "label", "vector")
+    both = entries.union(sent if top_k else sent.limit(0)).repartition("bucket").sortWithinPartitions("bucket", F.desc("entry"))
+    found = both.mapInArrow(_past_entries(top_k, least), "label string, chunk_id string, similarity double")
     order = Window.partitionBy("label").orderBy(F.desc("similarity"), "chunk_id")
-    ranked = out.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top_k)
+    ranked = found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top_k)
     return ranked.withColumn("similarity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity"))))
 
 
-def _scan(index: DataFrame, labels: list[str], q: np.ndarray, top_k: int, least: float | None) -> DataFrame:
-    length = np.sqrt((q * q).sum(1))
-    if (length < 1e-12).any() or not np.isfinite(q).all():
-        raise ValueError("a query vector is zero or not finite")
-    unit = q / length[:, None]
+def _units(parts: list[pa.RecordBatch]) -> np.ndarray:
+    x = np.concatenate([np.asarray(p.column("vector").flatten().to_numpy(zero_copy_only=False)).reshape(p.num_rows, -1) for p in parts])
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+
+
+def _past_entries(top_k: int, least: float | None):
+    """Walks buckets, whose entries come first, and gives the best of each for every query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, ids, units = None, [], None, None
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                x = np.asarray(part.column("vector").flatten().to_numpy(zero_copy_only=False), float).reshape(part.num_rows, -1)
-                near = (x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]) @ unit.T
-                ids = np.array(part.column("chunk_id").to_pylist(), object)
-                found: list[list] = [[], [], []]
-                for j, label in enumerate(labels):
-                    score = near[:, j]
-                    floor = np.partition(score, -top_k)[-top_k] if len(score) > top_k else -np.inf
-                    keep = np.flatnonzero((score >= floor) & (score >= (least if least is not None else -np.inf)))
-                    best = sorted(keep, key=lambda k: (-score[k], ids[k]))[:top_k]
-                    found[0] += [label] * len(best)
-                    found[1] += ids[best].tolist()
-                    found[2] += score[best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())], names=["label", "chunk_id", "similarity"])
-
-    rows = index.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("vector").cast("array<double>").alias("vector"))
-    return rows.mapInArrow(run, "label string, chunk_id string, similarity double")
+            kind = list(zip(batch.column("bucket").to_pylist(), batch.column("entry").to_pylist()))
+            edges = [k for k in range(len(kind)) if not k or kind[k] != kind[k - 1]]
+            for a, b in zip(edges, [*edges[1:], len(kind)]):
+                if kind[a][0] != bucket:
+                    bucket, held, units = kind[a][0], [], None
+                if kind[a][1]:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                if units is None and held:
+                    ids, units = np.array([i for p in held for i in p.column("label").to_pylist()], object), _units(held)
+                for c in range(a, b if held else a, QUERIES):
+                    some = batch.slice(c, min(QUERIES, b - c))
+                    near, found = _units([some]) @ units.T, ([], [], [])
+                    for label, score in zip(some.column("label").to_pylist(), near):
+                        floor = np.partition(score, -top_k)[-top_k] if len(score) > top_k else -np.inf
+                        keep = np.flatnonzero((score >= floor) & (score >= (least if least is not None else -np.inf)))
+                        best = sorted(keep, key=lambda k: (-score[k], ids[k]))[:top_k]
+                        found[0].extend([label] * len(best))
+                        found[1].extend(ids[best].tolist())
+                        found[2].extend(score[best].tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())], names=["label", "chunk_id", "similarity"])
+
+    return run
 
 
 def merge(hits: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.apps import app_code, app_name, classify_host, classify_sql
 from .functions.network import five_tuple_hash, protocol_name, tcp_flags_name
 from .functions.text import content_hash, entropy, estimate_tokens, leftmost_label, redact_secrets, sanitize_hostname
-from .operators import aggregates, chunking, context, decode, evaluation, flows, report, search, signals
+from .operators import aggregates, checks, chunking, context, decode, evaluation, export, flows, report, search, signals
 from .operators.inspect import block_reason, inspect
 from .plans import captures
 from .plans.pipeline import kept
@@ -140,12 +140,47 @@ from o group by all"""
 
 
 def engine_flows(spark: SparkSession, d: str) -> DataFrame:
-    """Flows after the engine's state machine and rules (sequential: no SQL form)."""
+    """Flows after the engine's state machine and rules."""
     judged = kept(flows.judged_packets(_packets(spark, d), RULES))
     f = flows.engine_flows(judged, kept(flows.verdicts(judged, RULES)))
     return f.select("capture", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "state", "app", "sni", "action", "packets_out", "packets_in", "dropped", "blocked_events")
 
 
+# The state machine packet by packet, as a recursive query over the places of packets in their flows.
+_FLOW = "capture, lo_ip, lo_port, hi_ip, hi_port, protocol"
+_WALK = _NAMED.replace("with e as", "with recursive e as", 1) + f""", j as (
+  select *, case when src_ip in ({", ".join(map(str, RULES.ips))}) then 'IP' when dst_port = 9001 then 'PORT' end as own,
+    case when cand_app = 'HTTP' then 'APP' when cand_name <> '' and (lower(cand_name) = 'example.net' or lower(cand_name) like '%.example.net' or lower(cand_name) glob 'cdn*.example.com') then 'DOMAIN' end as cr,
+    case when protocol = 6 then tcp_flags else 0 end as f, row_number() over (partition by {_FLOW} order by packet_no) as k from m
+), w as (
+  select distinct {_FLOW}, cast(0 as bigint) as k, 0 as ph, false as syn, false as sa, false as fin, cast(null as varchar) as named, 'Unknown' as app, '' as name, cast(null as varchar) as reason, false as told from j
+  union all
+  select {_FLOW}, k, case when ph <> 3 and r is not null then 3 else ph end, syn, sa, fin, named, app, name, case when ph = 3 then 'FLOW' else r end, told from (
+    select {_FLOW}, k, syn, sa, fin, case when told then 2 else ph end as ph, case when told then cr else named end as named, case when told then cand_app else app end as app,
+      case when told then cand_name else name end as name, coalesce(own, case when told then cr else named end) as r, told from (
+      select *, cand_app is not null and ph not in (2, 3) as told from (
+        select * replace (case when (f & 4) > 0 or (fin and (f & 16) > 0) then 4 when ph = 0 and syn and sa and (f & 16) > 0 then 1 else ph end as ph) from (
+          select {", ".join("j." + c for c in _FLOW.split(", "))}, j.k, j.f, j.own, j.cr, j.cand_app, j.cand_name, w.ph, w.named, w.app, w.name,
+            w.syn or ((j.f & 2) > 0 and (j.f & 16) = 0) as syn, w.sa or ((j.f & 2) > 0 and (j.f & 16) > 0) as sa, w.fin or (j.f & 1) > 0 as fin
+          from w join j on {" and ".join(f"w.{c} = j.{c}" for c in _FLOW.split(", "))} and j.k = w.k + 1))))
+)"""
+ENGINE_FLOWS = _WALK + f""", d as (select {_FLOW}, arg_max(ph, k) as ph, arg_max(app, k) as app, arg_max(name, k) as sni, count(reason) as dropped, count(*) filter (reason <> 'FLOW') as blocked_events from w where k > 0 group by all),
+o as (select {_FLOW}, arg_min(is_lo, packet_no) as opened, count(*) filter (is_lo) as n_lo, count(*) filter (not is_lo) as n_hi from m group by all)
+select capture, case when opened then lo_ip else hi_ip end as src_ip, case when opened then lo_port else hi_port end as src_port, case when opened then hi_ip else lo_ip end as dst_ip, case when opened then hi_port else lo_port end as dst_port, protocol,
+  ['NEW', 'ESTABLISHED', 'CLASSIFIED', 'BLOCKED', 'CLOSED'][ph + 1] as state, app, sni, case when blocked_events > 0 then 'DROP' else 'FORWARD' end as action, case when opened then n_lo else n_hi end as packets_out, case when opened then n_hi else n_lo end as packets_in, dropped, blocked_events
+from d join o using ({_FLOW})"""
+
+
+def inspection_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Names taken from packets, and applications told by them."""
+    judged = kept(flows.judged_packets(_packets(spark, d), RULES))
+    return aggregates.inspection_counters(judged, flows.verdicts(judged, RULES))
+
+
+INSPECTION_COUNTERS = _WALK + f""" select capture, count(*) as classified, count(*) filter (kind = 'tls') as sni_extractions, count(*) filter ((kind = 'tls' and cand_app not in ('Unknown', 'HTTPS')) or (kind = 'http' and cand_app not in ('Unknown', 'HTTP'))) as classification_hits
+from w join j using ({_FLOW}, k) where told group by capture"""
+
+
 def directed_flows(spark: SparkSession, d: str) -> DataFrame:
     """The `working` policy's flows: application, name and first dropped packet."""
     f = flows.simple_flows(_packets(spark, d), Rules().block_app("DNS").block_domain("example.net"), "working")
@@ -178,6 +213,14 @@ def capture_totals(spark: SparkSession, d: str) -> DataFrame:
 CAPTURE_TOTALS = _TUPLES + "select capture, count(*) as total_packets, sum(frame_len) as total_bytes, count(*) filter (protocol = 6) as tcp_packets, count(*) filter (protocol = 17) as udp_packets from q group by all"
 
 
+def limited_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of the first thousand packets of each capture."""
+    return aggregates.capture_totals(decode.first_packets(_packets(spark, d), 1000))
+
+
+LIMITED_TOTALS = CAPTURE_TOTALS.replace("from q group", "from q where packet_no < 1000 group")
+
+
 def written_captures(spark: SparkSession, d: str) -> DataFrame:
     """The derived captures written as files, read back and summed up."""
     import tempfile
@@ -248,10 +291,11 @@ select j.capture, j.flow_id, coalesce(a.label, {_IP.format('j.src_ip')}) as src_
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    """Events as flow records: eight captures by user."""
+    """Events as flow records: captures by user, eight at least and one for every 1,250 events."""
+    captures_ = max(8, _read(spark, d, "events").count() // 1250)
     e = _read(spark, d, "events").join(_hosts(spark, d).withColumnRenamed("page_id", "_p"), F.col("event_id") % max(1, _read(spark, d, "pages").count()) == F.col("_p"), "left")
     return e.selectExpr(
-        "concat('c', user_id % 8) as capture", "cast(event_id as int) as flow_id", "case when user_id % 5 = 0 then 'UDP' else 'TCP' end as protocol",
+        f"concat('c', user_id % {captures_}) as capture", "cast(event_id as int) as flow_id", "case when user_id % 5 = 0 then 'UDP' else 'TCP' end as protocol",
         "case when user_id % 5 = 0 then case when event_id % 3 = 0 then 443 else 53 end else case event_id % 4 when 0 then 443 when 1 then 80 when 2 then 8443 else cast(9000 + event_id % 50 as int) end end as dst_port",
         "case when event_id % 7 < 4 then host end as server_name", "case when event_type in ('view', 'error') then 'Unknown' else 'HTTPS' end as application", "case when event_type = 'error' then 'BLOCKED' else 'NEW' end as state",
         "case when event_type = 'error' then 'DROP' else 'FORWARD' end as verdict", "cast(floor(abs(value) * 40) as bigint) as bytes_out", "cast(floor(abs(value) * 7) as bigint) as bytes_in",
@@ -259,7 +303,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_RECORDS = f"""with {_HOSTS}, r as (select 'c' || (user_id % 8) as capture, event_id as flow_id, case when user_id % 5 = 0 then 'UDP' else 'TCP' end as protocol,
+_RECORDS = f"""with {_HOSTS}, r as (select 'c' || (user_id % (select greatest(8, count(*) // 1250) from events)) as capture, event_id as flow_id, case when user_id % 5 = 0 then 'UDP' else 'TCP' end as protocol,
   case when user_id % 5 = 0 then case when event_id % 3 = 0 then 443 else 53 end else case event_id % 4 when 0 then 443 when 1 then 80 when 2 then 8443 else 9000 + event_id % 50 end end as dst_port,
   case when event_id % 7 < 4 then host end as server_name, case when event_type in ('view', 'error') then 'Unknown' else 'HTTPS' end as application, event_type = 'error' as blocked,
   cast(floor(abs(value) * 40) as bigint) as bytes_out, cast(floor(abs(value) * 7) as bigint) as bytes_in, event_type <> 'view' as syn_seen, event_type = 'purchase' as syn_ack_seen, 'h' || (user_id % 16) as src_ip
@@ -404,12 +448,84 @@ select query_id, cast(coalesce(max(case when rel and rank <= 5 then 1 end), 0) a
 
 
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Which turns of each conversation fit a budget, in order (a fold that passes over what doesn't fit: no SQL form)."""
+    """Which turns of each conversation fit a budget, in order."""
     t = _read(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max(F.length("text")).alias("n"))
     ranked = t.select(F.col("conv_id").cast("string").alias("capture"), F.col("turn").cast("int").alias("rank"), F.col("turn").cast("string").alias("chunk_id"), (F.col("n") + 100).alias("size"))
     return context.fit_budget(ranked).select(F.col("capture").cast("long").alias("conv_id"), F.col("chunk_id").cast("long").alias("turn"), "position", "reason")
 
 
+_BUDGET = f"""with recursive r as (select conv_id, turn, cast(max(length(text)) + 100 as bigint) as size, row_number() over (partition by conv_id order by turn) as k from conversations group by conv_id, turn),
+w as (
+  select distinct conv_id, cast(0 as bigint) as k, cast(0 as bigint) as n, cast(0 as bigint) as used, cast(null as bigint) as turn, cast(null as varchar) as reason, cast(null as int) as position from r
+  union all
+  select conv_id, k, case when reason is null then n + 1 else n end, case when reason is null then total else used end, turn, reason, case when reason is null then cast(n as int) end from (
+    select *, case when n >= {context.MAX_ITEMS} then 'max_items' when total > {context.MAX_CHARS} then 'max_chars' when ceil(total / 3.5) > {context.MAX_TOKENS} then 'max_tokens' end as reason from (
+      select w.conv_id, r.k, w.n, w.used, r.turn, w.used + r.size + length(cast(w.n + 1 as varchar)) + case when w.n > 0 then 2 else 0 end as total from w join r on r.conv_id = w.conv_id and r.k = w.k + 1))
+)"""
+CONTEXT_BUDGET = _BUDGET + " select conv_id, turn, position, reason from w where k > 0"
+
+
+def context_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the budget's walk once a place in every seventh conversation is moved and every eleventh loses its reasons."""
+    walked = context_budget(spark, d).withColumns({"position": F.when(F.col("conv_id") % 7 == 3, F.col("position") + 1).otherwise(F.col("position")), "reason": F.when(F.col("conv_id") % 11 != 5, F.col("reason"))})
+    return checks.context_problems(walked.withColumn("chunk_id", F.col("turn")), max_items=context.MAX_ITEMS, by="conv_id")
+
+
+CONTEXT_CHECKS = _BUDGET + f""", v as (select conv_id, case when conv_id % 7 = 3 then position + 1 else position end as position, case when conv_id % 11 <> 5 then reason end as reason, position as was from w where k > 0),
+c as (select count(*) filter ((position is null) <> (reason is not null)) as a, count(*) filter (position <> was) as b, count(*) filter (position >= {context.MAX_ITEMS}) as e from v)
+select * from (select 'taken or left out' as problem, a as n from c union all select 'places', b from c union all select 'too many', e from c) where n > 0"""
+
+
+def record_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Event records with planted faults: ports out of range, control characters, negative bytes, and numbers with gaps."""
+    r = _records(spark, d).withColumns({
+        "src_port": F.lit(5), "dst_port": F.when(F.col("flow_id") % 97 == 5, F.col("dst_port") + 100_000).otherwise(F.col("dst_port")),
+        "server_name": F.when(F.col("flow_id") % 101 == 7, F.concat(F.coalesce("server_name", F.lit("x")), F.lit("\n"))).otherwise(F.col("server_name")), "bytes_in": F.when(F.col("flow_id") % 89 == 2, F.lit(-1)).otherwise(F.col("bytes_in")),
+    })
+    return checks.record_problems(r)
+
+
+RECORD_CHECKS = """with c as (select count(*) filter (event_id % 97 = 5) as a, count(*) filter (event_id % 89 = 2) as b, count(*) filter (event_id % 101 = 7) as e,
+ (select count(*) from (select count(*) as n, min(event_id) as lo, max(event_id) as hi from events group by user_id % (select greatest(8, count(*) // 1250) from events)) where lo <> 0 or hi <> n - 1) as f from events)
+select * from (select 'destination port' as problem, a as n from c union all select 'negative bytes', b from c union all select 'control character', e from c union all select 'numbering', f from c) where n > 0"""
+
+
+def chunk_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the documents' chunks once every fiftieth document's count is off and every fortieth section unknown."""
+    sections = _read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("section"), "text")
+    made = chunking.chunks(sections).withColumn("chunk_count", F.when(F.col("document_id") % 50 == 3, F.col("chunk_count") + 1).otherwise(F.col("chunk_count")))
+    found = checks.chunk_problems(made, sections.where("document_id % 40 <> 1"))
+    return found.groupBy("problem").agg(F.sum(F.when(F.col("problem") == "unknown section", 1).otherwise(F.col("n"))).alias("n"))  # how many chunks a document has, SQL can't tell
+
+
+CHUNK_CHECKS = """select * from (select 'places' as problem, count(*) as n from documents where doc_id % 50 = 3 union all select 'unknown section', least(1, count(*)) from documents where doc_id % 40 = 1
+union all select 'empty text', count(*) from documents where doc_id % 50 = 3 and trim(regexp_replace(text, '\\s+', ' ', 'g')) = '') where n > 0"""
+
+
+def ranking_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the merged ranking without a cap, held against a cap of one, once a score is raised in every third group."""
+    hits = _hits(spark, d, 4).withColumn("g", (F.col("label").cast("long") / 50 % 10).cast("int"))
+    labels = _read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").alias("document_id"))
+    out = search.select_chunks(search.merge(hits, ["g"]).join(labels, "chunk_id"), final_k=8, per_document=None, by=["g"])
+    raised = out.withColumn("similarity", F.when(F.col("g") % 3 == 1, F.col("similarity") + 3).otherwise(F.col("similarity")))
+    return checks.ranking_problems(raised, ["g"], per_document=1)
+
+
+RANKING_CHECKS = _HITS + """, h as (select *, cast(query_id // 50 % 10 as int) as g from k where rank < 4), m as (select g, vec_id, max(similarity) as similarity from h group by all),
+r as (select g, e.label, row_number() over (partition by g order by round_even(similarity, 12) desc, cast(m.vec_id as varchar)) as rank from m join embeddings e using (vec_id)), t as (select *, count(*) over (partition by g, label) as same from r where rank <= 8),
+c as (select count(*) filter (g % 3 = 1) as a, count(*) filter (same > 1) as b from t)
+select * from (select 'similarity' as problem, a as n from c union all select 'best of its queries', a from c union all select 'cap', b from c) where n > 0"""
+
+
+def exported_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest entries as JSON lines with ordered keys; scores stay out."""
+    hits = _hits(spark, d, 3).withColumn("source", F.create_map(F.lit("z"), F.lit("index"), F.lit("a"), F.col("chunk_id")))
+    return export.json_lines(hits, ["label", "rank"], drop=("similarity",)).select(F.col("label").cast("long").alias("query_id"), "rank", "json")
+
+
+EXPORTED_HITS = _HITS + """ select query_id, rank, '{"chunk_id":"' || vec_id || '","label":"' || query_id || '","rank":' || rank || ',"source":{"a":"' || vec_id || '","z":"index"}}' as json from k where rank < 3"""
+
+
 def unknown_references(spark: SparkSession, d: str) -> DataFrame:
     """Keys cited by events that no document supplies as its id."""
     cited = _read(spark, d, "events").select((F.col("user_id") * 7).alias("doc_id")).distinct()
@@ -430,9 +546,9 @@ IDLE_SESSIONS = """with a as (select user_id, ts, case when lag(ts) over w is nu
 b as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from a) select user_id, cast(floor(epoch(min(ts))) as bigint) as start_s, cast(floor(epoch(max(ts)) + 300) as bigint) as end_s, count(*) as packets from b group by user_id, s"""
 
 _QUERIES = [
-    host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, directed_flows, rule_reasons, capture_totals, written_captures, top_names, shard_loads,
+    host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, limited_totals, capture_totals, written_captures, top_names, shard_loads,
     reported_flows, redacted_addresses, capture_signals, capture_profile, sanitized_names, label_entropy, document_hashes, document_chunks, redacted_messages, similar_vectors, merged_retrieval,
-    retrieval_metrics, context_budget, unknown_references, idle_sessions,
+    retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, exported_hits, unknown_references, idle_sessions,
 ]
 
 
