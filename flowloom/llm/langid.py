@@ -62,6 +62,12 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(count / max(1, len(code)))
 
 
+def _sparse(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers and values of the features that aren't zero."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes(), x[at].astype(np.float16).tobytes()
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """A linear SVM with squared hinge loss, y in {-1, 1}; classes weigh alike. Newton steps by conjugate gradients.
 
@@ -110,7 +116,7 @@ class Machines:
         self.classes, self.pairs, weights, biases = classes, list(combinations(range(len(classes)), 2)), [], []
         for a, b in self.pairs:
             rows = (labels == classes[a]) | (labels == classes[b])
-            w, bias = fit_svm(x[rows], np.where(labels[rows] == classes[a], 1.0, -1.0))
+            w, bias = fit_svm(x if rows.all() else x[rows], np.where(labels[rows] == classes[a], 1.0, -1.0))
             weights.append(w)
             biases.append(bias)
         self.weights = np.array(weights, np.float32).reshape(-1, x.shape[1]).T
@@ -158,15 +164,17 @@ def fit(train: DataFrame, limit: int = SAMPLE_ROWS) -> Hierarchy | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text"):
-                rows = [(lang, features(t).astype(np.float16).tobytes()) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()) if has_letter(t)]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "x": pa.array([r[1] for r in rows], pa.binary())})
+                rows = [(lang, *_sparse(features(t))) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()) if has_letter(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["lang", "at", "x"])
 
     labelled = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null")
-    rows = sample(labelled, ["lang"], limit).mapInArrow(run, "lang string, x binary").collect()
+    rows = sample(labelled, ["lang"], limit).mapInArrow(run, "lang string, at binary, x binary").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.lang, bytes(r.x)))
-    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.x)))
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(bytes(r.at), np.uint16)] = np.frombuffer(bytes(r.x), np.float16)
     return Hierarchy(x, [r.lang for r in rows])
 
 

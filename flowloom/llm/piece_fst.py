@@ -38,7 +38,9 @@ BLANK = "▁"
 #: Bytes of text that are composed at once.
 STEP = 4 << 20
 #: Parts, and ids of parts, that a worker remembers; longer parts than CACHE_CHARS aren't found again.
-CACHE_PARTS, CACHE_IDS, CACHE_CHARS = 1_200_000, 8_000_000, 48
+CACHE_PARTS, CACHE_IDS, CACHE_CHARS = 500_000, 4_000_000, 48
+#: Parts that are composed at once; they have some 25 arcs each.
+COMPOSED = 1 << 14
 #: Places of the table of judged pairs.
 PAIR_SLOTS = 1 << 21
 _NEVER = np.int64(1) << 40
@@ -311,10 +313,12 @@ class PieceTransducer:
         known, texts = self.known[blank], parts.to_numpy(zero_copy_only=False).tolist()
         numbers = list(map(known.get, texts))
         gaps = [k for k, n in enumerate(numbers) if n is None]
-        for k, n in zip(gaps, self.stored.add(*self.shortest([BLANK + texts[k] if blank else texts[k] for k in gaps]))):
-            numbers[k] = n
-            if len(texts[k]) <= CACHE_CHARS:
-                known[texts[k]] = n
+        for a in range(0, len(gaps), COMPOSED):
+            some = gaps[a : a + COMPOSED]
+            for k, n in zip(some, self.stored.add(*self.shortest([BLANK + texts[k] if blank else texts[k] for k in some]))):
+                numbers[k] = n
+                if len(texts[k]) <= CACHE_CHARS:
+                    known[texts[k]] = n
         return np.array(numbers, np.int64)
 
     def _parts(self, text: str) -> list[str]:
