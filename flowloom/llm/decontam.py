@@ -31,7 +31,7 @@ WINDOW = 13
 #: Words of benchmark items that are searched at once.
 BLOCK_WORDS = 1 << 20
 #: Bytes of text that one suffix array spans.
-SHARD = 8 << 20
+SHARD = 4 << 20
 
 MATCH = "doc_id long, doc_word long, item_id long, item_word long, n_words long"
 _HELD: dict[str, tuple] = {}
