@@ -284,7 +284,8 @@ def redacted_addresses(spark: SparkSession, d: str) -> DataFrame:
     return report.redact(report.select_flows(f)).select("capture", "flow_id", "src_ip_s", "dst_ip_s")
 
 
-REDACTED_ADDRESSES = f"""with x as ({REPORTED_FLOWS}), f as ({FLOW_COUNTERS}), j as (select x.capture, x.flow_id, x.src_ip, f.dst_ip from x join f using (capture, src_ip, src_port, dst_port, bytes_out, bytes_in)),
+REDACTED_ADDRESSES = f"""with f as ({FLOW_COUNTERS}), r as (select *, row_number() over (partition by capture order by bytes_out + bytes_in desc, first_packet_no) as rk from f),
+j as (select capture, cast(row_number() over (partition by capture order by dst_port, src_port, src_ip, rk) - 1 as int) as flow_id, src_ip, dst_ip from r where rk <= 40),
 u as (select capture, flow_id * 2 as pos, src_ip as ip from j union all select capture, flow_id * 2 + 1, dst_ip from j), n as (select capture, ip, row_number() over (partition by capture order by first_at) - 1 as k from (select capture, ip, min(pos) as first_at from u group by all) where ip % 256 = 10),
 l as (select capture, ip, 'host_' || case when k >= 26 then chr(cast(97 + k // 26 - 1 as int)) else '' end || chr(cast(97 + k % 26 as int)) as label from n)
 select j.capture, j.flow_id, coalesce(a.label, {_IP.format('j.src_ip')}) as src_ip_s, coalesce(b.label, {_IP.format('j.dst_ip')}) as dst_ip_s from j left join l a on a.capture = j.capture and a.ip = j.src_ip left join l b on b.capture = j.capture and b.ip = j.dst_ip"""
