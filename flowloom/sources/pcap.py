@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -73,6 +74,10 @@ class _Reader(DataSourceReader):
                 number += 1
 
 
+#: Packets of a capture that are never parted.
+FILE_PACKETS = 1_000_000
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, files: list[tuple[str, str]]):
         self.files = files
@@ -143,8 +148,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_captures(packets: DataFrame, path: str, keep_orig_len: bool = False) -> None:
-    """Writes rows of RAW in packet order: ranges of (capture, packet_no), so that a long capture is several tasks' work and as many numbered files."""
+    """Writes rows of RAW in packet order; a capture of over FILE_PACKETS packets is several tasks' work and may be several numbered files."""
     packets.sparkSession.dataSource.register(PcapSource)
-    parts = max(packets.rdd.getNumPartitions(), int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = packets.repartitionByRange(parts, "capture", "packet_no").sortWithinPartitions("capture", "packet_no")
+    block = F.floor(F.col("packet_no") / FILE_PACKETS).alias("_block")
+    ordered = packets.select("*", block).repartitionByRange("capture", "_block").sortWithinPartitions("capture", "packet_no")
     ordered.select(*[c.split()[0] for c in RAW.split(", ")]).write.format("pcap").option("keep_orig_len", keep_orig_len).mode("append").save(path)
