@@ -1,11 +1,12 @@
-"""Language-model scores by Katz backoff over bigrams.
+"""Language-model scores by Katz backoff, over bigrams or longer n-grams (`order`).
 
 Counts are discounted after Good and Turing: a count r up to LARGEST is multiplied by
 d_r = (r*/r - a) / (1 - a), where r* = (r + 1) n_{r+1} / n_r and a = (LARGEST + 1) n_{LARGEST+1} / n_1; larger
-counts stand (see Discounts for uneven counts of counts). A token's probability is its discounted bigram if that was seen after its context, else the
-context's backoff weight times the token's unigram probability. The weight makes each context sum to exactly
-one: what its discounted bigrams leave (one count, if none is small enough to be discounted), over what the unigrams of its unseen continuations have. Unigrams back off to one
-class of all unknown tokens. Where counts of counts don't allow Good-Turing, half a count is taken off instead.
+counts stand (see Discounts for uneven counts of counts). A token's probability is its discounted n-gram if that was seen, else the
+context's backoff weight times the token's probability after the context without its first token, and so on down to unigrams; a context that was
+never seen has weight 1. The weight makes each context sum to exactly one: what its discounted n-grams leave (one count, if none is small enough to
+be discounted), over what the shorter n-grams of its unseen continuations have. Unigrams back off to one class of all unknown tokens. At a text's
+start contexts are shorter: they begin with one mark of the start. Where counts of counts don't allow Good-Turing, half a count is taken off instead.
 
 How it is computed. Texts stay where they are read; a chunk is a run of rows of one file. Each chunk
 counts its own n-grams first, and sends them, once each, to partitioned tables (buckets by the context's hash); a bucket
@@ -14,7 +15,9 @@ that reads the chunk again takes them. So nothing of the vocabulary's size is br
 frequent token or context is one entry per chunk. Contexts with many continuations are split over several
 buckets (in proportion to their share of all tokens); their few sums are added on the driver.
 
-Token ids are 64-bit hashes, and a bigram is its context's hash and 48 bits of the token's.
+Each order is one such round: a chunk first reads what it was told of the shorter n-grams, since the sums of a context are over their probabilities.
+
+Token ids are 64-bit hashes, and an n-gram is its context's hash and 48 bits of the token's.
 
 Defined results: a null or empty text is the end token alone; rows that repeat an id are scored each;
 a row without an id doesn't teach and its held_out is null; without any training row all scores are those of an empty model (0 each token); other columns are ignored.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +80,18 @@ class _Numbers(dict):
         return value
 
 
+class Grams(NamedTuple):
+    """The distinct n-grams of a chunk that have a known context, by number."""
+
+    context: np.ndarray  # the number of each one's context (a word, or an n-gram one shorter)
+    token: np.ndarray
+    count: np.ndarray  # in the chunk's training texts
+    of: np.ndarray  # the n-gram of each token of the chunk (-1: none)
+    below: np.ndarray  # the number of the n-gram without its first token
+    names: np.ndarray  # the hash of each context, by the context's number
+    known: np.ndarray  # the corpus count of each context, by the context's number
+
+
 class Chunk:
     """The tokens of a run of rows; two passes over the same rows give the same chunk."""
 
@@ -108,10 +124,10 @@ class Chunk:
         self.number.clear()  # from here on words are numbers
         return self
 
-    def pairs(self, known: np.ndarray):
-        """(context, token, training count) of the distinct bigrams with a known context, and the bigram of each token (-1: none).
+    def pairs(self, known: np.ndarray) -> Grams:
+        """The bigrams. known: the corpus count of each word.
 
-        known: the corpus count of each word. Unknown tokens are one token, which tells the context's backoff weight.
+        Unknown tokens are one token, which tells the context's backoff weight.
         """
         width = self.width
         ok = (known[self.before] > 0) | (self.before == self.start)
@@ -122,21 +138,34 @@ class Chunk:
         of[ok] = inverse
         count = np.bincount(inverse, self.learns[ok], len(distinct)).astype(np.int32)
         del inverse
-        return (distinct // width).astype(np.int32), (distinct % width).astype(np.int32), count, of
-
-    def sent(self, known: np.ndarray, buckets: int, total: int):
-        """The bigrams in the order in which they are sent: bucket, context, 48 bits of the token; see pairs()."""
-        context, token, count, of = self.pairs(known)
-        share = known[context].astype(float)
-        share[context == self.start] = known[self.end]
-        salts = np.maximum(1, np.ceil(2.0 * buckets * share / max(1, total))).astype(np.int32)
-        del share
-        ids = mix64(self.hash[token]) >> np.uint64(16)
-        group = mix64(self.hash[context] + np.uint64(0x9E3779B97F4A7C15))
+        share = known.copy()
+        share[self.start] = known[self.end]
+        token = (distinct % width).astype(np.int32)
+        return Grams((distinct // width).astype(np.int32), token, count, of, token, self.hash, share)
+
+    def longer(self, known: np.ndarray, grams: Grams, total: np.ndarray) -> Grams:
+        """The n-grams one longer, whose contexts are the given ones that the corpus has (total: its count of each)."""
+        context = np.append(np.int32(-1), grams.of[:-1])
+        context[self.first] = -1
+        ok = (context >= 0) & (total[context] > 0) if len(total) else np.zeros(len(context), bool)
+        code = context[ok].astype(np.int64) * self.width + np.where(known[self.at] > 0, self.at, self.unknown)[ok]
+        distinct, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        of = np.full(len(self.at), -1, np.int32)
+        of[ok] = inverse
+        count = np.bincount(inverse, self.learns[ok], len(distinct)).astype(np.int32)
+        with np.errstate(over="ignore"):
+            names = mix64(grams.names[grams.context] * np.uint64(0xD6E8FEB86659FD93) + self.hash[grams.token])
+        return Grams((distinct // self.width).astype(np.int32), (distinct % self.width).astype(np.int32), count, of, grams.of[ok][first], names, total)
+
+    def sent(self, grams: Grams, buckets: int, total: int):
+        """(bucket, context's hash, 48 bits of the token, salts, number) of the n-grams in the order in which they are sent."""
+        salts = np.maximum(1, np.ceil(2.0 * buckets * grams.known[grams.context] / max(1, total))).astype(np.int32)
+        ids = mix64(self.hash[grams.token]) >> np.uint64(16)
+        with np.errstate(over="ignore"):
+            group = mix64(grams.names[grams.context] + np.uint64(0x9E3779B97F4A7C15))
         bucket = ((group + ids % salts.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        del context
         order = np.lexsort((ids, group, bucket)).astype(np.int32)
-        return bucket[order], group[order], ids[order], token[order], count[order], salts[order], order, of
+        return bucket[order], group[order], ids[order], salts[order], order
 
 
 def _located(docs: DataFrame, path: str) -> DataFrame:
@@ -233,10 +262,11 @@ def _merge_words(rows: pa.Table) -> pa.Table:
     )
 
 
-def _merge_pairs(unigrams: Unigrams):
-    """Adds up the chunks' bigram counts of a bucket; each chunk also gets the sums of the contexts that it asked for.
+def _merge_grams(unigrams: Unigrams, shortest: bool):
+    """Adds up the chunks' n-gram counts of a bucket; each chunk also gets the sums of the contexts that it asked for.
 
-    Sums of a context: its count, how many of its bigrams occur 1 to LARGEST times, and its seen tokens' unigram probabilities.
+    Sums of a context: its count, how many of its n-grams occur 1 to LARGEST times, and its seen tokens' probabilities one order below
+    (`shortest`: for bigrams chunks send the token's count, which takes less room than the probability).
     One row (chunk -1) has the counts of counts and the sums of contexts that are split over buckets.
     """
 
@@ -246,14 +276,15 @@ def _merge_pairs(unigrams: Unigrams):
         group = np.concatenate([np.repeat(g, r) for g, r in zip(groups, runs)])
         ids = np.concatenate([_unpack(b, "<u8") for b in rows["ids"].to_pylist()])
         count = np.concatenate([_unpack_counts(b) for b in rows["counts"].to_pylist()])
-        seen = np.concatenate([_unpack_counts(b) for b in rows["seen"].to_pylist()])
+        seen = np.concatenate([_unpack_counts(b) if shortest else _unpack(b, "<f8") for b in rows["seen"].to_pylist()])
         with np.errstate(over="ignore"):
             _, first, inverse = np.unique(mix64(group * np.uint64(0x9E3779B97F4A7C15) + ids), return_index=True, return_inverse=True)
         total = np.bincount(inverse, count, len(first)).astype(np.int64)
         contexts, of = np.unique(group[first], return_inverse=True)
         m = len(contexts)
         tallies = np.stack([np.bincount(of, total, m)] + [np.bincount(of, total == r, m) for r in range(1, LARGEST + 1)], 1)
-        sums = np.bincount(of, np.where(total > 0, unigrams.probability(seen[first].astype(np.int64)), 0.0), m)
+        lower = unigrams.probability(seen[first].astype(np.int64)) if shortest else seen[first]
+        sums = np.bincount(of, np.where(total > 0, lower, 0.0), m)
         told, totals, hists, held, at = [], [], [], [], 0
         for g, r in zip(groups, runs):
             size = int(r.sum())
@@ -323,17 +354,85 @@ def _ask_words(buckets: int, mod: int, rest: int):
     return run
 
 
-def _ask_pairs(words: str, word_buckets: int, buckets: int, unigrams: Unigrams, mod: int, rest: int):
+class Level:
+    """One order above 1: the folder of its totals, its discounts, and the sums of the contexts that are split over buckets."""
+
+    def __init__(self, path: str, buckets: int, rows: list):
+        self.path, self.buckets, self.split = path, buckets, {}
+        hist = np.zeros(LARGEST + 1, int)
+        for r in rows:  # a row for each bucket; the split contexts are at most twice the buckets
+            hist = hist + np.frombuffer(bytes(r.hist), "<i8")
+            sums = np.concatenate([np.frombuffer(bytes(r.totals), "<i8").reshape(-1, LARGEST + 1).astype(float), np.frombuffer(bytes(r.sums), "<f8")[:, None]], axis=1)
+            for g, x in zip(np.frombuffer(bytes(r.counts), "<u8").tolist(), sums):
+                self.split[g] = self.split[g] + x if g in self.split else x
+        self.discounts = Discounts(hist)
+
+    def probability(self, chunk: Chunk, grams: Grams, lower: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probability, corpus count) of each n-gram; lower: the probabilities one order below."""
+        bucket, group, _, _, order = chunk.sent(grams, self.buckets, tokens)
+        p, seen = np.empty(len(order)), np.empty(len(order), np.int64)
+        told = Told(self.path, chunk.id) if len(order) else None
+        for b, w in _cuts(bucket):
+            count = _unpack_counts(told(b, "counts")).astype(np.int64)
+            first = np.append(True, group[w][1:] != group[w][:-1])
+            total = _unpack_counts(told(b, "totals")).astype(float)
+            hist = _unpack_counts(told(b, "hist")).reshape(-1, LARGEST).astype(float)
+            sums = _unpack(told(b, "sums"), "<f8").copy()
+            for k, g in enumerate(group[w][first].tolist()):
+                if g in self.split:
+                    total[k], hist[k], sums[k] = self.split[g][0], self.split[g][1:-1], self.split[g][-1]
+            mass = self.discounts.mass(total, hist)
+            # A context all of whose n-grams are too frequent to be discounted keeps one count for the others.
+            scale = np.where(mass > total - 1e-9, total / (total + 1.0), 1.0)
+            left, room = 1.0 - scale * mass / np.maximum(total, 1), 1.0 - sums
+            # A context that was never one backs off with weight 1; one whose seen tokens are all there is keeps all its mass.
+            full = (room <= 1e-12) & (total > 0)
+            weight = np.where(total == 0, 1.0, np.where(full, 0.0, left / np.maximum(room, 1e-300)))
+            scale = np.where(full, total / np.maximum(mass, 1e-300), scale)
+            at = np.cumsum(first) - 1
+            p[order[w]] = np.where(count > 0, self.discounts(count) * scale[at] / np.maximum(total[at], 1), weight[at] * lower[order[w]])
+            seen[order[w]] = count
+        return p, seen
+
+
+class Model:
+    """What is known of the corpus: its words' totals and, from bigrams on, its levels."""
+
+    def __init__(self, words: str, word_buckets: int, unigrams: Unigrams):
+        self.words, self.word_buckets, self.unigrams, self.levels = words, word_buckets, unigrams, []
+
+    def climb(self, chunk: Chunk, beyond: bool):
+        """(corpus count of each word, probability of each token, and, if `beyond`, the next order's n-grams with their probabilities one order below)."""
+        known = Told(self.words, chunk.id).words(chunk, self.word_buckets)
+        single = self.unigrams.probability(known)
+        found, grams, lower = single[chunk.at], None, None
+        for level in [*self.levels, *[None] * beyond]:
+            if grams is None:
+                grams = chunk.pairs(known)
+                lower = single[grams.token]
+            else:
+                grams = chunk.longer(known, grams, seen)  # noqa: F821
+                lower = p[grams.below]  # noqa: F821
+            if level:
+                p, seen = level.probability(chunk, grams, lower, self.unigrams.total)
+                # Where the context is unknown, the shorter n-gram stands.
+                some = grams.of >= 0
+                found[some] = p[grams.of[some]]
+        return known, found, grams, lower
+
+
+def _ask_grams(model: Model, buckets: int, mod: int, rest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, mod, rest):
-            known = Told(words, chunk.id).words(chunk, word_buckets)
-            bucket, group, ids, token, count, salts, _, _ = chunk.sent(known, buckets, unigrams.total)
+            known, _, grams, lower = model.climb(chunk, beyond=True)
+            bucket, group, ids, salts, order = chunk.sent(grams, buckets, model.unigrams.total)
             rows = []
             for b, w in _cuts(bucket):
                 first = np.flatnonzero(np.append(True, group[w][1:] != group[w][:-1]))
                 runs = np.diff(np.append(first, w.stop - w.start))
+                below = _pack(lower[order[w]], "<f8") if model.levels else _pack_counts(known[grams.token[order[w]]])
                 rows.append(
-                    (b, chunk.id, _pack(ids[w], "<u8"), _pack_counts(count[w]), _pack(group[w][first], "<u8"), _pack(runs, "<u4"), _pack(salts[w][first], "<u4"), _pack_counts(known[token[w]]))
+                    (b, chunk.id, _pack(ids[w], "<u8"), _pack_counts(grams.count[order[w]]), _pack(group[w][first], "<u8"), _pack(runs, "<u4"), _pack(salts[w][first], "<u4"), below)
                 )
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 6])], names=[c.split()[0] for c in _ASKED.split(", ")])
@@ -344,41 +443,13 @@ def _ask_pairs(words: str, word_buckets: int, buckets: int, unigrams: Unigrams,
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(words: str, word_buckets: int, pairs: str, buckets: int, unigrams: Unigrams, discounts: Discounts, split: dict, mod: int, rest: int):
+def _score(model: Model, mod: int, rest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = unigrams.total, unigrams.types
+        n, v = model.unigrams.total, model.unigrams.types
         for chunk in _chunks(batches, mod, rest):
-            known = Told(words, chunk.id).words(chunk, word_buckets)
-            single = unigrams.probability(known)
-            bucket, group, _, token, _, _, order, of = chunk.sent(known, buckets, n)
-            p = np.empty(len(bucket))
-            told = Told(pairs, chunk.id) if len(bucket) else None
-            for b, w in _cuts(bucket):
-                count = _unpack_counts(told(b, "counts")).astype(np.int64)
-                first = np.append(True, group[w][1:] != group[w][:-1])
-                total = _unpack_counts(told(b, "totals")).astype(float)
-                hist = _unpack_counts(told(b, "hist")).reshape(-1, LARGEST).astype(float)
-                sums = _unpack(told(b, "sums"), "<f8").copy()
-                for k, g in enumerate(group[w][first].tolist()):
-                    if g in split:
-                        total[k], hist[k], sums[k] = split[g][0], split[g][1:-1], split[g][-1]
-                mass = discounts.mass(total, hist)
-                # A context all of whose bigrams are too frequent to be discounted keeps one count for the others.
-                scale = np.where(mass > total - 1e-9, total / (total + 1.0), 1.0)
-                left, room = 1.0 - scale * mass / np.maximum(total, 1), 1.0 - sums
-                # A context that was never one backs off with weight 1; one whose seen tokens are all there is keeps all its mass.
-                full = (room <= 1e-12) & (total > 0)
-                weight = np.where(total == 0, 1.0, np.where(full, 0.0, left / np.maximum(room, 1e-300)))
-                scale = np.where(full, total / np.maximum(mass, 1e-300), scale)
-                at = np.cumsum(first) - 1
-                p[w] = np.where(count > 0, discounts(count) * scale[at] / np.maximum(total[at], 1), weight[at] * single[token[w]])
-            by_type = np.empty(len(order))
-            by_type[order] = p
-            del p, told, bucket, group, token, order
+            known, found, _, _ = model.climb(chunk, beyond=False)
             if n:
-                # Unknown contexts aren't in the table: the unigram stands.
-                prob = np.where(of >= 0, by_type[np.maximum(of, 0)] if len(by_type) else 1.0, single[chunk.at])
-                log = np.log10(np.maximum(prob, 1e-300))
+                log = np.log10(np.maximum(found, 1e-300))
                 base = np.log10((known[chunk.at] + 0.5) / (n + 0.5 * (v + 1)))
             else:
                 log = base = np.zeros(len(chunk.at))
@@ -398,8 +469,8 @@ def _score(words: str, word_buckets: int, pairs: str, buckets: int, unigrams: Un
     return run
 
 
-def score(docs: DataFrame, mod: int = 5, rest: int = 1, work: str | None = None) -> DataFrame:
-    """Scores every row of (doc_id, text); rows with crc32(doc_id) % mod = rest don't teach.
+def score(docs: DataFrame, mod: int = 5, rest: int = 1, work: str | None = None, order: int = 2) -> DataFrame:
+    """Scores every row of (doc_id, text); rows with crc32(doc_id) % mod = rest don't teach. order: words of the longest n-grams.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability).
     """
@@ -409,18 +480,13 @@ def score(docs: DataFrame, mod: int = 5, rest: int = 1, work: str | None = None)
     _table(located.mapInArrow(_ask_words(word_buckets, mod, rest), _ASKED), _merge_words, f"{path}/words")
     told = _stats(docs, f"{path}/words")
     hist = np.sum([np.frombuffer(bytes(r.hist), "<i8") for r in told] or [np.zeros(LARGEST + 3, int)], axis=0)
-    unigrams = Unigrams(hist[: LARGEST + 1], hist[-2], hist[-1])
-    buckets = max(32, int(unigrams.total // BUCKET_TOKENS))
-    _table(located.mapInArrow(_ask_pairs(f"{path}/words", word_buckets, buckets, unigrams, mod, rest), _ASKED), _merge_pairs(unigrams), f"{path}/pairs")
-    split: dict[int, np.ndarray] = {}
-    hist = np.zeros(LARGEST + 1, int)
-    for r in _stats(docs, f"{path}/pairs"):  # a row for each bucket; the split contexts are at most twice the buckets
-        hist = hist + np.frombuffer(bytes(r.hist), "<i8")
-        sums = np.concatenate([np.frombuffer(bytes(r.totals), "<i8").reshape(-1, LARGEST + 1).astype(float), np.frombuffer(bytes(r.sums), "<f8")[:, None]], axis=1)
-        for g, x in zip(np.frombuffer(bytes(r.counts), "<u8").tolist(), sums):
-            split[g] = split[g] + x if g in split else x
-    run = _score(f"{path}/words", word_buckets, f"{path}/pairs", buckets, unigrams, Discounts(hist), split, mod, rest)
-    return located.mapInArrow(run, _SCORED)
+    model = Model(f"{path}/words", word_buckets, Unigrams(hist[: LARGEST + 1], hist[-2], hist[-1]))
+    for n in range(2, order + 1):
+        folder, buckets = f"{path}/grams{n}", max(32, (n - 1) * int(model.unigrams.total // BUCKET_TOKENS))
+        asked = located.mapInArrow(_ask_grams(model, buckets, mod, rest), _ASKED)
+        _table(asked, _merge_grams(model.unigrams, shortest=n == 2), folder)
+        model.levels.append(Level(folder, buckets, _stats(docs, folder)))
+    return located.mapInArrow(_score(model, mod, rest), _SCORED)
 
 
 def _table(asked: DataFrame, merge, path: str) -> None:

@@ -8,49 +8,55 @@ import pytest
 from flowloom.llm import katz as K
 
 
-def _model(docs):
-    """Plain bigram Katz over the training texts: probability(token, before), counts, tokens."""
+def _model(docs, order):
+    """Plain Katz over the training texts: probability(token, context), contexts, counts, texts, tokens."""
     texts = {i: (t or "").encode().lower().split() + ["END"] for i, t in docs}
     train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
-    one, two = Counter(), Counter()
-    for t in train:
-        for before, w in zip(["START", *t], t):
-            one[w] += 1
-            two[before, w] += 1
+    one = Counter(w for t in train for w in t)
     total = sum(one.values())
+    grams = {n: Counter() for n in range(2, order + 1)}
+    for t in train:
+        t = ["START", *t]
+        for n in grams:
+            grams[n].update(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
 
     def ratios(counts):
         n = Counter(counts.values())
         return K.Discounts(np.array([n[r] for r in range(1, 7)])).ratio
 
-    r1, r2 = ratios(one), ratios(two)
     take = lambda r, c: c * (r[c - 1] if c <= 5 else 1.0)
-    unknown = 1 - sum(take(r1, c) for c in one.values()) / total
-    p1 = lambda w: take(r1, one[w]) / total if w in one else unknown
+    ratio = {1: ratios(one)} | {n: ratios(c) for n, c in grams.items()}
+    unknown = 1 - sum(take(ratio[1], c) for c in one.values()) / total
     after = defaultdict(dict)
-    for (h, w), c in two.items():
-        after[h][w] = c
-
-    def p2(w, h):
+    for c in grams.values():
+        for g, k in c.items():
+            after[g[:-1]][g[-1]] = k
+    weights = {}
+
+    def p(w, h):
+        if not h:
+            return take(ratio[1], one[w]) / total if w in one else unknown
         if h not in after:
-            return p1(w)
-        seen, n = after[h], sum(after[h].values())
-        mass = sum(take(r2, c) for c in seen.values())
-        scale = n / (n + 1) if mass > n - 1e-9 else 1.0
-        if w in seen:
-            return scale * take(r2, seen[w]) / n
-        return (1 - scale * mass / n) / (1 - sum(p1(x) for x in seen)) * p1(w)
-
-    return p2, one, after, texts, total
-
-
-def _check(rows, docs):
-    p2, one, after, texts, total = _model(docs)
-    for h in ["START", *sorted(after, key=str)[:20]]:
-        assert abs(sum(p2(w, h) for w in one) + p2("never seen", h) - 1) < 1e-6
+            return p(w, h[1:])
+        seen, n, r = after[h], sum(after[h].values()), ratio[len(h) + 1]
+        if h not in weights:
+            mass = sum(take(r, c) for c in seen.values())
+            scale = n / (n + 1) if mass > n - 1e-9 else 1.0
+            weights[h] = scale, (1 - scale * mass / n) / (1 - sum(p(x, h[1:]) for x in seen))
+        scale, weight = weights[h]
+        return scale * take(r, seen[w]) / n if w in seen else weight * p(w, h[1:])
+
+    return p, one, after, texts, total
+
+
+def _check(rows, docs, order=2):
+    p, one, after, texts, total = _model(docs, order)
+    for h in [("START",), *sorted(after, key=str)[:: max(1, len(after) // 30)]]:
+        assert abs(sum(p(w, h) for w in one) + p("never seen", h) - 1) < 1e-6
     for r in rows:
         t = texts[r.doc_id]
-        score = sum(math.log10(p2(w, h)) for h, w in zip(["START", *t], t))
+        before = ["START", *t]
+        score = sum(math.log10(p(w, tuple(before[max(0, k + 2 - order) : k + 1]))) for k, w in enumerate(t))
         base = sum(math.log10((one[w] + 0.5) / (total + 0.5 * (len(one) + 1))) for w in t)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in one for w in t), total)
         assert abs(r.score - score) < 1e-6 * max(1, abs(score)) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
@@ -66,6 +72,16 @@ def test_matches_a_plain_model(spark, corpus, folder):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_other_orders(spark, corpus, folder, monkeypatch, order):
+    docs = [(d[0], d[1]) for d in corpus[0]]
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    _check(K.score(frame, order=order).collect(), docs, order)
+    monkeypatch.setattr(K, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(K, "BUCKET_TOKENS", 200)
+    _check(K.score(frame, order=order).collect(), docs, order)
+
+
 def test_small_chunks_and_split_contexts_agree(spark, corpus, monkeypatch):
     docs = [(d[0], d[1]) for d in corpus[0]]
     monkeypatch.setattr(K, "CHUNK_ROWS", 7)
