@@ -53,9 +53,10 @@ _TOLD = "chunk long, bucket int, counts binary, totals binary, hist binary, sums
 
 
 def _pack(x: np.ndarray, kind: str) -> bytes:
-    """The array with its first bytes first, then its second bytes, and so on; small numbers then compress well."""
+    """The array with its first bytes first, then its second bytes, and so on, compressed; before them the bytes' number."""
     x = np.ascontiguousarray(x, kind)
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    data = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(data).to_bytes(8, "little") + (pa.compress(data, "zstd", asbytes=True) if data else b"")
 
 
 def _pack_counts(x: np.ndarray) -> bytes:
@@ -70,8 +71,9 @@ def _unpack_counts(b: bytes) -> np.ndarray:
 
 
 def _unpack(b: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    size, width = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    data = pa.decompress(b[8:], size, "zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 class _Numbers(dict):
