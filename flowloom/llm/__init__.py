@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline: search, language, toxicity, HTML,
-decontamination, language models, quality, token files, pieces, near-duplicates.
+decontamination, language models, quality, token files, pieces, near-duplicates,
+fill-in-the-middle, resampling, fingerprints.
 
 Nothing outside this subpackage imports it.
 """

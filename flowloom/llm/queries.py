@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontam, html_extract, katz, langid, piece_fst, probminhash, quality, tokenout, toxicity
+from . import ann, decontam, fim, fingerprint, html_extract, katz, langid, piece_fst, probminhash, quality, resample, tokenout, toxicity
 from .common import crc_mod, shared_dir, table
 
 
@@ -85,6 +86,26 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op11_chunk_memo_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
+    found = fim.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op12_quickselect_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=7)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    found = fingerprint.spliced(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -110,5 +131,30 @@ r(doc_id, reached) as (select doc_id, doc_id from d union select r.doc_id, g.b f
 select doc_id, min(reached) as class_id from r group by doc_id"""
 
 
+# DuckDB has no CRC-32: it is taken over the bytes of each distinct feature, bit by bit.
+_CRC = """xor(list_reduce(list_transform(range(0, strlen(f)), lambda i: cast('0x' || substr(hex(encode(f)), cast(2 * i + 1 as int), 2) as bigint)), lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), cast(4294967295 as bigint)), 4294967295)"""
+
+RESAMPLING_SQL = f"""with d as (select doc_id, {_WORDS} as w from documents), b as (select {_WORDS} as w from benchmark),
+df as (select doc_id, unnest(w) as f from d union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from d where len(w) > 1),
+bf as (select unnest(w) as f from b union all select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from b where len(w) > 1),
+fb as (select f, {_CRC} % 10000 as bucket from (select f from df union select f from bf)),
+s as (select bucket, count(*) as n from df join fb using (f) group by bucket), t as (select bucket, count(*) as n from bf join fb using (f) group by bucket),
+g as (select bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from df) + 10000)::double / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from bf) + 10000)::double))) as bigint) as gain from s full join t using (bucket)),
+w as (select doc_id, count(*) as n_features, cast(floor(sum(gain)::double / count(*)) as bigint) as weight from df join fb using (f) join g using (bucket) group by doc_id),
+c as (select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, cast('0x' || substr(sha256('7:' || doc_id), 1, 8) as bigint) as h from d left join w using (doc_id)),
+o as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from c),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from o where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= (select 25 * count(*) // 100 from r) then rank end as rank from o left join r using (doc_id)"""
+
+
+FIM_SQL = """with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w, sha256('1:' || doc_id) as x from documents),
+h as (select *, len(w) as n, list_transform([1, 9, 17, 25], lambda k: cast('0x' || substr(x, k, 8) as bigint)) as h from d),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as u, greatest(h[1] % (n + 1), h[2] % (n + 1)) as v,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(w[1 : u], '') as a, array_to_string(w[u + 1 : v], '') as b, array_to_string(w[v + 1 : n], '') as z from c)
+select doc_id, n, form, case when form <> 'plain' then length(a) end as prefix_chars, case when form <> 'plain' then length(b) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || a || '<S>' || z || '<M>' || b else '<S>' || z || '<P>' || a || '<M>' || b end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_decontamination": CONTAMINATION_SQL, "op10_probminhash": CLASSES_SQL}
+    return {"op11_chunk_memo_fim": FIM_SQL, "op5_suffix_decontamination": CONTAMINATION_SQL, "op10_probminhash": CLASSES_SQL, "op12_quickselect_resampling": RESAMPLING_SQL}
