@@ -142,52 +142,50 @@ def score(weight: Column, doc_id: Column, seed: int) -> Column:
     return weight + F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-#: The order of rows: highest score, least id (those without one last), and then whatever tells rows apart.
-_KEY = ["k_score", "k_none", "k_id", "n_features", "weight", "place"]
-
-
 def _keyed(scored: DataFrame) -> DataFrame:
-    return scored.withColumns({"k_score": -F.col("score"), "k_none": F.col("doc_id").isNull().cast("int"), "k_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
-
-
-def _literal(key: tuple) -> Column:
-    return F.struct(*[F.lit(v).cast("int" if c == "k_none" else "long").alias(c) for c, v in zip(_KEY, key)])
-
-
-def kth_key(keys: DataFrame, k: int, path: str) -> tuple | None:
-    """The k-th least key (from 1; columns _KEY, no two rows alike), or None if there are fewer rows."""
-    live, at = keys.select(*_KEY), F.struct(*_KEY)
-    number = 0
-    while True:
-        drawn = live.orderBy(F.xxhash64(*_KEY, F.lit(number))).limit(PIVOTS).collect()
-        pivots = sorted(tuple(r) for r in drawn)
-        if not pivots or k < 1:
-            return None
-        parts = [F.count_if(at < _literal(p)).alias(f"before{j}") for j, p in enumerate(pivots)] + [F.count_if(at == _literal(p)).alias(f"equal{j}") for j, p in enumerate(pivots)]
-        found = live.agg(*parts, F.count("*").alias("all")).first()
-        if k > found["all"]:
+    """Adds `key`, whose bytes order the rows: highest score, least id (those without one last), and then whatever tells rows apart."""
+    up = lambda c: F.unhex(F.lpad(F.hex(c.bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    none = F.when(F.col("doc_id").isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))
+    score, doc_id = -F.col("score"), F.coalesce("doc_id", F.lit(0).cast("long"))
+    return scored.withColumn("key", F.concat(up(score), none, *[up(c) for c in (doc_id, F.col("n_features"), F.col("weight"), F.col("place"))]))
+
+
+def kth_key(rows: DataFrame, k: int, path: str) -> bytes | None:
+    """The k-th least `key` (from 1; no two rows have the same), or None if there are fewer rows.
+
+    A round counts the keys between its sorted pivots and at each of them, so every pivot parts the rows in three exactly.
+    """
+    live, number, key = rows.select("key"), 0, F.col("key")
+    while k >= 1:
+        pivots = sorted(bytes(r.key) for r in live.orderBy(F.xxhash64("key", F.lit(number))).limit(PIVOTS).collect())
+        if not pivots:
             return None
+        before = sum(((key > F.lit(p)).cast("int") for p in pivots), F.lit(0))
+        at = key.isin(*pivots)
+        counts = {(r.before, r.at): r["count"] for r in live.groupBy(before.alias("before"), at.alias("at")).count().collect()}
         low = None
-        for j, p in enumerate(pivots):
-            if found[f"before{j}"] < k <= found[f"before{j}"] + found[f"equal{j}"]:
-                return p
-            if found[f"before{j}"] >= k:
+        for j in range(len(pivots) + 1):
+            between, equal = counts.get((j, False), 0), counts.get((j, True), 0)
+            if k <= between:
                 break
-            low = j
+            k -= between
+            if k <= equal:
+                return pivots[j]
+            k, low = k - equal, j
         else:
-            j = len(pivots)
+            return None
         inside = live
         if low is not None:
-            inside = inside.where(at > _literal(pivots[low]))
-            k -= found[f"before{low}"] + found[f"equal{low}"]
+            inside = inside.where(key > F.lit(pivots[low]))
         if j < len(pivots):
-            inside = inside.where(at < _literal(pivots[j]))
+            inside = inside.where(key < F.lit(pivots[j]))
         live, number = materialise(inside, f"{path}/live{number}"), number + 1
+    return None
 
 
 def ranked(rows: DataFrame, path: str) -> DataFrame:
-    """The rows with `rank` from 1 in the order of _KEY: sorted in ranges, numbered within each, and moved by the sizes of those before."""
-    ordered = rows.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY)
+    """The rows with `rank` from 1 in the order of `key`: sorted in ranges, numbered within each, and moved by the sizes of those before."""
+    ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
     held = materialise(ordered.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), f"{path}/ordered")
     sizes = held.groupBy("part").agg(F.count("*").alias("size")).orderBy("part").collect()  # one row a partition
     first, total = [], 0
@@ -210,5 +208,5 @@ def resample(docs: DataFrame, target: DataFrame, seed: int = 7, percent: int = P
     rest = scored.withColumn("rank", F.lit(None).cast("long"))
     if last is None:
         return rest.select(*out)
-    drawn = (F.col("n_words") >= least_words) & (F.struct(*_KEY) <= _literal(last))
+    drawn = (F.col("n_words") >= least_words) & (F.col("key") <= F.lit(last))
     return ranked(scored.where(drawn), path).select(*out).union(rest.where(~drawn).select(*out))

@@ -149,9 +149,11 @@ def test_quickselect_finds_each_key(spark, tmp_path, monkeypatch, pivots):
     rng = random.Random(pivots)
     rows = [(rng.randrange(5), rng.choice([None, *range(10)]), 1, 1, k) for k in range(40)]
     keys = resample._keyed(spark.createDataFrame(rows, "score long, doc_id long, n_features long, weight long, place long"))
-    order = sorted((-s, int(i is None), i or 0, n, w, p) for s, i, n, w, p in rows)
+    order = [r[4] for r in sorted(rows, key=lambda r: (-r[0], r[1] is None, r[1] or 0, *r[2:]))]
+    place = {bytes(r.key): r.place for r in keys.collect()}
+    assert [place[k] for k in sorted(place)] == order
     for k in (1, 17, 40):
-        assert resample.kth_key(keys, k, f"{tmp_path}/{k}") == order[k - 1]
+        assert place[resample.kth_key(keys, k, f"{tmp_path}/{k}")] == order[k - 1]
     assert resample.kth_key(keys, 41, f"{tmp_path}/41") is None and resample.kth_key(keys, 0, f"{tmp_path}/0") is None
 
 
