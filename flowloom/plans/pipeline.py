@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; of our own only where the session names none and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="flowloom-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def filter_captures(spark: SparkSession, source: str, target: str, rules: Rules) -> Capture:
     """Writes what the rules let through: frames whose packet isn't dropped. Frames that are no TCP or UDP over IPv4 are left out."""
     made = judge(read_captures(spark, source), rules)

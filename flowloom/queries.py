@@ -5,7 +5,7 @@ Every query calls the library's operators on whole tables, or on captures that S
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.apps import app_code, app_name, classify_host, classify_sql
@@ -14,7 +14,8 @@ from .functions.text import content_hash, entropy, estimate_tokens, leftmost_lab
 from .operators import aggregates, checks, chunking, context, decode, evaluation, export, flows, report, search, signals
 from .operators.inspect import block_reason, inspect
 from .plans import captures
-from .plans.pipeline import kept
+from .plans.pipeline import kept, shared_folder
+from .sources.pcap import read_captures, write_captures
 from .sources.rules import Rules
 from .streaming.flows import flow_sessions
 
@@ -221,19 +222,38 @@ def limited_totals(spark: SparkSession, d: str) -> DataFrame:
 LIMITED_TOTALS = CAPTURE_TOTALS.replace("from q group", "from q where packet_no < 1000 group")
 
 
+def _written(spark: SparkSession, d: str) -> str:
+    """A new folder of the checkpoint folder that holds the derived captures as files."""
+    path = shared_folder(spark, "captures")
+    write_captures(_frames(spark, d), path)
+    return path
+
+
+def _capture_of_file() -> Column:
+    """The capture that a numbered file belongs to."""
+    return F.regexp_replace("capture", r"-\d+\.pcap$", ".pcap").alias("capture")
+
+
 def written_captures(spark: SparkSession, d: str) -> DataFrame:
     """The derived captures written as files, read back and summed up."""
-    import tempfile
-    import uuid
+    p = decode.transport_packets(read_captures(spark, _written(spark, d)))
+    return p.groupBy(_capture_of_file()).agg(F.count("*").alias("packets"), F.sum("frame_len").alias("bytes"), F.sum("payload_length").alias("payload_bytes"), F.countDistinct("src_ip").alias("sources"))
 
-    from .sources.pcap import read_captures, write_captures
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="flowloom-")
-    path = f"{root.rstrip('/')}/captures-{uuid.uuid4().hex}"
-    write_captures(_frames(spark, d), path)
-    p = decode.transport_packets(read_captures(spark, path))  # a capture's files are numbered
-    name = F.regexp_replace("capture", r"-\d+\.pcap$", ".pcap")
-    return p.groupBy(name.alias("capture")).agg(F.count("*").alias("packets"), F.sum("frame_len").alias("bytes"), F.sum("payload_length").alias("payload_bytes"), F.countDistinct("src_ip").alias("sources"))
+#: Bytes of a range in `ranged_captures`: small, so that each file has several.
+SMALL_RANGE = 96 << 10
+
+
+def ranged_captures(spark: SparkSession, d: str) -> DataFrame:
+    """The derived captures written as files and read in ranges: packets by their numbers."""
+    raw = read_captures(spark, _written(spark, d), SMALL_RANGE)
+    block = F.floor(F.col("packet_no") / 500).alias("block")
+    by = raw.groupBy(_capture_of_file(), block).agg(F.count("*").alias("packets"), F.sum("incl_len").alias("bytes"), F.min("packet_no").alias("lo"), F.max("packet_no").alias("hi"), F.sum(F.col("packet_no") * F.col("ts_frac")).alias("mark"))
+    return by.select("capture", "block", "packets", "bytes", "lo", "hi", "mark")
+
+
+RANGED_CAPTURES = _TUPLES + """, n as (select capture, frame_len, event_id % 1000000 as ts_frac, row_number() over (partition by capture order by packet_no) - 1 as packet_no from q)
+select capture, packet_no // 500 as block, count(*) as packets, sum(frame_len) as bytes, min(packet_no) as lo, max(packet_no) as hi, sum(packet_no * ts_frac) as mark from n group by all"""
 
 
 WRITTEN_CAPTURES = _TUPLES + "select capture, count(*) as packets, sum(frame_len) as bytes, sum(payload_length) as payload_bytes, count(distinct src_ip) as sources from q group by all"
@@ -547,7 +567,7 @@ IDLE_SESSIONS = """with a as (select user_id, ts, case when lag(ts) over w is nu
 b as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from a) select user_id, cast(floor(epoch(min(ts))) as bigint) as start_s, cast(floor(epoch(max(ts)) + 300) as bigint) as end_s, count(*) as packets from b group by user_id, s"""
 
 _QUERIES = [
-    host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, limited_totals, capture_totals, written_captures, top_names, shard_loads,
+    host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, limited_totals, capture_totals, written_captures, ranged_captures, top_names, shard_loads,
     reported_flows, redacted_addresses, capture_signals, capture_profile, sanitized_names, label_entropy, document_hashes, document_chunks, redacted_messages, similar_vectors, merged_retrieval,
     retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, exported_hits, unknown_references, idle_sessions,
 ]

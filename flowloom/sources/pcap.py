@@ -1,7 +1,7 @@
 """Capture files (classic pcap) as a Spark data source named `pcap`.
 
-Reading gives one partition per file, since records can't be found without a walk;
-files are streamed record by record. A record that is cut short or longer than allowed ends its file's scan.
+The source itself reads one file per partition, record by record; `read_captures` reads large files in ranges (see ranges).
+A record that is cut short or longer than allowed ends its file's scan.
 Writing gives one file for each capture and task, in the order of the rows; sort by packet number first.
 
 The path may be a file, a folder or a URI that pyarrow's file systems know.
@@ -31,11 +31,25 @@ MAGIC = {
 HEADER = struct.Struct("<IHHiIII")
 
 
-def _open(path: str):
+def open_path(path: str):
+    """(file system, path in it) of a local path or a URI."""
     uri = path if "://" in path else f"file://{path}" if path.startswith("/") else path
     return pa.fs.FileSystem.from_uri(uri)
 
 
+def capture_files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the file, or of all *.pcap files below the folder."""
+    fs, root = open_path(path)
+    scheme = path.split("://")[0] + "://" if "://" in path else ""
+    info = fs.get_file_info(root)
+    if info.type == pa.fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == pa.fs.FileType.File:
+        return [(path, info.size)]
+    inside = fs.get_file_info(pa.fs.FileSelector(root, recursive=True))
+    return [(scheme + f.path, f.size) for f in sorted(inside, key=lambda f: f.path) if f.type == pa.fs.FileType.File and f.path.endswith(".pcap")]
+
+
 @dataclass
 class FilePartition(InputPartition):
     path: str
@@ -46,18 +60,10 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[FilePartition]:
-        fs, root = _open(self.path)
-        scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
-        info = fs.get_file_info(root)
-        if info.type == pa.fs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        if info.type == pa.fs.FileType.File:
-            return [FilePartition(self.path)]
-        inside = fs.get_file_info(pa.fs.FileSelector(root, recursive=True))
-        return [FilePartition(scheme + f.path) for f in sorted(inside, key=lambda f: f.path) if f.type == pa.fs.FileType.File and f.path.endswith(".pcap")]
+        return [FilePartition(path) for path, _ in capture_files(self.path)]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        fs, root = _open(partition.path)
+        fs, root = open_path(partition.path)
         name = root.rsplit("/", 1)[-1]
         with fs.open_input_stream(root, buffer_size=1 << 20) as file:
             head = file.read(HEADER.size)
@@ -92,7 +98,7 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> _Written:
         from pyspark import TaskContext
 
-        fs, root = _open(self.path)
+        fs, root = open_path(self.path)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         files: dict[str, tuple] = {}
@@ -112,13 +118,13 @@ class _Writer(DataSourceWriter):
         return _Written([(draft, name) for _, draft, name in files.values()])
 
     def commit(self, messages: list[_Written | None]) -> None:
-        fs, _ = _open(self.path)
+        fs, _ = open_path(self.path)
         for message in messages:
             for draft, name in message.files if message else []:
                 fs.move(draft, name)
 
     def abort(self, messages: list[_Written | None]) -> None:
-        fs, _ = _open(self.path)
+        fs, _ = open_path(self.path)
         for message in messages:
             for draft, _ in message.files if message else []:
                 fs.delete_file(draft)
@@ -141,10 +147,11 @@ class PcapSource(DataSource):
         return _Writer(self.options["path"], str(self.options.get("keep_orig_len", "false")).lower() == "true")
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of RAW; capture is the file's name and packet_no counts its records from 0."""
-    spark.dataSource.register(PcapSource)
-    return spark.read.format("pcap").load(path)
+def read_captures(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """Rows of RAW; capture is the file's name and packet_no counts its records from 0. Files of over range_bytes (64 MB) are many tasks' work."""
+    from .ranges import RANGE_BYTES, read_ranges
+
+    return read_ranges(spark, path, range_bytes or RANGE_BYTES)
 
 
 def write_captures(packets: DataFrame, path: str, keep_orig_len: bool = False) -> None:
