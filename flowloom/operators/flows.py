@@ -93,13 +93,13 @@ _PACKET = ["packet_no", "tcp_flags", "cand_app", "cand_name", "cand_reason", "ow
 _BLOCK_KEY = [*KEY, "block"]
 
 
-def judged_packets(packets: DataFrame, rules: Rules) -> DataFrame:
-    """Packets with all that the state machine asks of them; payloads are left behind."""
+def judged_packets(packets: DataFrame, rules: Rules, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Packets with all that the state machine asks of them, and columns to keep; payloads are left behind."""
     p = with_flow_key(inspect(packets))
     own = block_reason(F.col("src_ip"), F.col("dst_port"), F.lit(None).cast("string"), F.lit(None).cast("string"), rules)
     of_class = F.when(F.col("cand_app").isin(*rules.apps) if rules.apps else F.lit(False), "APP").when(domain_blocked(F.col("cand_name"), rules), "DOMAIN")
     p = p.withColumns({"own_reason": own, "cand_reason": of_class, "block": F.floor(F.col("packet_no") / BLOCK).cast("long"), "tcp_flags": F.when(F.col("protocol") == TCP, F.col("tcp_flags"))})
-    return p.select(*_BLOCK_KEY, *_PACKET, "cand_kind", "frame_len", *TUPLE)
+    return p.select(*_BLOCK_KEY, *_PACKET, "cand_kind", "frame_len", *TUPLE, *keep)
 
 
 def _first(rules: Rules) -> tuple:

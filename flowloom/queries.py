@@ -17,6 +17,7 @@ from .plans import captures
 from .plans.pipeline import kept, shared_folder
 from .sources.pcap import read_captures, write_captures
 from .sources.rules import Rules
+from .streaming import states
 from .streaming.flows import flow_sessions
 
 #: The rules that the rule queries block by.
@@ -149,10 +150,14 @@ def engine_flows(spark: SparkSession, d: str) -> DataFrame:
 
 # The state machine packet by packet, as a recursive query over the places of packets in their flows.
 _FLOW = "capture, lo_ip, lo_port, hi_ip, hi_port, protocol"
-_WALK = _NAMED.replace("with e as", "with recursive e as", 1) + f""", j as (
+
+
+def _walk_sql(packets: str, before: str = "") -> str:
+    """Walks the flows of `packets` (m, or a table that `before` makes of it)."""
+    return _NAMED.replace("with e as", "with recursive e as", 1) + before + f""", j as (
   select *, case when src_ip in ({", ".join(map(str, RULES.ips))}) then 'IP' when dst_port = 9001 then 'PORT' end as own,
     case when cand_app = 'HTTP' then 'APP' when cand_name <> '' and (lower(cand_name) = 'example.net' or lower(cand_name) like '%.example.net' or lower(cand_name) glob 'cdn*.example.com') then 'DOMAIN' end as cr,
-    case when protocol = 6 then tcp_flags else 0 end as f, row_number() over (partition by {_FLOW} order by packet_no) as k from m
+    case when protocol = 6 then tcp_flags else 0 end as f, row_number() over (partition by {_FLOW} order by packet_no) as k from {packets}
 ), w as (
   select distinct {_FLOW}, cast(0 as bigint) as k, 0 as ph, false as syn, false as sa, false as fin, cast(null as varchar) as named, 'Unknown' as app, '' as name, cast(null as varchar) as reason, false as told from j
   union all
@@ -165,13 +170,23 @@ _WALK = _NAMED.replace("with e as", "with recursive e as", 1) + f""", j as (
             w.syn or ((j.f & 2) > 0 and (j.f & 16) = 0) as syn, w.sa or ((j.f & 2) > 0 and (j.f & 16) > 0) as sa, w.fin or (j.f & 1) > 0 as fin
           from w join j on {" and ".join(f"w.{c} = j.{c}" for c in _FLOW.split(", "))} and j.k = w.k + 1))))
 )"""
-ENGINE_FLOWS = _WALK + f""", d as (select {_FLOW}, arg_max(ph, k) as ph, arg_max(app, k) as app, arg_max(name, k) as sni, count(reason) as dropped, count(*) filter (reason <> 'FLOW') as blocked_events from w where k > 0 group by all),
-o as (select {_FLOW}, arg_min(is_lo, packet_no) as opened, count(*) filter (is_lo) as n_lo, count(*) filter (not is_lo) as n_hi from m group by all)
+
+
+_WALK = _walk_sql("m")
+
+
+def _flows_sql(packets: str) -> str:
+    """One row a flow of what _walk_sql has walked."""
+    return f""", d as (select {_FLOW}, arg_max(ph, k) as ph, arg_max(app, k) as app, arg_max(name, k) as sni, count(reason) as dropped, count(*) filter (reason <> 'FLOW') as blocked_events from w where k > 0 group by all),
+o as (select {_FLOW}, arg_min(is_lo, packet_no) as opened, count(*) filter (is_lo) as n_lo, count(*) filter (not is_lo) as n_hi from {packets} group by all)
 select capture, case when opened then lo_ip else hi_ip end as src_ip, case when opened then lo_port else hi_port end as src_port, case when opened then hi_ip else lo_ip end as dst_ip, case when opened then hi_port else lo_port end as dst_port, protocol,
   ['NEW', 'ESTABLISHED', 'CLASSIFIED', 'BLOCKED', 'CLOSED'][ph + 1] as state, app, sni, case when blocked_events > 0 then 'DROP' else 'FORWARD' end as action, case when opened then n_lo else n_hi end as packets_out, case when opened then n_hi else n_lo end as packets_in, dropped, blocked_events
 from d join o using ({_FLOW})"""
 
 
+ENGINE_FLOWS = _WALK + _flows_sql("m")
+
+
 def inspection_counters(spark: SparkSession, d: str) -> DataFrame:
     """Names taken from packets, and applications told by them."""
     judged = kept(flows.judged_packets(_packets(spark, d), RULES))
@@ -556,6 +571,50 @@ def unknown_references(spark: SparkSession, d: str) -> DataFrame:
 UNKNOWN_REFERENCES = "select distinct user_id * 7 as doc_id from events where user_id * 7 not in (select doc_id from documents)"
 
 
+#: Idle seconds and lateness of the streamed flows (the events of a pair of users and keys are days apart), and slices of time that come one after another.
+STREAM_IDLE, STREAM_LATE, STREAM_SLICES = 10 * 86_400, "1 hour", 3
+_STREAMED = ["capture", "lo_ip", "lo_port", "hi_ip", "hi_port", "protocol", "started", "ended", "state", "app", "sni", "packets_out", "packets_in", "dropped", "blocked_events"]
+
+
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    p = _packets(spark, d)
+    return states.timed_packets(p.withColumn("event_ts", states.event_time(F.col("ts_sec"), F.col("ts_frac"), F.col("nanos"))), RULES)
+
+
+def _ended(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.unix_micros(c) for c in ("started", "ended")}).select(*_STREAMED)
+
+
+def idle_flows(spark: SparkSession, d: str) -> DataFrame:
+    """Flows after the state machine and rules, each over when it was idle."""
+    return _ended(states.ended_flows(kept(_timed(spark, d)), RULES, STREAM_IDLE))
+
+
+def streamed_flows(spark: SparkSession, d: str) -> DataFrame:
+    """The same of a stream that gets its packets in slices and is stopped and started between them; flows that end a day before the watermark can be told."""
+    folder = shared_folder(spark, "stream")
+    timed = kept(_timed(spark, d))
+    low, high = timed.agg(F.min(F.unix_micros("event_ts")), F.max(F.unix_micros("event_ts"))).first()
+    if low is None:
+        return _ended(states.ended_flows(timed, RULES, STREAM_IDLE))
+    width = (high - low) // STREAM_SLICES + 1
+    for k in range(STREAM_SLICES):
+        timed.where(F.floor((F.unix_micros("event_ts") - low) / width) == k).write.mode("append").parquet(f"{folder}/packets")
+        found = states.run_stream(spark, f"{folder}/packets", timed.schema, RULES, folder, files=1_000_000, late=STREAM_LATE, idle=STREAM_IDLE)
+    return _ended(found).where(F.col("ended") < high - (STREAM_IDLE + 86_400) * 1_000_000)
+
+
+# Every flow and episode is a flow of its own: the number goes into the first part of the key.
+_EPISODES = f""", y as (select *, (cast(floor(epoch(ts)) as bigint) * 1000000 + event_id % 1000000) as us from m),
+z as (select *, us // 1000000 as s, lag(us) over (partition by {_FLOW} order by packet_no) as before from y),
+ep as (select * replace (lpad(cast(sum(case when floor((us - before) / 1000000) > {STREAM_IDLE} then 1 else 0 end) over (partition by {_FLOW} order by packet_no) as varchar), 12, '0') || '/' || capture as capture) from z)"""
+IDLE_FLOWS = _walk_sql("ep", _EPISODES) + f""", d as (select {_FLOW}, arg_max(ph, k) as ph, arg_max(app, k) as app, arg_max(name, k) as sni, count(reason) as dropped, count(*) filter (reason <> 'FLOW') as blocked_events from w where k > 0 group by all),
+o as (select {_FLOW}, arg_min(is_lo, packet_no) as opened, count(*) filter (is_lo) as n_lo, count(*) filter (not is_lo) as n_hi, arg_min(us, packet_no) as started, arg_max(us, packet_no) as ended from ep group by all)
+select substr(capture, 14) as capture, lo_ip, lo_port, hi_ip, hi_port, protocol, started, ended, ['NEW', 'ESTABLISHED', 'CLASSIFIED', 'BLOCKED', 'CLOSED'][ph + 1] as state, app, sni,
+  case when opened then n_lo else n_hi end as packets_out, case when opened then n_hi else n_lo end as packets_in, dropped, blocked_events from d join o using ({_FLOW})"""
+STREAMED_FLOWS = f"select * from ({IDLE_FLOWS}) where ended < (select max(cast(floor(epoch(ts)) as bigint) * 1000000 + event_id % 1000000) from events) - {(STREAM_IDLE + 86_400) * 1_000_000}"
+
+
 def idle_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Users' sessions of events without a gap of five minutes."""
     e = _read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("event_ts"), F.lit(1).alias("frame_len"))
@@ -569,7 +628,7 @@ b as (select *, sum(new) over (partition by user_id order by ts rows unbounded p
 _QUERIES = [
     host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, limited_totals, capture_totals, written_captures, ranged_captures, top_names, shard_loads,
     reported_flows, redacted_addresses, capture_signals, capture_profile, sanitized_names, label_entropy, document_hashes, document_chunks, redacted_messages, similar_vectors, merged_retrieval,
-    retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, exported_hits, unknown_references, idle_sessions,
+    retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, exported_hits, unknown_references, idle_sessions, idle_flows, streamed_flows,
 ]
 
 
