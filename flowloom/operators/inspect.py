@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import fnmatch
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from ..functions.apps import classify_host
 from ..functions.payload import HTTP_PORTS, dns_query_name, http_host, is_dns_query, is_tls_client_hello, tls_server_name
 from ..sources.rules import Rules
 from .decode import _once, payload
+from .patterns import pattern_matches
 
 #: What a packet may say: (application, name, how it was told). The first that applies counts.
 TLS, HTTP, DNS, PORT = "tls", "http", "dns", "port"
@@ -112,24 +110,10 @@ def block_reason(src_ip: Column, dst_port: Column, app: Column, name: Column, ru
     )
 
 
-#: Characters that join names with patterns.
-_GRAM = 3
-
-
-def _pattern_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, regex) of domain patterns; the key is the last _GRAM characters of the longest run that stands in every match ("": none is long enough)."""
-    for batch in batches:
-        found = batch.column("p").to_pylist()
-        runs = [max(re.split(r"\[[^]]*\]|[*?]", p.removeprefix("*.")), key=len) if "[" not in re.sub(r"\[[^]]*\]", "", p) else "" for p in found]
-        keys = [r[-_GRAM:] if len(r) >= _GRAM else "" for r in runs]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([glob_regex(p) for p in found], pa.string())], names=["key", "regex"])
-
-
 def block_reason_by_join(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same for rule tables (kind, value) of any size: joins on values for exact rules, and on three characters that a pattern asks for.
+    """The same for rule tables (kind, value) of any size: joins on values for exact rules, an automaton over distinct names for patterns.
 
-    rows: src_ip_s, dst_port, app, name. Adds `reason`. Distinct names meet the patterns whose characters they have; only patterns that
-    name no three characters in a row (`*a*`) meet all names.
+    rows: src_ip_s, dst_port, app, name. Adds `reason`.
     """
     def exact(kind: str, column: Column, flag: str) -> tuple[DataFrame, Column]:
         side = rules.where(F.col("kind") == kind).select(F.lower("value").alias(f"_{flag}")).distinct()
@@ -139,10 +123,7 @@ def block_reason_by_join(rows: DataFrame, rules: DataFrame) -> DataFrame:
     for kind, column in (("IP", F.col("src_ip_s")), ("PORT", F.col("dst_port")), ("APP", F.col("app")), ("DOMAIN", F.col("name"))):
         side, on = exact(kind, column, kind)
         out = out.join(side, on, "left")
-    like = rules.where("kind = 'PATTERN'").select(F.lower("value").alias("p")).distinct().mapInArrow(_pattern_keys, "key string, regex string")
-    names = rows.select(F.lower("name").alias("n")).where("n <> ''").distinct()
-    grams = names.select("n", F.explode(F.array_union(F.array(F.lit("")), F.expr(f"transform(sequence(1, greatest(1, length(n) - {_GRAM - 1})), k -> substr(n, k, {_GRAM}))"))).alias("key"))
-    hit = grams.join(like, "key").where("n rlike regex").select("n").distinct().withColumn("_PATTERN", F.lit(True))
+    hit = pattern_matches(rows, rules.where("kind = 'PATTERN'")).select(F.col("name").alias("n")).distinct().withColumn("_PATTERN", F.lit(True))
     out = out.join(hit, F.lower("name") == F.col("n"), "left").drop("n")
     reason = F.when(F.col("_IP").isNotNull(), "IP").when(F.col("_PORT").isNotNull(), "PORT").when(F.col("_APP").isNotNull(), "APP")
     return out.withColumn("reason", reason.when((F.col("_DOMAIN").isNotNull() & (F.col("name") != "")) | F.col("_PATTERN"), "DOMAIN")).drop("_IP", "_PORT", "_APP", "_DOMAIN", "_PATTERN")

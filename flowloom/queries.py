@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .functions.apps import app_code, app_name, classify_host, classify_sql
 from .functions.network import five_tuple_hash, protocol_name, tcp_flags_name
 from .functions.text import content_hash, entropy, estimate_tokens, leftmost_label, redact_secrets, sanitize_hostname
-from .operators import aggregates, checks, chunking, context, decode, evaluation, export, flows, report, search, signals
-from .operators.inspect import block_reason, inspect
+from .operators import aggregates, checks, chunking, context, decode, evaluation, export, flows, patterns, report, rule_times, search, signals
+from .operators.inspect import block_reason, block_reason_by_join, inspect
 from .plans import captures
 from .plans.pipeline import kept, shared_folder
 from .sources.pcap import read_captures, write_captures
@@ -222,6 +222,76 @@ RULE_REASONS = _NAMED + f"""select capture, case when src_ip in ({", ".join(map(
   when cand_name <> '' and (lower(cand_name) = 'example.net' or lower(cand_name) like '%.example.net' or lower(cand_name) glob 'cdn*.example.com') then 'DOMAIN' end as reason, count(*) as n from m group by all"""
 
 
+def _rule_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Events as edits of rules: signups block, errors unblock, one purchase in 97 clears; what they are about follows from the event's number."""
+    hosts = captures.page_hosts(_read(spark, d, "pages")).withColumnRenamed("page_id", "_page")
+    e = _read(spark, d, "events").withColumn("_page", F.col("event_id") % max(1, _read(spark, d, "pages").count())).join(hosts, "_page", "left")
+    n = F.col("event_id") % 7
+    kind = F.when(n < 3, "IP").when(n == 3, "PORT").when(n == 4, "APP").when(n == 5, "DOMAIN").otherwise("PATTERN")
+    client = F.concat(F.lit("10.0."), (F.floor(F.col("user_id") / 256) % 256).cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"))
+    which = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.floor(F.col("event_id") / 7) % len(v)).cast("int") + 1)
+    value = F.when(n < 3, client).when(n == 3, which("443", "80", "53", "9001")).when(n == 4, which("HTTP", "DNS", "YouTube")).when(n == 5, F.upper("host")).otherwise(which("*.example.net", "cdn*.example.com", "?eb.*", "*tube*"))
+    action = F.when(F.col("event_type") == "signup", "block").when(F.col("event_type") == "error", "unblock").when((F.col("event_type") == "purchase") & (F.col("event_id") % 97 == 0), "clear")
+    at = states.event_time(F.unix_timestamp(F.col("ts").cast("timestamp")), F.col("event_id") % 1_000_000, F.lit(False))
+    return e.select(at.alias("at"), F.col("event_id").alias("seq"), action.alias("action"), kind.alias("kind"), value.alias("value")).where("action is not null")
+
+
+def timed_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The rule in force that blocks each packet, while rules come and go."""
+    p = inspect(_packets(spark, d)).withColumn("event_ts", states.event_time(F.col("ts_sec"), F.col("ts_frac"), F.col("nanos")))
+    p = p.select("capture", "packet_no", "event_ts", "src_ip_s", "dst_port", F.col("cand_app").alias("app"), F.coalesce("cand_name", F.lit("")).alias("name"))
+    return rule_times.block_reason_as_of(p, _rule_edits(spark, d), F.col("event_ts")).select("capture", "packet_no", "reason")
+
+
+TIMED_RULES = _NAMED.replace("select 'events-' ||", "select floor(epoch(ts))::bigint * 1000000 + event_id % 1000000 as us, 'events-' ||", 1) + f""", g0 as (
+  select floor(epoch(ts))::bigint * 1000000 + event_id % 1000000 as us, event_id % 7 as n, case event_type when 'signup' then 1 when 'error' then -1 when 'purchase' then case when event_id % 97 = 0 then 0 end end as step,
+    case when event_id % 7 < 3 then '10.0.' || (user_id // 256 % 256) || '.' || (user_id % 256) when event_id % 7 = 3 then ['443', '80', '53', '9001'][event_id // 7 % 4 + 1] when event_id % 7 = 4 then ['HTTP', 'DNS', 'YouTube'][event_id // 7 % 3 + 1]
+      when event_id % 7 = 5 then lower(host) else ['*.example.net', 'cdn*.example.com', '?eb.*', '*tube*'][event_id // 7 % 4 + 1] end as value from events left join h on h.page_id = event_id % (select count(*) from pages)),
+g as (select *, case when n < 3 then 'IP' when n = 3 then 'PORT' when n = 4 then 'APP' when n = 5 then 'DOMAIN' else 'PATTERN' end as kind, count(*) filter (step = 0) over (order by us) as epoch from g0 where step is not null),
+g1 as (select kind, value, us, epoch, step, sum(step) over w as run from g where step <> 0 window w as (partition by kind, value, epoch order by us)),
+v as (select kind, value, us, epoch, case when kind = 'PATTERN' then run - least(0, min(run) over (partition by kind, value, epoch order by us)) > 0 else step = 1 end as blocked from g1),
+cl as (select us, epoch from g where step = 0),
+pk as (select capture, packet_no, us, {_IP.format("src_ip")} as ip, cast(dst_port as varchar) as port, cand_app as app, case when kind is not null then lower(cand_name) end as name from m),
+ask as (select capture, packet_no, us, 0 as r, 'IP' as kind, ip as value from pk union all select capture, packet_no, us, 1, 'PORT', port from pk union all select capture, packet_no, us, 2, 'APP', app from pk where app is not null
+  union all select capture, packet_no, us, 3, 'DOMAIN', name from pk where name <> '' union all select capture, packet_no, us, 3, 'PATTERN', p from pk, unnest(['*.example.net', 'cdn*.example.com', '?eb.*', '*tube*']) as u(p) where name <> '' and (name glob p or (p = '*.example.net' and name = 'example.net'))),
+ac as (select ask.*, coalesce(cl.epoch, 0) as epoch from ask asof left join cl on ask.us >= cl.us),
+f as (select ac.*, v.blocked, v.epoch as since from ac asof left join v on ac.kind = v.kind and ac.value = v.value and ac.us >= v.us),
+b as (select capture, packet_no, min(r) as r from f where blocked and since = epoch group by all)
+select capture, packet_no, ['IP', 'PORT', 'APP', 'DOMAIN'][r + 1] as reason from pk left join b using (capture, packet_no)"""
+
+
+def pattern_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are parts of pages' hosts, judged by a rule table with a pattern or a name for every page."""
+    h = _hosts(spark, d)
+    n, host = F.col("page_id") % 4, F.col("host")
+    value = (
+        F.when(n == 0, F.concat(F.lit("*."), F.expr("substr(host, locate('.', host) + 1)"))).when(n == 1, F.concat(F.substring(host, 1, 6), F.lit("*"), F.expr("right(host, 4)")))
+        .when(n == 2, F.concat(F.lit("*"), F.substring(host, 5, 3), F.lit("?"), F.expr("right(host, 9)"))).otherwise(F.concat(F.lit("www."), host))
+    )
+    table = h.select(F.when(n == 3, "DOMAIN").otherwise("PATTERN").alias("kind"), value.alias("value"))
+    names = h.select("page_id", F.lit("10.0.0.1").alias("src_ip_s"), F.lit(9).alias("dst_port"), F.lit("HTTP").alias("app"), F.expr("substr(host, cast(2 + page_id % 3 as int))").alias("name"))
+    return block_reason_by_join(names, table).select("page_id", "name", "reason")
+
+
+PATTERN_REASONS = f"""with {_HOSTS}, r as (select distinct page_id % 4 as n, case page_id % 4 when 0 then '*.' || substr(host, strpos(host, '.') + 1) when 1 then substr(host, 1, 6) || '*' || right(host, 4)
+  when 2 then '*' || substr(host, 5, 3) || '?' || right(host, 9) else 'www.' || host end as v from h), x as (select distinct substr(host, cast(2 + page_id % 3 as int)) as name from h),
+y as (select name, exists(select 1 from r where case n when 0 then name = substr(v, 3) or ends_with(name, substr(v, 2)) when 3 then name = v else name glob v end) as hit from x)
+select page_id, name, case when hit then 'DOMAIN' end as reason from (select page_id, substr(host, cast(2 + page_id % 3 as int)) as name from h) join y using (name)"""
+
+
+def forbidden_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the benchmark's longer words stand in each turn of a conversation, as parts of words too."""
+    terms = _read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("value"))
+    turns = _read(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    found = patterns.term_counts(turns, terms).groupBy("id").agg(F.count("*").alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    at = F.split("id", ":")
+    return found.select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "n_terms", "first_term", "last_term")
+
+
+FORBIDDEN_TERMS = """with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) as term from benchmark)
+select conv_id, turn, count(*) as n_terms, min(term) as first_term, max(term) as last_term from conversations, t where contains(lower(text), term) group by all"""
+
+
 def capture_totals(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.capture_totals(_packets(spark, d))
 
@@ -626,7 +696,7 @@ IDLE_SESSIONS = """with a as (select user_id, ts, case when lag(ts) over w is nu
 b as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from a) select user_id, cast(floor(epoch(min(ts))) as bigint) as start_s, cast(floor(epoch(max(ts)) + 300) as bigint) as end_s, count(*) as packets from b group by user_id, s"""
 
 _QUERIES = [
-    host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, limited_totals, capture_totals, written_captures, ranged_captures, top_names, shard_loads,
+    host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, timed_rules, pattern_reasons, forbidden_terms, limited_totals, capture_totals, written_captures, ranged_captures, top_names, shard_loads,
     reported_flows, redacted_addresses, capture_signals, capture_profile, sanitized_names, label_entropy, document_hashes, document_chunks, redacted_messages, similar_vectors, merged_retrieval,
     retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, exported_hits, unknown_references, idle_sessions, idle_flows, streamed_flows,
 ]
