@@ -1,7 +1,7 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded down the tree.
 
-A page is parsed into its elements (implied end tags are supplied). Every element
-that isn't inline gets features: what its tag and attribute tokens (and those of its ancestors)
+A page is parsed into its elements (implied end tags are supplied) in one pass that reads nothing twice. Every element
+that isn't inline, and every inline one with a class, id or role, gets features: what its tag and attribute tokens (and those of its ancestors)
 meant in training, subtree density, link share, depth, and how it compares with its
 siblings. Gradient-boosted trees give the log-odds that its text is article text. Decoding
 labels elements from the root down as above the article, in it, or out of it; an
@@ -9,8 +9,9 @@ element out of the article has no descendant in it, and the best-scoring labelli
 contradiction is found exactly by dynamic programming over the tree.
 
 Pages have no labels, so the trees learn from what page authors mark up: on a bounded sample (SAMPLE_PAGES) of pages,
-text in <article> or <main> is positive, that in elements of the names below negative. Each sampled page is learned in several disguises (containers
-renamed, its own texts repeated as sidebars, notices, forms and comments), so that no single name decides.
+text in <article> or <main> is positive, that in elements of the names below negative. Each sampled page is learned in several disguises: containers
+renamed, its own texts repeated as sidebars, notices, forms, comments and inline adverts, and within the article as headings, lists, tables, quotes, figures and
+plain wrappers, so that neither a name nor a kind of element decides by itself.
 
 Defined results: a null or empty page has an empty text; a page without any article text too; repeated rows get equal results;
 without a page to learn from texts are empty; unclosed and stray tags are allowed; other columns are ignored.
@@ -22,7 +23,7 @@ import html
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,17 +55,58 @@ OTHER_TOKENS = frozenset(
     "cookie cookies consent notice alert newsletter subscribe signup share social related widget popup modal pagination login search copyright".split()
 )
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# All quantifiers are possessive, so a match or a failure looks at each character once.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAMED = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 
 
-_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
+
+
+def markup(source: str, ends: Callable[[str, str, int], int]) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name, attributes) of each tag and (start, end, "", "", "") of each comment or declaration.
+
+    Nothing is read twice: once an attribute's quote doesn't end, quotes no longer count in the rest of the page; behind the last > no tag is looked for.
+    ends(name, attributes, end) tells where to go on behind an opening tag.
+    """
+    at, last, quotes = source.find("<"), source.rfind(">"), True
+    while at >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = len(source) if end < 0 else end + 3
+            yield at, end, "", "", ""
+            at = source.find("<", end)
+            continue
+        if at > last:
+            at = source.find("<!--", at)  # all that may still be markup
+            continue
+        if source.startswith(("<!", "<?"), at):
+            end = source.find(">", at) + 1
+            yield at, end, "", "", ""
+            at = source.find("<", end)
+            continue
+        tag = _TAG.match(source, at)
+        if not tag:
+            at = source.find("<", at + 1)
+            continue
+        rest = _REST.match(source, tag.end()) if quotes else None
+        if rest:
+            end, attributes = rest.end(), rest.group(1)
+        else:
+            quotes = False
+            end = source.find(">", tag.end()) + 1
+            if not end:  # the name has run over the last >
+                at = source.find("<", at + 1)
+                continue
+            attributes = source[tag.end() : end - 1]
+        name = tag.group(2).lower()
+        yield at, end, tag.group(1), name, attributes
+        at = source.find("<", end if tag.group(1) else ends(name, attributes, end))
 
 
 class Page:
-    """The elements of a page that aren't inline, in page order, and the text pieces of each.
+    """The elements of a page that aren't inline or have a name, in page order, and the text pieces of each.
 
     pieces: (element, text, in a link) and (None, "", False) wherever a block ends.
     """
@@ -72,65 +114,76 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.tokens, self.parent, self.depth = ["#root"], [()], [-1], [0]
         self.pieces: list[tuple] = []
-        stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones with the element they are in
-        at, links, end, endless = 0, 0, len(source), set()
-        while at < end:
-            found = _MARKUP.search(source, at)
-            text = source[at : found.start()] if found else source[at:]
-            if text and not text.isspace():
-                self.pieces.append((stack[-1][1], html.unescape(text), links > 0))
-            elif text:
-                self.pieces.append((stack[-1][1], " ", links > 0))
-            if not found:
-                break
-            at = found.end()
-            close, name, rest = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
-            if not name:
-                continue
-            name = name.lower()
-            if name == "br":
-                self.pieces.append((stack[-1][1], " ", links > 0))
-            if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        gone = stack[k:]
-                        del stack[k:]
-                        links -= sum(g[0] == "a" for g in gone)
-                        if any(g[0] not in INLINE for g in gone):
-                            self.pieces.append((None, "", False))
-                        break
-                continue
-            if name in RAW:  # skipped with its content, if it has an end
-                closing = None if rest.endswith("/") or name in endless else _ENDS[name].search(source, at)
+        self.stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones without a name with the element they are in
+        self.where: dict[str, list[int]] = {}  # places in the stack of each open name
+        self.scopes: list[int] = []
+        self.links, self.at = 0, 0
+        endless: set[str] = set()
+
+        def ends(name: str, attributes: str, end: int) -> int:
+            """Behind the content of an element that is skipped with it, if it has an end."""
+            self.at = end
+            if name in RAW and not attributes.endswith("/") and name not in endless:
+                closing = _ENDS[name].search(source, end)
                 if closing:
-                    at = closing.end()
-                elif not rest.endswith("/"):
+                    self.at = closing.end()
+                else:
                     endless.add(name)
+            return self.at
+
+        for start, end, close, name, attributes in markup(source, ends):
+            self._text(source[self.at : start])
+            self.at = end
+            if name == "br":
+                self.pieces.append((self.stack[-1][1], " ", self.links > 0))
+            if not name or name in RAW and not close:
                 continue
-            if name in INLINE:
-                if name not in VOID and not rest.endswith("/"):
-                    stack.append((name, stack[-1][1]))
-                    links += name == "a"
-                continue
-            closes = CLOSES_SAME.get(name) or ({"p"} if name in CLOSES_P else ())
-            if closes:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in closes:
-                        links -= sum(g[0] == "a" for g in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
+            if close:
+                if self.where.get(name) and self._pop(self.where[name][-1]):
+                    self.pieces.append((None, "", False))
+            else:
+                self._open(name, attributes)
+        self._text(source[self.at :])
+
+    def _text(self, text: str) -> None:
+        if text:
+            self.pieces.append((self.stack[-1][1], " " if text.isspace() else html.unescape(text), self.links > 0))
+
+    def _pop(self, place: int) -> bool:
+        """Closes all open elements from a place in the stack on; whether one of them isn't inline."""
+        block = False
+        while len(self.stack) > place:
+            name, _ = self.stack.pop()
+            self.where[name].pop()
+            if self.scopes and self.scopes[-1] == len(self.stack):
+                self.scopes.pop()
+            self.links -= name == "a"
+            block |= name not in INLINE
+        return block
+
+    def _open(self, name: str, attributes: str) -> None:
+        closes = CLOSES_SAME.get(name) or ({"p"} if name in CLOSES_P else ())
+        place = max((self.where[c][-1] for c in closes if self.where.get(c)), default=-1)
+        if place > 0 and not (self.scopes and self.scopes[-1] > place):
+            self._pop(place)
+        inline = name in INLINE
+        if not inline:
             self.pieces.append((None, "", False))
-            if name in VOID:
-                continue
-            words = [w for m in _NAMED.finditer(rest) for w in (m[1] or m[2] or m[3] or "").lower().split()] if rest else ()
-            parent = stack[-1][1]
+        if name in VOID or inline and attributes.endswith("/"):
+            return
+        words = [w for m in _NAMED.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else ()
+        element = self.stack[-1][1]
+        if not inline or words:
             self.tag.append(name)
             self.tokens.append(tuple(words))
-            self.parent.append(parent)
-            self.depth.append(self.depth[parent] + 1)
-            stack.append((name, len(self.tag) - 1))
+            self.parent.append(element)
+            self.depth.append(self.depth[element] + 1)
+            element = len(self.tag) - 1
+        self.where.setdefault(name, []).append(len(self.stack))
+        if name in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append((name, element))
+        self.links += name == "a"
 
     def text(self, keep: list[bool]) -> str:
         """The kept elements' blocks, joined by an empty line."""
@@ -282,28 +335,55 @@ def teacher(page: Page) -> np.ndarray:
 
 
 def disguises(source: str, rng: random.Random) -> list[str]:
-    """The page, and the page with other names and with more of what surrounds articles."""
-    out = [source]
+    """The page, and the page with other names, with more of what surrounds articles, and with more of what they hold."""
     swap = lambda s, tag, new: re.sub(rf"<{tag}(?=[\s>])", f"<{new}", re.sub(rf"</{tag}>", f"</{new.split()[0]}>", s))
-    plain = swap(source, "article", f'div class="{rng.choice(sorted(ARTICLE_TOKENS))}"')
-    plain = swap(swap(plain, "nav", 'div class="menu"'), "footer", 'div class="footer"')
-    out.append(plain)
+    token = rng.choice(sorted(ARTICLE_TOKENS))
+    plainly = lambda s: swap(swap(swap(s, "article", f'div class="{token}"'), "nav", 'div class="menu"'), "footer", 'div class="footer"')
     texts = [t for t in re.findall(r">([^<>]{20,400})<", source)] or ["Read more"]
-    some = lambda n: "".join(f"<p>{rng.choice(texts)}</p>" for _ in range(n))
+    any_text = lambda n=400: rng.choice(texts)[: rng.choice([n, n // 3 + 10])]
+    some = lambda n: "".join(f"<p>{any_text()}</p>" for _ in range(n))
+    many = lambda tag, n: "".join(f"<{tag}>{any_text(80)}</{tag}>" for _ in range(n))
+    named = lambda: rng.choice(["", "", f' class="n{rng.randrange(40)}"', f' id="n{rng.randrange(40)}"'])  # noqa: E731  a name that means nothing
     extra = [
         lambda: f'<aside class="sidebar">{some(rng.randint(1, 3))}</aside>',
         lambda: f'<div class="{rng.choice(["cookie notice", "notice", "cookie-notice cookie", "alert notice"])}"><p>{rng.choice(texts)}</p></div>',
         lambda: f'<form action="/s"><label>{rng.choice(texts)[:40]}</label><input type="text"><p>{rng.choice(texts)[:60]}</p></form>',
         lambda: f'<{(t := rng.choice(["section", "div"]))} id="comments" class="{rng.choice(["comments", "comment-list", "comments"])}"><h2>Comments</h2>' + "".join(f'<div class="comment">{some(1)}</div>' for _ in range(rng.randint(1, 4))) + f"</{t}>",
         lambda: f'<div class="{rng.choice(["ad", "advert", "sponsored", "promo", "banner"])}">{some(1)}</div>',
-        lambda: f'<ul class="{rng.choice(["share", "related", "breadcrumb", "social"])}">' + "".join(f'<li><a href="#">{rng.choice(texts)[:30]}</a></li>' for _ in range(3)) + "</ul>",
+        lambda: f'<ul class="{rng.choice(["share", "related", "breadcrumb", "social", "menu"])}">' + "".join(f'<li><a href="#">{rng.choice(texts)[:30]}</a></li>' for _ in range(3)) + "</ul>",
+        lambda: f'<{(t := rng.choice(["span", "small", "a", "em"]))} class="{rng.choice(sorted(OTHER_TOKENS))} {rng.choice(sorted(OTHER_TOKENS))}">{any_text(60)}</{t}>',
+    ]
+    held = [
+        lambda: f"<h{(k := rng.randint(2, 4))}{named()}>{any_text(60)}</h{k}>",
+        lambda: f"<{(t := rng.choice(['ul', 'ol']))}{named()}>{many('li', rng.randint(1, 5))}</{t}>",
+        lambda: f"<ul><li><p>{any_text()}</p></li><li><a href='/x'>{any_text(60)}</a></li></ul>",
+        lambda: f"<table{named()}><tr>{many('th', 2)}</tr>" + "".join(f"<tr>{many('td', 2)}</tr>" for _ in range(rng.randint(1, 3))) + "</table>",
+        lambda: f"<blockquote{named()}>{some(rng.randint(1, 2))}</blockquote>",
+        lambda: f"<figure{named()}><img src='i.png'><figcaption>{any_text(90)}</figcaption></figure>",
+        lambda: f"<div{named()}>{any_text()}</div>",
+        lambda: f"<div{named()}>{some(rng.randint(1, 2))}</div>",
+        lambda: f"<section{named()}><h2>{any_text(60)}</h2>{some(rng.randint(1, 2))}</section>",
+        lambda: f"<section>{any_text()}</section>",
+        lambda: f"<dl{named()}>" + "".join(f"<dt>{any_text(30)}</dt><dd>{any_text(120)}</dd>" for _ in range(rng.randint(1, 3))) + "</dl>",
+        lambda: f"<{(t := rng.choice(['pre', 'blockquote', 'address', 'details']))}{named()}>{any_text()}</{t}>",
+        lambda: f"<p{named()}>{any_text(90)} <{(t := rng.choice(['span', 'a', 'em', 'b', 'small']))}{named() or ' class=x'}>{any_text(60)}</{t}> {any_text(90)}</p>",
     ]
-    for base in (source, plain):
+
+    def rich(s: str) -> str:
+        """More of what articles hold, between and around their paragraphs."""
+        bounds = re.search(r"<(article|main)[\s>].*</\1>", s, re.S)
+        spots = [m.end() for m in re.finditer("</p>|</h1>", s[: bounds.end()]) if m.end() > bounds.start()] if bounds else []
+        for spot in sorted(rng.sample(spots, min(rng.randint(1, 4), len(spots))), reverse=True):
+            s = s[:spot] + "".join(rng.choice(held)() for _ in range(rng.randint(1, 2))) + s[spot:]
+        return s
+
+    out = [source, rich(source), plainly(rich(source))]
+    for base in (rich(source), plainly(rich(source)) if rng.random() < 0.7 else plainly(source)):
         add = lambda: "".join(rng.choice(extra)() for _ in range(rng.randint(1, 2)))
         full = re.sub(r"(<body[^>]*>)", lambda m: m[1] + f"<header><h2>{rng.choice(texts)[:50]}</h2></header>" + add(), base, count=1)
-        spots = [m.end() for m in re.finditer(r"</p>", full)]
-        for spot in sorted(rng.sample(spots, min(2, len(spots))), reverse=True):
-            full = full[:spot] + rng.choice(extra)() + full[spot:]
+        spots = [m.start() if rng.random() < 0.5 else m.end() for m in re.finditer(r"</p>", full)]
+        for spot in sorted(rng.sample(spots, min(3, len(spots))), reverse=True):
+            full = full[:spot] + (extra[6] if full.startswith("</p>", spot) else rng.choice(extra))() + full[spot:]
         end = re.search(r"</article>|<footer|<div class=\"footer\"", full)
         if end:
             full = full[: end.start()] + extra[3]() + full[end.start() :]

@@ -89,3 +89,44 @@ def test_query_columns(spark, model):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == sorted([(1, t := TEXT.replace("{k}", "5"), len(t))] * 2 + [(2, "", 0), (0, "", 0)])
     assert H.extract(rows.limit(0), model).count() == 0
     assert {r.text for r in H.extract(rows, H.fit(rows.limit(0))).collect()} == {""}
+
+
+HELD = [
+    "<h2>A heading in between</h2>", "<ul><li>First item here</li><li>Second item here</li></ul>", "<ol><li>Step one of it</li><li>Step two of it</li></ol>",
+    "<table><tr><th>Name of it</th><td>Value of it</td></tr><tr><th>Other name</th><td>Other value</td></tr></table>", "<blockquote><p>As someone said about it, once.</p></blockquote>", "<blockquote>As someone said once</blockquote>",
+    "<figure><img src='x.png'><figcaption>What the picture shows</figcaption></figure>", "<div>Plain text in a division, without more.</div>", "<div class='wide'><p>A paragraph in a division.</p></div>",
+    "<section><h2>Part two of it</h2><p>What part two says, at some length.</p></section>", "<dl><dt>A term here</dt><dd>What the term means</dd></dl>", "<pre>some code here</pre>", "<p>Words <span class='hl'>and more words</span> and <a href='/x' class='l'>a link</a> here.</p>",
+]
+
+
+@pytest.mark.parametrize("held", HELD)
+def test_what_articles_hold_stays_in(model, held):
+    import html
+    import re
+
+    blocks = [" ".join(html.unescape(re.sub(r"</?(?:span|a|b)\b[^>]*>|<img[^>]*>", "", t)).split()) for t in re.split(r"</?(?:h2|ul|ol|li|table|tr|th|td|blockquote|p|figure|figcaption|div|section|dl|dt|dd|pre)\b[^>]*>", held)]
+    for k, mark in ((3, "<p>Second"), (8, "<p>Third"), (12, "</article>")):
+        want = TEXT.replace("{k}", str(k)).split("\n\n")
+        at = {"<p>Second": 2, "<p>Third": 3, "</article>": 4}[mark]
+        got = model.texts([PAGE.replace("{k}", str(k)).replace(mark, held + mark)])[0]
+        assert got == "\n\n".join([*want[:at], *(b for b in blocks if b), *want[at:]])
+
+
+@pytest.mark.parametrize("advert", ['<span class="ad sponsored">Buy this thing now</span>', '<a class="share social" href="/s">Share this</a>', '<small class="copyright">All rights reserved by us</small>', '<span class="promo">Only today</span>'])
+def test_inline_adverts_stay_out(model, advert):
+    for mark in ("<p>Third one.", "<p>Second&nbsp;paragraph, number {k}, which"):
+        page = PAGE.replace(mark, mark + " " + advert).replace("{k}", "5")
+        assert model.texts([page])[0].split() == TEXT.replace("{k}", "5").split()
+
+
+@pytest.mark.parametrize(
+    "hostile",
+    ["<a " * 350_000, '<a title="x ' * 90_000, "<div>" * 100_000 + "</x>" * 100_000, "<h2>" * 250_000, "<p><li>" + "<h2>" * 250_000, "<b>" * 100_000 + "<p>" * 100_000, '<a "' * 250_000 + ">", "<a '\"> " * 150_000, "<!--" * 250_000, "<!-- >" * 150_000,
+     "<script>" * 120_000, "</script " * 110_000, "<" * 1_000_000, "<!" * 500_000, "&amp" * 250_000, "<a class=" * 110_000 + ">", "<span class=x>" * 70_000],
+)
+def test_hostile_markup_takes_linear_time(hostile):
+    import time
+
+    began = time.perf_counter()
+    H.Page(hostile)
+    assert time.perf_counter() - began < 4  # about 1 MB each; twice what a slow machine takes
