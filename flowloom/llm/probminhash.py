@@ -1,18 +1,17 @@
 """Near-duplicate detection with ProbMinHash signatures.
 
-A document is a set of five-word shingles. Each shingle starts a Poisson process
+A document is a weighted set of five-word shingles: a shingle weighs as often as it occurs. Each shingle starts a Poisson process
 whose rate is its weight; every arrival falls on one register, which keeps the
 shingle that arrives first. A document stops as soon as no further arrival can
 beat its latest register. Two registers agree with the probability Jaccard
-similarity of the two weighted sets.
+similarity of the two weighted sets:
 
-Texts are linked by the Jaccard similarity of their shingle sets, whatever the
-shingles' counts. The search therefore gives all shingles weight 1: the probability
-Jaccard similarity is then that very similarity. Weights of 1 + ln of the count would
-lose pairs of which one repeats a passage; `signatures` has them for other uses.
+    sum over shared shingles i of 1 / sum over all shingles j of max(a_j / a_i, b_j / b_i)
+
+It doesn't change if a text is repeated as a whole, and is the plain Jaccard similarity where no shingle repeats. Texts are linked if it is THRESHOLD or more.
 
 Signatures are cut into bands; documents that share a band are candidates, and
-candidates are verified exactly on their shingle sets.
+candidates are verified exactly, by this very measure of their shingles.
 
 Defined results: rows without an id take no part; a text without words (null,
 empty, only punctuation) is a class of its own; a text of one to four words is one
@@ -58,11 +57,8 @@ def shingles(items: np.ndarray) -> np.ndarray:
     return mix64(x)
 
 
-def signatures(sets: list[np.ndarray], registers: int = REGISTERS, weighted: bool = True) -> np.ndarray:
-    """ProbMinHash of each array of shingle hashes: one row of register values (0: no shingle).
-
-    A shingle weighs 1 + ln of its count, or 1 if not `weighted`.
-    """
+def signatures(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
+    """ProbMinHash of each array of shingle hashes, in which a shingle weighs as often as it occurs: one row of register values (0: no shingle)."""
     count = len(sets)
     first = np.full(count * registers, np.inf)
     found = np.zeros(count * registers, np.uint64)
@@ -77,7 +73,7 @@ def signatures(sets: list[np.ndarray], registers: int = REGISTERS, weighted: boo
     key = key[new]
     doc = (key >> np.uint64(40)).astype(np.int64)
     element = (key & np.uint64((1 << 40) - 1)) + np.uint64(1)
-    rate = 1.0 + np.log(repeats) if weighted else np.ones(len(key))
+    rate = repeats.astype(np.float64)
     state, t = mix64(element), np.zeros(len(key))
     while len(doc):
         with np.errstate(over="ignore"):
@@ -103,7 +99,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(whole, "text"):
             texts = [words(t) for t in batch.column("text").to_pylist()]
             sets = [shingles(hash_words(w, cache)) for w in texts]
-            values = signatures(sets, weighted=False)
+            values = signatures(sets)
             short = (mix64(values) >> np.uint64(32)).astype("<u4")
             bands = values[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS)
             with np.errstate(over="ignore"):
@@ -130,20 +126,41 @@ def _equal(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def weights(text: str | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes in order, how often each occurs) of a text."""
+    return np.unique(shingles(hash_words(words(text), cache)), return_counts=True)
+
+
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The probability Jaccard similarity of two weighted sets (0 if they share nothing)."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    # Shingles with the same two weights are one term; most texts have very few such pairs of weights.
+    pair, times = np.unique(np.stack([a[1][i], b[1][j]]), axis=1, return_counts=True)
+    x, y = pair.astype(np.float64)
+    alone_x, alone_y = a[1].sum() - times @ x, b[1].sum() - times @ y
+    total = 0.0
+    for k in range(0, len(x), 256):
+        u, v = x[k : k + 256, None], y[k : k + 256, None]
+        below = np.maximum(x / u, y / v) @ times + alone_x / u[:, 0] + alone_y / v[:, 0]
+        total += float((times[k : k + 256] / below).sum())
+    return total
+
+
 def _verify(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
-    last: tuple[object, set] = (None, set())
+    last: tuple[object, tuple] = (None, ())
     for batch in pairs:
         for part in steps(batch, "text_b"):
             keep = []
             ids, ta, tb = (part.column(c) for c in ("a", "text_a", "text_b"))
             for i in range(part.num_rows):
-                if ids[i].as_py() != last[0]:
-                    last = (ids[i].as_py(), set(shingles(hash_words(words(ta[i].as_py()), cache)).tolist()))
-                x, y = last[1], set(shingles(hash_words(words(tb[i].as_py()), cache)).tolist())
-                both = len(x & y)
-                keep.append(both >= THRESHOLD * (len(x) + len(y) - both) - 1e-12)
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+                text = ta[i].as_py()
+                if last[0] is None or text != last[0]:
+                    last = (text, weights(text, cache))
+                keep.append(probability_jaccard(last[1], weights(tb[i].as_py(), cache)) >= THRESHOLD - 1e-9)
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _blocks(rows: pa.Table) -> pa.Table:
@@ -257,7 +274,6 @@ def _checked(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
 
 
 def similarity(a: str | None, b: str | None) -> float:
-    """Jaccard similarity of the two texts' shingle sets (0 if either has none)."""
+    """Probability Jaccard similarity of the two texts' shingles (0 if either has none)."""
     cache = WordHashes()
-    x, y = (set(shingles(hash_words(words(t), cache)).tolist()) for t in (a, b))
-    return len(x & y) / len(x | y) if x and y else 0.0
+    return probability_jaccard(weights(a, cache), weights(b, cache))

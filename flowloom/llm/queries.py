@@ -124,13 +124,14 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join h using (doc_id) left join f using (doc_id)"""
 
 CLASSES_SQL = f"""with recursive d as (select doc_id, {_WORDS} as w from documents),
-s as (select distinct doc_id, case when len(w) >= 5 then array_to_string(w[k : k + 4], ' ') else array_to_string(w, ' ') || ' .' end as sh from d, unnest(generate_series(1, greatest(1, len(w) - 4))) as t(k) where len(w) > 0),
-n as (select doc_id, count(*) as c from s group by doc_id), p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
-e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where k >= 0.8 * (x.c + y.c - k) - 1e-12), g as (select a, b from e union all select b, a from e),
+s as (select doc_id, sh, count(*)::double as c from (select doc_id, case when len(w) >= 5 then array_to_string(w[k : k + 4], ' ') else array_to_string(w, ' ') || ' .' end as sh from d, unnest(generate_series(1, greatest(1, len(w) - 4))) as t(k) where len(w) > 0) group by all),
+n as (select doc_id, sum(c) as total from s group by doc_id), m as (select a.doc_id as a, b.doc_id as b, a.c as x, b.c as y, count(*) as m from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+o as (select m.a, m.b, max(p.total) - sum(m * x) as ox, max(q.total) - sum(m * y) as oy from m join n p on p.doc_id = m.a join n q on q.doc_id = m.b group by all),
+i as (select i.a, i.b, i.m, i.x, i.y, sum(j.m * greatest(j.x / i.x, j.y / i.y)) as common from m i join m j on i.a = j.a and i.b = j.b group by all),
+e as (select a, b from i join o using (a, b) group by all having sum(m / (common + ox / x + oy / y)) >= 0.8 - 1e-9), g as (select a, b from e union all select b, a from e),
 r(doc_id, reached) as (select doc_id, doc_id from d union select r.doc_id, g.b from r join g on g.a = r.reached)
 select doc_id, min(reached) as class_id from r group by doc_id"""
 
-
 # DuckDB has no CRC-32: it is taken over the bytes of each distinct feature, bit by bit.
 _CRC = """xor(list_reduce(list_transform(range(0, strlen(f)), lambda i: cast('0x' || substr(hex(encode(f)), cast(2 * i + 1 as int), 2) as bigint)), lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), cast(4294967295 as bigint)), 4294967295)"""
 

@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 
 from flowloom.llm import langid, toxicity
 
@@ -18,7 +19,15 @@ def words_of(text):
 
 def shingles_of(text):
     w = words_of(text)
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def likeness_of(a, b):
+    """Probability Jaccard similarity of two weighted sets, by its definition."""
+    total = 0.0
+    for i in a.keys() & b.keys():
+        total += 1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in a.keys() | b.keys())
+    return total
 
 
 def components_of(rows, least=0.8):
@@ -33,8 +42,7 @@ def components_of(rows, least=0.8):
 
     for k, (i, s) in enumerate(sets):
         for j, t in sets[:k]:
-            both = len(s & t)
-            if both and both >= least * (len(s) + len(t) - both) - 1e-12:
+            if s.keys() & t.keys() and likeness_of(s, t) >= least - 1e-9:
                 a, b = find(i), find(j)
                 of[max(a, b)] = min(a, b)
     return {i: find(i) for i, _ in sets}

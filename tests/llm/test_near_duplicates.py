@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from brute_force import components_of
+from brute_force import components_of, likeness_of, shingles_of
 
 from flowloom.llm import probminhash as M
 from flowloom.llm.common import WordHashes, hash_words, words
@@ -25,12 +25,11 @@ def test_registers_estimate_probability_jaccard():
         assert abs((s[0] == s[1]).mean() - true) < 0.13
 
 
-def test_weights_count():
-    a, b = np.array([1, 2, 3], np.uint64) << np.uint64(40), np.array([1, 1, 1, 1, 1, 1, 1, 1, 2, 3], np.uint64) << np.uint64(40)
-    w = np.array([1 + np.log(8), 1, 1])
-    true = sum(1 / np.maximum(1.0, w / w[k]).sum() for k in range(3))
-    s = M.signatures([a, b], registers=4000)
-    assert abs((s[0] == s[1]).mean() - true) < 0.05
+def test_registers_estimate_weighted_similarity():
+    text = [f"w{k}" for k in range(400)]
+    for more in (text + text[100:300], text + text[100:300] * 50, text[:300] + ["x"] * 900):
+        s = M.signatures(_sets([" ".join(text), " ".join(more)]), registers=4000)
+        assert abs((s[0] == s[1]).mean() - M.similarity(" ".join(text), " ".join(more))) < 0.03
 
 
 def test_same_text_same_signature_whatever_the_batch():
@@ -55,25 +54,22 @@ def test_classes_match_brute_force(spark, corpus):
 
 
 def test_repeated_passages_match_brute_force(spark):
-    """Links don't depend on how often a text repeats what another one says once."""
+    """A passage that is repeated weighs more; a text that is repeated as a whole is the same text."""
     rng, rows = random.Random(3), []
-    for k in range(24):
+    for k in range(25):
         text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
-        if k % 2:
-            more = text + text[100:300] * 50
-        else:
-            more = text + [f"n{rng.randrange(10**6)}" for _ in range(70)] * 20
+        more = [text * 3, text + text[100:130], text + text[100:300] * 50, text + [f"n{rng.randrange(10**6)}" for _ in range(70)] * 20, text[:200] * 2 + text[200:]][k % 5]
         rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(more))]
     got = {r.doc_id: r.class_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == components_of(rows) and got == {i: i - i % 2 for i, _ in rows}
+    assert got == components_of(rows) and {k % 5 for k in range(25) if got[2 * k + 1] == 2 * k} == {0, 1, 4}
 
 
-def test_registers_without_weights_estimate_jaccard():
-    text = [f"w{k}" for k in range(400)]
-    a, b = _sets([" ".join(text), " ".join(text + text[100:300] * 50)])
-    true = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
-    s = M.signatures([a, b], registers=4000, weighted=False)
-    assert abs((s[0] == s[1]).mean() - true) < 0.03
+def test_similarity_is_that_of_its_definition():
+    rng = random.Random(5)
+    for _ in range(60):
+        made = [" ".join(rng.choice("abc") for _ in range(rng.choice([0, 3, 5, 9, 40, 300]))) for _ in range(2)]
+        assert abs(M.similarity(*made) - likeness_of(*map(shingles_of, made))) < 1e-9
+    assert M.similarity("a b", "A, b") == 1.0 and M.similarity(None, "a") == 0.0
 
 
 def test_odd_rows(spark, odd):
