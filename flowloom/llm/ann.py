@@ -129,19 +129,19 @@ class Entries:
     """Entries side by side, and the best of them for some queries."""
 
     def __init__(self, ids: np.ndarray, raw: np.ndarray):
-        self.ids, self.raw = ids, scaled(raw)
+        self.ids, self.given, self.raw = ids, raw, scaled(raw)
         self.norm = np.sqrt((self.raw * self.raw).sum(axis=1))
         self.unit = self.raw / self.norm[:, None]
 
     def best(self, ids: np.ndarray, raw: np.ndarray, k: int, visited: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, entry, score) of the k best visited entries of each query but its own row."""
-        raw = scaled(raw)
+        given, raw = raw, scaled(raw)
         norm = np.sqrt((raw * raw).sum(axis=1))
         near = (raw / norm[:, None]) @ self.unit.T
         if visited is not None:
             near[~visited] = -np.inf
         for q, e in zip(*np.nonzero(ids[:, None] == self.ids)):
-            if (raw[q] == self.raw[e]).all():
+            if (given[q] == self.given[e]).all():  # multiples of a vector under its id are other rows
                 near[q, e] = -np.inf
         least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else near.min(axis=1)
         # All entries level with the k-th (up to rounding) are scored anew, so that ties are settled by id.

@@ -99,3 +99,9 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 250), (0, 2, 1), (250, 1, 0), (250, 2, 1)]
     assert ann.search(frame.limit(0), "vec_id % 50 = 0", 5).count() == 0
     assert ann.search(frame.where("vec_id = 0"), "vec_id % 50 = 0", 5).count() == 0
+
+
+def test_multiples_of_a_vector_under_its_id_are_other_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [0.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0", k=5).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 0, 1.0), (2, 1, 0.0)]
