@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import steps
-from .sampling import sample
+from .sampling import bounded, sample
 
 SAMPLE_ROWS = 12_000
 BINS = 32
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Additiv
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     marks = sample(marks.groupBy("doc_id").agg(F.min("quality").alias("quality")), ["quality"], limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")  # bounded by `limit`
+    rows = bounded(rows, limit + limit // 4)  # several documents may have one id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

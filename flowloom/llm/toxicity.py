@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, steps, words
-from .sampling import sample
+from .sampling import bounded, sample
 
 SAMPLE_ROWS = 6_000
 TERMS = 6_000
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], limit: i
     marks = marks.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories)).dropna("all", subset=list(categories))
     chosen = sample(marks, list(categories), limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by `limit`
+    rows = bounded(rows, limit + limit // 4)  # several documents may have one id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()

@@ -154,3 +154,23 @@ def test_samples_are_bounded_and_stratified(spark, limit):
     assert sum(got.values()) <= max(1.6 * limit, 100) and got["rare"] >= min(10, limit // 4)
     if limit > 5000:
         assert got == {"rare": 50, "common": 4950}
+
+
+@pytest.mark.parametrize("limit", [40, 5_000, 15_000])
+def test_samples_are_bounded_whatever_the_ids(spark, limit):
+    """Rows without an id, three ids of all rows, and one row twenty thousand times."""
+    ids = {"none": "cast(null as long)", "three": "id % 3", "one": "cast(7 as long)"}
+    for name, of in ids.items():
+        text = "'same'" if name == "one" else "concat('t', id)"
+        rows = spark.range(20_000).selectExpr(f"{of} as doc_id", f"{text} as text", "'en' as lang")
+        got = sample(rows, ["lang"], limit).count()
+        assert got <= limit * 5 // 4 and got >= (limit // 2 if name != "one" else 1), (name, got)
+
+
+def test_fits_are_bounded_where_documents_share_an_id(spark):
+    from flowloom.llm import quality, toxicity
+
+    docs = spark.range(3_000).selectExpr("id % 2 as doc_id", "concat('some words here ', id) as text")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(docs, labels, {"toxic": "toxic"}, limit=100) is not None
+    assert quality.fit(docs, labels, limit=100) is not None
