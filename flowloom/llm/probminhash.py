@@ -38,8 +38,8 @@ ROWS = 5
 REGISTERS = 240
 #: Share of equal registers below which a candidate isn't verified: 0.8 less 3.1 standard deviations.
 LEAST_EQUAL = 0.72
-#: Members of a bucket that meet in one task.
-BLOCK = 1024
+#: Members of a block of a bucket, and bytes of their shingles; two blocks meet in one task.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 
 def shingles(items: np.ndarray) -> np.ndarray:
@@ -163,26 +163,59 @@ def _verify(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, packed shingles: hashes in order, then counts) of each text."""
+    cache = WordHashes()
+    for whole in batches:
+        for batch in steps(whole, "text"):
+            found = [weights(t, cache) for t in batch.column("text").to_pylist()]
+            packed = [h.astype("<u8").tobytes() + n.astype("<u4").tobytes() for h, n in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 12
+    return np.frombuffer(packed, "<u8", n), np.frombuffer(packed, "<u4", n, 8 * n).astype(np.int64)
+
+
 def _blocks(rows: pa.Table) -> pa.Table:
-    """Pairs of one block of a bucket (or of two blocks) that signatures call alike and that are in different components.
+    """Links of one block of a bucket (or of two blocks): enough of them to join all members that links between them join.
 
-    A pair that meets in several buckets is only given in that of the first band it shares.
+    Pairs that signatures call alike are verified here, the most alike first, unless links found before have joined their components already; so a large
+    family of near copies gives at most a link for each member, however many of its pairs are just too different.
+    A pair that meets in several buckets is only looked at in that of the first band it shares.
     """
     ids, comp, side = (np.asarray(rows.column(c).to_numpy()) for c in ("doc_id", "component", "block"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u4").reshape(-1, REGISTERS)
+    packed = rows.column("packed").to_pylist()
     at, to, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
     left, right = np.flatnonzero(side == at), np.flatnonzero(side == to)
-    out_a, out_b = [], []
+    found = []
     for x in left:
         alike = right[comp[right] != comp[x]]
         if at == to:
             alike = alike[ids[alike] > ids[x]]
         equal = sig[alike] == sig[x]
-        first = equal[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        alike = alike[first & (equal.mean(axis=1) >= LEAST_EQUAL)]
-        out_a.append(np.minimum(ids[alike], ids[x]))
-        out_b.append(np.maximum(ids[alike], ids[x]))
-    return pa.table({"a": np.concatenate(out_a).astype(np.int64), "b": np.concatenate(out_b).astype(np.int64)})
+        share = equal.mean(axis=1)
+        take = (share >= LEAST_EQUAL) & (equal[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+        found.append(np.stack([np.full(take.sum(), x), alike[take], share[take]]) if take.any() else np.empty((3, 0)))
+    x, y, share = np.concatenate(found, axis=1) if found else np.empty((3, 0))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for k in np.argsort(-share, kind="stable").tolist():
+        u, v = int(x[k]), int(y[k])
+        a, b = find(int(comp[u])), find(int(comp[v]))
+        if a != b and probability_jaccard(unpack(packed[u]), unpack(packed[v])) >= THRESHOLD - 1e-9:
+            root[max(a, b)] = min(a, b)
+            out.append((min(ids[u], ids[v]), max(ids[u], ids[v])))
+    return pa.table({"a": pa.array([int(p[0]) for p in out], pa.int64()), "b": pa.array([int(p[1]) for p in out], pa.int64())})
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
@@ -209,7 +242,7 @@ def components(edges: DataFrame, path: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, work: str | None = None) -> DataFrame:
     """One row per id of (doc_id, text): doc_id long, class_id long (least id of the class), n_links long.
 
-    n_links counts the verified links of the document's text with other texts that the search looked at;
+    n_links counts the verified links that the search has used to join the document's text to others (a class of n different texts has n - 1 or somewhat more of them in all);
     exact copies share a class without a link of their own.
     """
     path = work or shared_dir(docs.sparkSession)
@@ -231,19 +264,21 @@ def near_duplicates(docs: DataFrame, work: str | None = None) -> DataFrame:
     edges = _checked(_signed_pairs(stars, sig), docs, f"{path}/edges")
     comp = materialise(components(edges, f"{path}/first"), f"{path}/component1")
 
-    # Buckets that still hold more than one component: compare their members block by block.
-    held = inside.join(comp, inside.doc_id == comp.node, "left").select("key", "band", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("size")).where("lo <> hi and size > 2")
+    # Buckets that still hold more than one component: compare their members block by block, in blocks of few members and few bytes.
+    held = inside.join(comp, inside.doc_id == comp.node, "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    size = F.octet_length("packed")
+    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
+    again = materialise(held.join(mixed, "key"), f"{path}/again")
+    texts = docs.join(again.select("doc_id").distinct(), "doc_id", "left_semi")
+    packed = materialise(texts.mapInArrow(_pack, "doc_id long, packed binary"), f"{path}/packed")
+    weight = again.join(packed.select("doc_id", size.alias("bytes")), "doc_id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("nb"))
     rest = (
-        held.drop("size").join(mixed.select("key", "size"), "key").join(sig, "doc_id")
-        .withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
+        again.join(weight, "key").join(sig, "doc_id").join(packed, "doc_id")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("key", "band", "doc_id", "component", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select("key", "band", "doc_id", "component", "sig", "packed", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    more = rest.groupBy("key", "i", "j").applyInArrow(_blocks, "a long, b long").distinct()
-    more = more.join(stars, ["a", "b"], "left_anti")
-    late = _checked(more, docs, f"{path}/late")
+    late = materialise(rest.groupBy("key", "i", "j").applyInArrow(_blocks, "a long, b long").distinct(), f"{path}/late")
     links = edges.union(late)
     comp = materialise(components(edges.union(late), f"{path}/second"), f"{path}/component2") if late.limit(1).count() else comp
 

@@ -88,3 +88,20 @@ def test_chain_of_components(spark):
 
     got = {r.node: r.component for r in M.components(edges, shared_dir(spark)).collect()}
     assert all(got[k] == 0 for k in range(61)) and got[101] == 100
+
+
+def test_small_blocks_find_the_same_classes(spark, monkeypatch):
+    """A family of which many pairs are just too different: blocks of a few members and bytes give the classes of all pairs."""
+    rng, rows = random.Random(9), []
+    base = [f"w{k}" for k in range(120)]
+    for k in range(90):
+        w = base[:]
+        for _ in range(k % 6):
+            w[rng.randrange(len(w))] = f"v{k}"
+        rows.append((k, " ".join(w)))
+    frame, want = spark.createDataFrame(rows, "doc_id long, text string"), components_of(rows)
+    for block, size in ((4, 1 << 20), (512, 4_000)):
+        monkeypatch.setattr(M, "BLOCK", block)
+        monkeypatch.setattr(M, "BLOCK_BYTES", size)
+        assert {r.doc_id: r.class_id for r in M.near_duplicates(frame).collect()} == want
+    assert len(set(want.values())) > 5
