@@ -5,6 +5,8 @@ Every query calls the library's operators on whole tables, or on captures that S
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .plans import captures
 from .plans.pipeline import kept, shared_folder
 from .sources.pcap import read_captures, write_captures
 from .sources.rules import Rules
+from .sources.store import Refused, VectorStore, batch_problems, finite
 from .streaming import states
 from .streaming.flows import flow_sessions
 
@@ -623,6 +626,52 @@ c as (select count(*) filter (g % 3 = 1) as a, count(*) filter (same > 1) as b f
 select * from (select 'similarity' as problem, a as n from c union all select 'best of its queries', a from c union all select 'cap', b from c) where n > 0"""
 
 
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as a store takes them."""
+    e = _read(spark, d, "embeddings").where(finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
+    return e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("given").alias("model_name"), "vec_id", F.col("label").alias("document_id"))
+
+
+def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings kept in a lasting store in three batches, the second after a refused one, then compacted, opened again and asked for the ids that events cite."""
+    folder, rows = shared_folder(spark, "store"), _entries(spark, d)
+    store = VectorStore.create(spark, folder)
+    for k in range(3):
+        some = rows.where(F.pmod("vec_id", F.lit(3)) == k)
+        if k == 1:
+            with suppress(Refused):
+                store.add(some.unionByName(rows.where(F.pmod("vec_id", F.lit(3)) == 0)))  # ids that the store has: none of these rows comes in
+        store.add(some)
+    store.compact()
+    cited = _read(spark, d, "events").select(F.col("user_id").cast("string").alias("chunk_id"))
+    found = VectorStore(spark, folder).lookup(cited)
+    return found.select("vec_id", "batch", "document_id", F.size("vector").cast("long").alias("length"), F.floor(F.col("vector")[0] * 1e6).alias("first_e6"), F.floor(F.element_at("vector", -1) * 1e6).alias("last_e6"))
+
+
+STORED_VECTORS = """select vec_id, cast(1 + vec_id % 3 as bigint) as batch, label as document_id, cast(len(embedding) as bigint) as length, cast(floor(cast(embedding[1] as double) * 1e6) as bigint) as first_e6, cast(floor(cast(embedding[-1] as double) * 1e6) as bigint) as last_e6
+from embeddings where vec_id in (select user_id from events)"""
+
+
+def stored_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Why a store with every fourth embedding refuses a batch of the rest that has planted faults of each kind."""
+    rows = _entries(spark, d)
+    id_, vector = F.col("vec_id"), F.col("vector").cast("array<double>")
+    zero, short, holes = id_ % 7 == 3, id_ % 11 == 1, id_ % 17 == 5
+    bad = rows.where("vec_id % 4 <> 0 or vec_id % 5 = 0").withColumns({
+        "vector": F.when(holes, F.transform(vector, lambda x: x * F.lit(float("nan")))).when(short, F.slice(vector, 1, 2)).when(zero, F.transform(vector, lambda x: x * 0.0)).otherwise(vector),
+        "model_name": F.when(id_ % 13 == 2, "other").otherwise(F.col("model_name")), "chunk_id": F.when(id_ % 19 != 4, F.col("chunk_id")),
+    })
+    known = rows.where("vec_id % 4 = 0")
+    one = known.select(F.size("vector")).first()
+    return batch_problems(bad.union(bad.where("vec_id % 23 = 6")), known, one and one[0], "given")
+
+
+STORED_PROBLEMS = """with b as (select * from embeddings where vec_id % 4 <> 0 or vec_id % 5 = 0), c as (select * from b union all select * from b where vec_id % 23 = 6)
+select * from (select 'null id' as problem, count(*) as n from c where vec_id % 19 = 4 union all select 'not finite', count(*) from c where vec_id % 17 = 5 union all select 'another length', count(*) from c where vec_id % 11 = 1 and vec_id % 17 <> 5
+ union all select 'zero vector', count(*) from c where vec_id % 7 = 3 and vec_id % 11 <> 1 and vec_id % 17 <> 5 union all select 'another model', count(*) from c where vec_id % 13 = 2
+ union all select 'repeated id', count(*) from b where vec_id % 23 = 6 and vec_id % 19 <> 4 union all select 'known id', count(*) from b where vec_id % 4 = 0 and vec_id % 19 <> 4) where n > 0"""
+
+
 def exported_hits(spark: SparkSession, d: str) -> DataFrame:
     """The nearest entries as JSON lines with ordered keys; scores stay out."""
     hits = _hits(spark, d, 3).withColumn("source", F.create_map(F.lit("z"), F.lit("index"), F.lit("a"), F.col("chunk_id")))
@@ -698,7 +747,7 @@ b as (select *, sum(new) over (partition by user_id order by ts rows unbounded p
 _QUERIES = [
     host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, timed_rules, pattern_reasons, forbidden_terms, limited_totals, capture_totals, written_captures, ranged_captures, top_names, shard_loads,
     reported_flows, redacted_addresses, capture_signals, capture_profile, sanitized_names, label_entropy, document_hashes, document_chunks, redacted_messages, similar_vectors, merged_retrieval,
-    retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, exported_hits, unknown_references, idle_sessions, idle_flows, streamed_flows,
+    retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, stored_vectors, stored_problems, exported_hits, unknown_references, idle_sessions, idle_flows, streamed_flows,
 ]
 
 
