@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.apps import app_code, app_name, classify_host, classify_sql
 from .functions.network import five_tuple_hash, protocol_name, tcp_flags_name
 from .functions.text import content_hash, entropy, estimate_tokens, leftmost_label, redact_secrets, sanitize_hostname
-from .operators import aggregates, checks, chunking, context, decode, evaluation, export, flows, patterns, report, rule_times, search, signals
+from .operators import aggregates, checks, chunking, context, decode, evaluation, export, flows, patterns, report, rule_times, schemas, search, signals
 from .operators.inspect import block_reason, block_reason_by_join, inspect
 from .plans import captures
 from .plans.pipeline import kept, shared_folder
@@ -672,6 +672,33 @@ select * from (select 'null id' as problem, count(*) as n from c where vec_id %
  union all select 'repeated id', count(*) from b where vec_id % 23 = 6 and vec_id % 19 <> 4 union all select 'known id', count(*) from b where vec_id % 4 = 0 and vec_id % 19 <> 4) where n > 0"""
 
 
+#: What an event's properties may hold.
+PROPERTIES = {
+    "type": "object", "required": ["k"], "additionalProperties": False,
+    "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 90}, "tags": {"type": "array", "maxItems": 3, "items": {"type": "string", "maxLength": 4}}, "who": {"type": "object", "required": ["user"], "properties": {"user": {"type": "integer", "minimum": 3}, "role": {"enum": ["view", "click"]}}}},
+}
+
+
+def property_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with events' properties by their schema, once every eleventh event in each of five ways is changed."""
+    def case(k: int) -> Column:
+        return F.pmod("event_id", F.lit(11)) == k
+
+    k = F.get_json_object("props", "$.k")
+    who = F.to_json(F.struct(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("role")).alias("who")))
+    changed = (
+        F.when(case(1), F.regexp_replace("props", r"\}$", ', "x": 1}')).when(case(2), F.concat(F.lit('{"k": "'), k, F.lit('"}'))).when(case(3), who).when(case(4), F.regexp_replace("props", r"\}$", ', "tags": ["ab", 5, "abcde", null]}'))
+        .when(case(5), F.rtrim(F.col("props"), F.lit("}"))).otherwise(F.col("props"))
+    )
+    return schemas.row_problems(_read(spark, d, "events").withColumn("_props", changed), "_props", PROPERTIES, ["event_id"])
+
+
+PROPERTY_PROBLEMS = """with e as (select *, event_id % 11 as c, cast(json_extract_string(props, '$.k') as bigint) as k from events where props is not null)
+select event_id, '$' as path, 'not JSON' as problem from events where props is null or event_id % 11 = 5 union all select event_id, '$.k', 'maximum' from e where k > 90 and c not in (2, 3, 5) union all select event_id, '$.x', 'not allowed' from e where c = 1
+union all select event_id, '$.k', 'type' from e where c = 2 union all select event_id, '$.k', 'required' from e where c = 3 union all select event_id, '$.who.user', 'minimum' from e where c = 3 and user_id < 3 union all select event_id, '$.who.role', 'enum' from e where c = 3 and event_type not in ('view', 'click')
+union all select event_id, p, q from e, (values ('$.tags', 'maxItems'), ('$.tags[1]', 'type'), ('$.tags[2]', 'maxLength'), ('$.tags[3]', 'type')) as t(p, q) where c = 4"""
+
+
 def exported_hits(spark: SparkSession, d: str) -> DataFrame:
     """The nearest entries as JSON lines with ordered keys; scores stay out."""
     hits = _hits(spark, d, 3).withColumn("source", F.create_map(F.lit("z"), F.lit("index"), F.lit("a"), F.col("chunk_id")))
@@ -747,7 +774,7 @@ b as (select *, sum(new) over (partition by user_id order by ts rows unbounded p
 _QUERIES = [
     host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, timed_rules, pattern_reasons, forbidden_terms, limited_totals, capture_totals, written_captures, ranged_captures, top_names, shard_loads,
     reported_flows, redacted_addresses, capture_signals, capture_profile, sanitized_names, label_entropy, document_hashes, document_chunks, redacted_messages, similar_vectors, merged_retrieval,
-    retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, stored_vectors, stored_problems, exported_hits, unknown_references, idle_sessions, idle_flows, streamed_flows,
+    retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, stored_vectors, stored_problems, property_problems, exported_hits, unknown_references, idle_sessions, idle_flows, streamed_flows,
 ]
 
 
