@@ -20,24 +20,25 @@ def rendered(ref: Column) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def fit_budget(ranked: DataFrame, max_items: int | None = MAX_ITEMS, max_chars: int | None = MAX_CHARS, max_tokens: int | None = MAX_TOKENS, overhead: int = 0, by: str = "capture", per_item: int = 2) -> DataFrame:
+def fit_budget(ranked: DataFrame, max_items: int | str | None = MAX_ITEMS, max_chars: int | str | None = MAX_CHARS, max_tokens: int | str | None = MAX_TOKENS, overhead: int = 0, by: str = "capture", per_item: int = 2) -> DataFrame:
     """Walks each group's excerpts by rank and takes those that still fit; one that doesn't is passed over, not the end.
 
     ranked: (by, rank, chunk_id, size), a few rows a group as retrieval has capped it. size is that of the excerpt without its number; an excerpt's label counts too, and `per_item`
-    separates it from the one before. Gives chunk_id, position (null if left out) and the limit that was hit first.
+    separates it from the one before. A limit may also name a column that is the same throughout a group (null: no limit). Gives chunk_id, position (null if left out) and the limit that was hit first.
     """
-    most = lambda v: F.lit(2**31 - 1 if v is None else v)
+    named = {k: v for k, v in (("_items", max_items), ("_chars", max_chars), ("_tokens", max_tokens)) if isinstance(v, str)}
+    most = lambda k, v: F.col(k) if k in named else F.lit(2**31 - 1 if v is None else v)
     start = F.struct(F.lit(0).alias("n"), F.lit(overhead).cast("long").alias("used"), F.array().cast("array<struct<chunk_id:string,position:int,reason:string>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         size = x["size"].cast("long") + F.length((s["n"] + 1).cast("string")) + F.when(s["n"] > 0, per_item).otherwise(0)
         total = s["used"] + size
-        reason = F.when(s["n"] >= most(max_items), "max_items").when(total > most(max_chars), "max_chars").when(F.ceil(total / 3.5) > most(max_tokens), "max_tokens")
+        reason = F.when(s["n"] >= most("_items", max_items), "max_items").when(total > most("_chars", max_chars), "max_chars").when(F.ceil(total / 3.5) > most("_tokens", max_tokens), "max_tokens")
         took = reason.isNull()
         row = F.struct(x["chunk_id"].alias("chunk_id"), F.when(took, s["n"]).cast("int").alias("position"), reason.cast("string").alias("reason"))
         return F.struct((s["n"] + took.cast("int")).alias("n"), F.when(took, total).otherwise(s["used"]).alias("used"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    groups = ranked.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), "size"))).alias("items"))
+    groups = ranked.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), "size"))).alias("items"), *[F.coalesce(F.max(v), F.lit(2**31 - 1)).alias(k) for k, v in named.items()])
     return groups.select(by, F.aggregate("items", start, step).alias("s")).select(by, F.inline("s.out"))
 
 

@@ -699,6 +699,44 @@ union all select event_id, '$.k', 'type' from e where c = 2 union all select eve
 union all select event_id, p, q from e, (values ('$.tags', 'maxItems'), ('$.tags[1]', 'type'), ('$.tags[2]', 'maxLength'), ('$.tags[3]', 'type')) as t(p, q) where c = 4"""
 
 
+def candidate_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Eleven settings of retrieval and budget over cases of four queries each: what they recall, what they cost, and which may replace the baseline."""
+    case = F.floor(F.col("vec_id") / 200).alias("case")
+    e = _read(spark, d, "embeddings").select("vec_id", case, F.col("label").alias("document_id"))
+    size = (F.col("vec_id") * 37 % 1100 + 100).alias("size")
+    hits = _hits(spark, d, 6).withColumn("case", F.floor(F.col("label").cast("long") / 200)).join(e.select(F.col("vec_id").cast("string").alias("chunk_id"), "document_id", size), "chunk_id")
+    labels = e.groupBy("case", "document_id").agg((F.max((F.col("vec_id") % 50 == 0).cast("int")) == 1).alias("relevant"))
+    judged = evaluation.candidate_cases(hits, labels, evaluation.CANDIDATES, "case")
+    prompts = judged.withColumns({"prompt_tokens": F.ceil(F.col("supplied_chars") / 3.5) + 1000, "capture_tokens": F.lit(1000), "alongside_tokens": F.lit(500)})
+    found = evaluation.admissible(evaluation.candidates(kept(evaluation.accounts(prompts))), "baseline")
+    return found.select("candidate", F.bround("recall", 8).alias("recall"), F.bround("precision", 8).alias("precision"), F.col("irrelevant").cast("long").alias("irrelevant"), F.col("largest").cast("long").alias("largest"), "ok", "place")
+
+
+def _sql_value(x: object) -> str:
+    return "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+_GRID = ", ".join("(" + ", ".join(_sql_value(v) for v in s.values()) + ")" for s in evaluation.CANDIDATES)
+CANDIDATE_SETTINGS = _HITS.replace("with ", "with recursive ", 1) + f""", st as (select * from (values {_GRID}) as t(s, pq, fk, pd, least, mi, mc, mt)),
+m as (select st.*, query_id // 200 as c, vec_id, max(similarity) as sim from k join st on k.rank < pq group by all), l as (select m.*, label, vec_id * 37 % 1100 + 100 as size from m join embeddings using (vec_id) where least is null or sim >= least),
+d as (select *, row_number() over (partition by s, c, label order by round_even(sim, 12) desc, cast(vec_id as varchar)) as dn from l),
+r as (select *, row_number() over (partition by s, c order by round_even(sim, 12) desc, cast(vec_id as varchar)) as i from d where pd is null or dn <= pd qualify i <= fk),
+w as (
+  select distinct s, c, cast(0 as bigint) as i, cast(0 as bigint) as n, cast(0 as bigint) as used, cast(0 as bigint) as size, cast(null as int) as label, false as took from r
+  union all
+  select s, c, i, case when fits then n + 1 else n end, case when fits then total else used end, size, label, fits from (
+    select *, n < mi and total <= mc and (mt is null or ceil(total / 3.5) <= mt) as fits from (
+      select w.s, w.c, r.i, w.n, w.used, r.size, r.label, mi, mc, mt, w.used + r.size + length(cast(w.n + 1 as varchar)) + case when w.n > 0 then 2 else 0 end as total from w join r on r.s = w.s and r.c = w.c and r.i = w.i + 1))
+),
+lab as (select vec_id // 200 as c, label, bool_or(vec_id % 50 = 0) as rel from embeddings group by all), sup as (select s, c, label, sum(size) as chars from w where took group by all),
+x as (select st.s, lab.c, count(*) filter (rel) as nrel, count(sup.label) filter (rel) as hit, count(sup.label) filter (not rel) as irr from st cross join lab left join sup on sup.s = st.s and sup.c = lab.c and sup.label = lab.label group by all),
+y as (select s, c, count(*) as nsup, sum(chars) as chars from sup group by all),
+t as (select s, avg(hit / nrel) filter (nrel > 0) as recall, avg(hit / nsup) as precision, sum(irr) as irrelevant, max(ceil(coalesce(chars, 0) / 3.5) + 1500) as largest from x left join y using (s, c) group by s), b as (select * from t where s = 'baseline'),
+o as (select t.*, coalesce(t.recall + 1e-9 >= b.recall and t.irrelevant <= b.irrelevant and (t.largest < {evaluation.FAILING_TOKENS} or b.largest >= {evaluation.FAILING_TOKENS}) and t.s <> 'unbounded', false) as ok from t left join b on true where t.s <> 'baseline')
+select s as candidate, round_even(recall, 8) as recall, round_even(precision, 8) as precision, cast(irrelevant as bigint) as irrelevant, cast(largest as bigint) as largest, ok,
+ case when ok then row_number() over (partition by ok order by round_even(1000.0 * recall / largest, 9) desc, round_even(precision, 9) desc nulls last, largest, s desc) end as place from o"""
+
+
 def exported_hits(spark: SparkSession, d: str) -> DataFrame:
     """The nearest entries as JSON lines with ordered keys; scores stay out."""
     hits = _hits(spark, d, 3).withColumn("source", F.create_map(F.lit("z"), F.lit("index"), F.lit("a"), F.col("chunk_id")))
@@ -774,7 +812,7 @@ b as (select *, sum(new) over (partition by user_id order by ts rows unbounded p
 _QUERIES = [
     host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, timed_rules, pattern_reasons, forbidden_terms, limited_totals, capture_totals, written_captures, ranged_captures, top_names, shard_loads,
     reported_flows, redacted_addresses, capture_signals, capture_profile, sanitized_names, label_entropy, document_hashes, document_chunks, redacted_messages, similar_vectors, merged_retrieval,
-    retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, stored_vectors, stored_problems, property_problems, exported_hits, unknown_references, idle_sessions, idle_flows, streamed_flows,
+    retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, stored_vectors, stored_problems, property_problems, candidate_settings, exported_hits, unknown_references, idle_sessions, idle_flows, streamed_flows,
 ]
 
 

@@ -243,6 +243,43 @@ def test_sweeps(spark):
     assert evaluation.recommended(evaluation.sweep(merged, relevant, grid, ["case"]), 0.9).first().setting == "all"
 
 
+def test_candidates_by_cases(spark):
+    rng = random.Random(8)
+    grid = [
+        {"name": "base", "per_query": 4}, {"name": "narrow", "per_query": 2, "per_document": 1, "least": 0.4, "max_items": 2}, {"name": "long", "per_query": 6, "final_k": 5, "max_chars": 6000, "max_tokens": 1600},
+        {"name": "open", "per_query": 6, "per_document": None, "final_k": 12, "max_items": 99, "max_chars": None, "max_tokens": None}, {"name": "none", "least": 2.0, "per_query": 6},
+    ]
+    size = {c: rng.choice([150, 400, 900, 1400]) for c in range(30)}
+    hits = [(case, f"q{q}", f"c{c:02d}", f"d{c % 7}", rng.choice([0.2, 0.5, 0.5, rng.random()]), r, size[c]) for case in range(12) for q in range(3) for r, c in enumerate(rng.sample(range(30), 6))]
+    labels = [(case, f"d{k}", rng.random() < 0.5) for case in range(14) for k in range(7) if rng.random() < 0.7]
+    got = {(r.candidate, r.case): r for r in evaluation.candidate_cases(spark.createDataFrame(hits, "case int, label string, chunk_id string, document_id string, similarity double, rank int, size int"), spark.createDataFrame(labels, "case int, document_id string, relevant boolean"), grid, "case").collect()}
+    assert len(got) == 5 * len({c for c, _, _ in labels})
+    for s in grid:
+        s = {"final_k": 8, "per_document": 2, "least": None, "max_items": 4, "max_chars": 3000, "max_tokens": 900, **s}
+        for case in {c for c, _, _ in labels}:
+            best = {}
+            for g, _, c, d, sim, r, n in hits:
+                if g == case and r < s["per_query"]:
+                    best[c] = (max(sim, best.get(c, (0,))[0]), d, n)
+            ranked, per = [], Counter()
+            for c, (sim, d, n) in sorted(best.items(), key=lambda x: (-round(x[1][0], 12), x[0])):
+                if (s["least"] is None or sim >= s["least"]) and (s["per_document"] is None or per[d] < s["per_document"]):
+                    per[d] += 1
+                    ranked.append((d, n))
+            ranked, used, inside, chars = ranked[: s["final_k"]], 0, [], 0
+            for d, n in ranked:
+                total = used + n + len(str(len(inside) + 1)) + (2 if inside else 0)
+                if len(inside) < s["max_items"] and total <= (s["max_chars"] or 10**9) and math.ceil(total / 3.5) <= (s["max_tokens"] or 10**9):
+                    used, chars = total, chars + n
+                    inside.append(d)
+            row = got[(s["name"], case)]
+            assert (row.retrieved, row.supplied, row.supplied_chars) == (sorted({d for d, _ in ranked}), sorted(set(inside)), chars)
+            assert row.relevant == sorted(d for c, d, ok in labels if c == case and ok) and row.irrelevant == sorted(d for c, d, ok in labels if c == case and not ok)
+    for bad in ([], [{"name": "a"}, {"name": "a"}], [{"name": "a", "top": 1}]):
+        with pytest.raises(ValueError):
+            evaluation.by_settings(spark.range(1), bad)
+
+
 GOOD = "---\nid: dns-notes\ntitle: \"Names\"\ncategory: basics\nversion: 1.0\n# a comment\nkeywords:\n  - dns\n  - names\nmitre: []\n---\n## One\nfirst\n\n## Two\nsecond\n"
 
 
