@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.network import big_endian, format_ip
 from ..functions.text import sanitize_hostname
+from . import aggregates
 
 MAX_FLOWS = 40
 
@@ -86,3 +87,31 @@ def notes(flows: DataFrame, records: DataFrame, mode: str, limit: int = MAX_FLOW
     cut = F.when(F.col("n") > limit, F.format_string("%d flows are in the capture, the %d most telling are shown", "n", F.lit(limit)))
     masked = F.when(F.lit(mode == "none"), "addresses are withheld").when(F.col("h") > 0, F.format_string("%d internal addresses have pseudonyms", "h"))
     return total.join(hosts, "capture", "left").select("capture", F.filter(F.array(cut, masked), lambda x: x.isNotNull()).alias("notes"))
+
+
+def _fixed(part: Column, whole: Column, places: int) -> Column:
+    """A share in percent with a fixed number of places, rounded half up in whole numbers, so that no sum's or quotient's last bit shows."""
+    unit = 10**places
+    scaled = F.when(whole > 0, F.floor((2 * 100 * unit * part + whole) / (2 * whole))).otherwise(F.lit(0)).cast("long")
+    return F.concat(F.floor(scaled / unit).cast("string"), F.lit("."), F.lpad((scaled % unit).cast("string"), places, "0"))
+
+
+def capture_texts(totals: DataFrame, flows: DataFrame) -> DataFrame:
+    """(capture, text) of every capture: its totals, its applications with a bar of one mark for 5 percent, and its top names. Rendered in tasks.
+
+    totals: as aggregates.capture_totals with reasons; flows: (capture, app, sni, first_packet_no). A capture's lines are few: one, one for each
+    application, and twenty names at most.
+    """
+    line = lambda section, at, tie, text: [F.lit(section).alias("section"), at.cast("long").alias("at"), tie.alias("tie"), text.alias("line")]
+    head = F.concat(
+        F.format_string("%s: %d packets, %d bytes, %d TCP, %d UDP, %d forwarded, %d dropped (", "capture", "total_packets", "total_bytes", "tcp_packets", "udp_packets", "forwarded_packets", "dropped_packets"),
+        _fixed(F.col("dropped_packets"), F.col("total_packets"), 2), F.lit("%)"),
+    )
+    heads = totals.select("capture", *line(0, F.lit(0), F.lit(""), head))
+    counts = flows.groupBy("capture", "app").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("capture")))
+    bar = F.repeat(F.lit("#"), F.floor(20 * F.col("n") / F.col("total")).cast("int"))
+    apps = counts.select("capture", *line(1, -F.col("n"), F.col("app"), F.concat(F.format_string("  %-16s%8d  %5s%%  ", F.col("app"), F.col("n"), _fixed(F.col("n"), F.col("total"), 1)), bar)))
+    short = F.when(F.length("sni") > 35, F.concat(F.substring("sni", 1, 32), F.lit("..."))).otherwise(F.col("sni"))
+    names = aggregates.top_names(flows).select("capture", *line(2, F.col("rank"), F.lit(""), F.format_string("  %-36s%6d", short, F.col("n"))))
+    lines = heads.union(apps).union(names).groupBy("capture").agg(F.sort_array(F.collect_list(F.struct("section", "at", "tie", "line"))).alias("lines"))
+    return lines.select("capture", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))

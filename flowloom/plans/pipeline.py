@@ -104,13 +104,5 @@ def explain(made: Capture, knowledge: DataFrame, encoder: embedding.Encoder, cli
 
 
 def report_text(made: Capture) -> str:
-    """The captures' totals, applications and top names as text, from small aggregates."""
-    out = []
-    totals = aggregates.drop_rate(made.totals).orderBy("capture").collect()
-    apps = aggregates.distribution(made.flows, "app", ["capture"]).orderBy("capture", F.desc("n"), "app").collect()
-    names = aggregates.top_names(made.flows).orderBy("capture", "rank").collect()
-    for t in totals:
-        out.append(f"{t.capture}: {t.total_packets} packets, {t.total_bytes} bytes, {t.tcp_packets} TCP, {t.udp_packets} UDP, {t.forwarded_packets} forwarded, {t.dropped_packets} dropped ({t.drop_rate:.2f}%)")
-        out += [f"  {a.app:<16}{a.n:>8}  {a.percent:5.1f}%  {'#' * int(a.percent / 5)}" for a in apps if a.capture == t.capture]
-        out += [f"  {n.sni if len(n.sni) <= 35 else n.sni[:32] + '...':<36}{n.n:>6}" for n in names if n.capture == t.capture]
-    return "\n".join(out)
+    """The captures' reports as one text, in order of their names, for the command line; report.capture_texts has them as rows."""
+    return "\n".join(r.text for r in report.capture_texts(made.totals, made.flows).orderBy("capture").toLocalIterator())

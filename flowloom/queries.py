@@ -106,6 +106,29 @@ CAPTURE_APPLICATIONS = _NAMED + """, f as (select capture, lo_ip, lo_port, hi_ip
 select capture, app, count(*) as flows from f group by all"""
 
 
+def capture_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The report of each derived capture as text, where packets to one port are dropped."""
+    p = flows.with_flow_key(inspect(_packets(spark, d)))
+    named, told = F.when(F.col("cand_app").isNotNull(), F.col("packet_no")), F.when(F.col("cand_app").isNotNull() & (F.col("cand_name") != ""), F.col("packet_no"))
+    by = p.groupBy(*flows.KEY).agg(F.min_by(app_code(F.col("cand_app")), named).alias("code"), F.min_by("cand_name", told).alias("sni"), F.min("packet_no").alias("first_packet_no"))
+    found = by.select("capture", app_name(F.coalesce("code", F.lit(0))).alias("app"), F.when(F.col("sni").isNotNull(), F.col("sni")).otherwise("").alias("sni"), "first_packet_no")
+    judged = _packets(spark, d).withColumn("reason", F.when(F.col("dst_port") == 9001, "PORT"))
+    return report.capture_texts(aggregates.capture_totals(judged), found)
+
+
+_PERCENT = "cast((({0}) // {2}) as varchar) || '.' || lpad(cast(({0}) % {2} as varchar), {1}, '0')"
+_DROPPED, _SHARE = _PERCENT.format("(20000 * dropped + packets) // (2 * packets)", 2, 100), _PERCENT.format("(2000 * n + total) // (2 * total)", 1, 10)
+CAPTURE_REPORTS = _NAMED + f""", fl as (select capture, coalesce(arg_min(cand_app, packet_no) filter (cand_app is not null), 'Unknown') as app, coalesce(arg_min(cand_name, packet_no) filter (cand_app is not null and cand_name <> ''), '') as sni, min(packet_no) as first_seen from m group by capture, lo_ip, lo_port, hi_ip, hi_port, protocol),
+tot as (select capture, count(*) as packets, sum(frame_len) as bytes, count(*) filter (protocol = 6) as tcp, count(*) filter (protocol = 17) as udp, count(*) filter (dst_port = 9001) as dropped from q group by capture),
+apps as (select capture, app, count(*) as n, sum(count(*)) over (partition by capture)::bigint as total from fl group by capture, app),
+sn as (select capture, sni, count(*) as n, min(first_seen) as first_seen from fl where sni <> '' group by all), tops as (select *, row_number() over (partition by capture order by n desc, first_seen, sni) as rank from sn),
+rep as (
+  select capture, 0 as section, 0 as pos, '' as tie, capture || ': ' || packets || ' packets, ' || bytes || ' bytes, ' || tcp || ' TCP, ' || udp || ' UDP, ' || (packets - dropped) || ' forwarded, ' || dropped || ' dropped (' || {_DROPPED} || '%)' as line from tot
+  union all select capture, 1, -n, app, '  ' || rpad(app, 16, ' ') || lpad(cast(n as varchar), cast(greatest(8, length(cast(n as varchar))) as int), ' ') || '  ' || lpad({_SHARE}, 5, ' ') || '%  ' || repeat('#', cast((20 * n) // total as int)) from apps
+  union all select capture, 2, rank, '', '  ' || rpad(case when length(sni) > 35 then substr(sni, 1, 32) || '...' else sni end, 36, ' ') || lpad(cast(n as varchar), cast(greatest(6, length(cast(n as varchar))) as int), ' ') from tops where rank <= 20)
+select capture, string_agg(line, chr(10) order by section, pos, tie) as text from rep group by capture"""
+
+
 def decoded_packets(spark: SparkSession, d: str) -> DataFrame:
     """Header fields of every frame."""
     p = _packets(spark, d)
@@ -810,7 +833,7 @@ IDLE_SESSIONS = """with a as (select user_id, ts, case when lag(ts) over w is nu
 b as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from a) select user_id, cast(floor(epoch(min(ts))) as bigint) as start_s, cast(floor(epoch(max(ts)) + 300) as bigint) as end_s, count(*) as packets from b group by user_id, s"""
 
 _QUERIES = [
-    host_applications, capture_applications, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, timed_rules, pattern_reasons, forbidden_terms, limited_totals, capture_totals, written_captures, ranged_captures, top_names, shard_loads,
+    host_applications, capture_applications, capture_reports, decoded_packets, payload_names, flow_counters, engine_flows, inspection_counters, directed_flows, rule_reasons, timed_rules, pattern_reasons, forbidden_terms, limited_totals, capture_totals, written_captures, ranged_captures, top_names, shard_loads,
     reported_flows, redacted_addresses, capture_signals, capture_profile, sanitized_names, label_entropy, document_hashes, document_chunks, redacted_messages, similar_vectors, merged_retrieval,
     retrieval_metrics, context_budget, context_checks, record_checks, chunk_checks, ranking_checks, stored_vectors, stored_problems, property_problems, candidate_settings, exported_hits, unknown_references, idle_sessions, idle_flows, streamed_flows,
 ]

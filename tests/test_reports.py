@@ -280,6 +280,17 @@ def test_candidates_by_cases(spark):
             evaluation.by_settings(spark.range(1), bad)
 
 
+def test_texts_of_captures(spark):
+    totals = spark.createDataFrame([("a", 3, 300, 2, 1, 1, 2), ("b", 0, 0, 0, 0, 0, 0)], "capture string, total_packets long, total_bytes long, tcp_packets long, udp_packets long, forwarded_packets long, dropped_packets long")
+    rows = [("a", "HTTPS", "x" * 40, 5), ("a", "HTTPS", "y.example", 2), ("a", "DNS", "y.example", 9), ("a", "Unknown", "", 1)]
+    got = {r.capture: r.text for r in report.capture_texts(totals, spark.createDataFrame(rows, "capture string, app string, sni string, first_packet_no long")).collect()}
+    assert got["b"] == "b: 0 packets, 0 bytes, 0 TCP, 0 UDP, 0 forwarded, 0 dropped (0.00%)"
+    assert got["a"].split("\n") == [
+        "a: 3 packets, 300 bytes, 2 TCP, 1 UDP, 1 forwarded, 2 dropped (66.67%)", f"  {'HTTPS':<16}{2:>8}   50.0%  {'#' * 10}", f"  {'DNS':<16}{1:>8}   25.0%  #####", f"  {'Unknown':<16}{1:>8}   25.0%  #####",
+        f"  {'y.example':<36}{2:>6}", f"  {'x' * 32 + '...':<36}{1:>6}",
+    ]
+
+
 GOOD = "---\nid: dns-notes\ntitle: \"Names\"\ncategory: basics\nversion: 1.0\n# a comment\nkeywords:\n  - dns\n  - names\nmitre: []\n---\n## One\nfirst\n\n## Two\nsecond\n"
 
 
