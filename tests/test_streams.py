@@ -70,3 +70,15 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path):
     got, all_ = rows_of(found), plainly(timed)
     told = lambda rows: [f for f in rows if f[7] < high - (4 * 3_600 + 302) * 1_000_000]
     assert told(got) == told(all_) and set(got) <= set(all_) and len(told(got)) > 15
+
+
+def test_blocks_are_dealt_out_after_all_joins(spark):
+    """The walk's rows come from a shuffle of their own: a join's may be changed at run time, and blocks would be walked in pieces."""
+    packets = spark.range(0).selectExpr("'c' capture", "id lo_ip", "1 lo_port", "id hi_ip", "1 hi_port", "6 protocol", "id block", "id packet_no", "2 tcp_flags", "'' cand_app", "'' cand_name", "'' cand_reason", "'' own_reason")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = flows.verdicts(packets.localCheckpoint(), RULES)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    walk = next(k for k, line in enumerate(plan) if "MapInArrow" in line)
+    assert "Sort [" in plan[walk + 1] and "Exchange hashpartitioning" in plan[walk + 2] and "REPARTITION_BY_COL" in plan[walk + 2]
