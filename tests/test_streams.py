@@ -82,3 +82,21 @@ def test_blocks_are_dealt_out_after_all_joins(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     walk = next(k for k, line in enumerate(plan) if "MapInArrow" in line)
     assert "Sort [" in plan[walk + 1] and "Exchange hashpartitioning" in plan[walk + 2] and "REPARTITION_BY_COL" in plan[walk + 2]
+
+
+def test_only_long_flows_are_summarised(spark, monkeypatch):
+    """Flows of few packets that lie far apart are walked as they are; summaries of all their blocks cost far more than the walk."""
+    monkeypatch.setattr(flows, "BLOCK", 40)
+    made = spark.sparkContext.accumulator(0)
+    real = flows._summaries(RULES)
+
+    def counted(batches):
+        for batch in real(batches):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(flows, "_summaries", lambda rules: counted)
+    packets = spark.range(500).selectExpr("'c' capture", "1L lo_ip", "int(if(id % 5 = 0, id % 25, 99)) lo_port", "2L hi_ip", "1 hi_port", "6 protocol", "id div 40 block", "id packet_no", "24 tcp_flags", "string(null) cand_app", "string(null) cand_name", "string(null) cand_reason", "if(id = 300, 'PORT', null) own_reason")
+    got = {r.packet_no: r.reason for r in flows.verdicts(packets, RULES).collect()}
+    assert got == {k: "PORT" if k == 300 else "FLOW" if k > 300 and (k % 25 == 0) else None for k in range(500)}
+    assert made.value == 13  # the blocks of the one long flow
