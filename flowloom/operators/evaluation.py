@@ -39,9 +39,16 @@ def metrics(ranking: DataFrame, relevant: DataFrame, by: list[str], ks: tuple[in
     Precision is over what was returned. A case without relevant items, or (for precision) without results, has null.
     """
     r = deduplicated(ranking, by, item).join(relevant.select(*by, item).distinct().withColumn("_rel", F.lit(1)), [*by, item], "left")
-    size = relevant.groupBy(*by).agg(F.countDistinct(item).alias("relevant"))
-    at = [x for k in ks for x in (F.count_if((F.col("rank") <= k) & F.col("_rel").isNotNull()).alias(f"found_{k}"), F.count_if(F.col("rank") <= k).alias(f"returned_{k}"))]
-    m = r.groupBy(*by).agg(*at, F.min(F.when(F.col("_rel").isNotNull(), F.col("rank"))).alias("first")).join(size, by, "full")
+    return judged_metrics(r.withColumn("found", F.col("_rel").isNotNull()), relevant.groupBy(*by).agg(F.countDistinct(item).alias("relevant")), by, ks)
+
+
+def judged_metrics(judged: DataFrame, size: DataFrame, by: list[str], ks: tuple[int, ...] = KS) -> DataFrame:
+    """The same of rankings without repeats (by, rank, found: whether the item is relevant) and how many items are relevant (by, relevant).
+
+    For cases with many relevant items: nothing grows with their pairs.
+    """
+    at = [x for k in ks for x in (F.count_if((F.col("rank") <= k) & F.col("found")).alias(f"found_{k}"), F.count_if(F.col("rank") <= k).alias(f"returned_{k}"))]
+    m = judged.groupBy(*by).agg(*at, F.min(F.when(F.col("found"), F.col("rank"))).alias("first")).join(size, by, "full")
     known = F.col("relevant") > 0
     out = [F.when(known, F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("reciprocal_rank")]
     for k in ks:

@@ -215,6 +215,9 @@ def test_metrics(spark):
     m = {r.case: r for r in evaluation.metrics(ranking, relevant, ["case"], (1, 3)).collect()}
     assert (m["a"].hit_1, m["a"].hit_3, m["a"].recall_3, m["a"].precision_3, m["a"].reciprocal_rank) == (0.0, 1.0, 1 / 3, 1 / 3, 0.5)
     assert m["b"].hit_1 is None and m["b"].reciprocal_rank is None and (m["c"].recall_3, m["c"].precision_3, m["c"].reciprocal_rank) == (0.0, None, 0.0)
+    ranked = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, False), ("a", 4, True), ("b", 1, False)], "case string, rank int, found boolean")
+    sized = spark.createDataFrame([("a", 3), ("c", 1)], "case string, relevant long")
+    assert {r.case: r for r in evaluation.judged_metrics(ranked, sized, ["case"], (1, 3)).collect()} == m
     mean = evaluation.means(evaluation.metrics(ranking, relevant, ["case"], (3,)), ["recall_3", "precision_3"]).first()
     assert abs(mean.recall_3 - 1 / 6) < 1e-12 and abs(mean.precision_3 - 1 / 3) < 1e-12 and mean.cases == 2
     kinds = evaluation.set_differences(relevant, ranking, ["case"], "item").collect()
