@@ -5,7 +5,7 @@ A flow that has been idle for more than IDLE whole seconds is over; the next pac
 Batch: gaps between a flow's packets cut it into episodes, each a flow of its own for the operators of flows. Gaps are found in blocks of packets and
 carried from block to block, so a flow may hold a third of all packets.
 
-Stream: `transformWithState` keeps a state per flow key: the machine's state, counters and the packets that wait. Packets of a stream come in
+Stream: `transformWithState` keeps the flows of a shard (of their keys' hash): machine states, counters and the packets that wait. Packets of a stream come in
 any order within `late`; they wait until the watermark is past them, are then taken in the order of their numbers, and an
 event-time timer ends a flow that nothing came for. The rows are those of the batch, whatever the micro-batches were. The state lives in
 Spark's state store (RocksDB), is checkpointed with the stream and survives lost executors.
@@ -32,6 +32,8 @@ from ..sources.rules import Rules
 
 #: Whole seconds of idleness that a flow outlives.
 IDLE = 300
+#: Groups of flows that share a state.
+SHARDS = 512
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _KEY_TYPES = "capture string, lo_ip long, lo_port int, hi_ip long, hi_port int, protocol int"
@@ -83,59 +85,81 @@ def ended_flows(timed: DataFrame, rules: Rules, idle: int = IDLE) -> DataFrame:
 # ---- stream --------------------------------------------------------------------------------------------
 
 
+def _plain(row: tuple) -> list:
+    """A packet as JSON takes it: the values of _ASKED, then KEY."""
+    number, flags, app, name, reason, own, size, is_lo, micros, capture, *numbers = row
+    text = [None if v is None or v != v else v for v in (app, name, reason, own)]
+    return [int(number), None if flags is None or flags != flags else int(flags), *text, int(size), bool(is_lo), int(micros), capture, *map(int, numbers)]
+
+
 class FlowStates(StatefulProcessor):
-    """One flow key: `held` is the running flow (JSON: machine state and counters), `waiting` the packets that the watermark hasn't passed."""
+    """The flows of one shard: `held` are those that run (JSON: key, machine state and counters), `waiting` the packets that the watermark hasn't passed, `woken` the timer's time.
+
+    Spark calls Python for every group and timer, so flows are grouped in shards: the state of a shard is read and written whole, in Arrow batches.
+    """
 
     def __init__(self, rules: Rules, idle: int):
         self.rules, self.idle = rules, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "flow string")
-        self.waiting = handle.getListState("waiting", "packet_no long, packet string")
+        self.held = handle.getListState("held", "flow string")
+        self.waiting = handle.getListState("waiting", "packet string")
+        self.woken = handle.getValueState("woken", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = []
+        first = None
         for part in rows:
-            for row in part[_ASKED].astype(object).where(part[_ASKED].notna(), None).itertuples(index=False):
-                micros = int(row.micros)
-                came.append((micros, [int(row.packet_no), None if row.tcp_flags is None else int(row.tcp_flags), row.cand_app, row.cand_name, row.cand_reason, row.own_reason, int(row.frame_len), bool(row.is_lo), micros]))
-        if came:
-            self.waiting.appendList([(p[0], json.dumps(p)) for _, p in came])
-            self._wake(min(m for m, _ in came) // 1000 + 1, timerValues)
+            came = [_plain(row) for row in zip(*(part[c].tolist() for c in [*_ASKED, *KEY]))]
+            if came:
+                self.waiting.appendList([(json.dumps(p),) for p in came])
+                first = min(p[8] for p in came) if first is None else min(first, *(p[8] for p in came))
+        if first is not None:
+            self._wake(first // 1000 + 1, timerValues)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        packets = sorted((json.loads(text) for _, text in self.waiting.get()), key=lambda p: p[0]) if self.waiting.exists() else []
-        due, later = [p for p in packets if p[8] < passed], [p for p in packets if p[8] >= passed]
-        flow = json.loads(self.held.get()[0]) if self.held.exists() else None
-        over = []
-        for p in due:
+        packets = sorted((json.loads(text) for (text,) in self.waiting.get()), key=lambda p: p[0]) if self.waiting.exists() else []
+        running = {tuple(k): flow for k, flow in (json.loads(text) for (text,) in self.held.get())} if self.held.exists() else {}
+        later, over = [], []
+        for p in packets:
+            if p[8] >= passed:
+                later.append(p)
+                continue
+            of = tuple(p[9:])
+            flow = running.get(of)
             if flow is not None and (p[8] - flow["last"]) // 1_000_000 > self.idle:
-                over.append(flow)
+                over.append((of, flow))
                 flow = None
-            flow = self._take(flow, p)
-        if flow is not None and passed > flow["last"] + (self.idle + 1) * 1_000_000:
-            over.append(flow)  # whatever waits or is still to come is later than the watermark
-            flow = None
-        if later:
-            self.waiting.put([(p[0], json.dumps(p)) for p in later])
-            self._wake(min(p[8] for p in later) // 1000 + 1, timerValues)
-        else:
-            self.waiting.clear()
-        if flow is None:
-            self.held.clear()
-        else:
-            self.held.update((json.dumps(flow),))
-            self._wake(flow["last"] // 1000 + (self.idle + 1) * 1000 + 2, timerValues)
-        yield pd.DataFrame([self._row(key, f) for f in over], columns=COLUMNS) if over else pd.DataFrame()
+            running[of] = self._take(flow, p[:9])
+        ended = [of for of, flow in running.items() if passed > flow["last"] + (self.idle + 1) * 1_000_000]
+        over += [(of, running.pop(of)) for of in ended]  # whatever waits or is still to come is later than the watermark
+        for state, kept in ((self.waiting, later), (self.held, list(running.items()))):
+            if kept:
+                state.put([(json.dumps(x),) for x in kept])
+            else:
+                state.clear()
+        self.woken.clear()
+        due = [min(p[8] for p in later) // 1000 + 1] if later else []
+        due += [min(f["last"] for f in running.values()) // 1000 + (self.idle + 1) * 1000 + 2] if running else []
+        if due:
+            self._wake(min(due), timerValues)
+        yield pd.DataFrame([self._row(of, f) for of, f in over], columns=COLUMNS) if over else pd.DataFrame()
 
     def close(self) -> None:
         pass
 
     def _wake(self, at_ms: int, timerValues) -> None:
-        self.handle.registerTimer(max(at_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        """One timer for the shard: the earliest that was asked for."""
+        at = max(at_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        if self.woken.exists():
+            known = self.woken.get()[0]
+            if known <= at:
+                return
+            self.handle.deleteTimer(known)
+        self.woken.update((at,))
+        self.handle.registerTimer(at)
 
     def _take(self, flow: dict | None, p: list) -> dict:
         number, *asked, own, size, is_lo, micros = p
@@ -157,11 +181,15 @@ class FlowStates(StatefulProcessor):
         return (*key, f["start"], f["last"], STATES[f["machine"][0]], app, name, *f["packets"], *f["bytes"], f["first"], f["number"], f["dropped"], f["blocked"])
 
 
-def streamed_flows(timed: DataFrame, rules: Rules, late: str = "10 seconds", idle: int = IDLE) -> DataFrame:
-    """Rows of SCHEMA of a stream of timed packets, as flows end. The session needs the RocksDB state store (`with_state_store`)."""
-    rows = timed.withColumn("micros", F.unix_micros("event_ts")).select(*KEY, *_ASKED, "event_ts").withWatermark("event_ts", late)
+def streamed_flows(timed: DataFrame, rules: Rules, late: str = "10 seconds", idle: int = IDLE, shards: int = SHARDS) -> DataFrame:
+    """Rows of SCHEMA of a stream of timed packets, as flows end. The session needs the RocksDB state store (`with_state_store`).
+
+    shards: a task holds the running flows and waiting packets of one of them at a time; a stream that goes on keeps its number.
+    """
+    shard = F.pmod(F.xxhash64(*KEY), F.lit(shards)).alias("shard")
+    rows = timed.withColumn("micros", F.unix_micros("event_ts")).select(shard, *KEY, *_ASKED, "event_ts").withWatermark("event_ts", late)
     schema = SCHEMA.replace("timestamp", "long")
-    ended = rows.groupBy(*KEY).transformWithStateInPandas(statefulProcessor=FlowStates(rules, idle), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    ended = rows.groupBy("shard").transformWithStateInPandas(statefulProcessor=FlowStates(rules, idle), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return ended.withColumns({c: F.timestamp_micros(c) for c in ("started", "ended")})
 
 

@@ -100,3 +100,17 @@ def test_only_long_flows_are_summarised(spark, monkeypatch):
     got = {r.packet_no: r.reason for r in flows.verdicts(packets, RULES).collect()}
     assert got == {k: "PORT" if k == 300 else "FLOW" if k > 300 and (k % 25 == 0) else None for k in range(500)}
     assert made.value == 13  # the blocks of the one long flow
+
+
+def test_stream_calls_python_for_shards_not_flows(spark, tmp_path):
+    """However many flows there are, Python is called for shards; rows equal the batch's."""
+    assert states.SHARDS <= 512
+    n = 4000
+    packets = spark.range(n).selectExpr("'c' capture", "1L lo_ip", "int(id % 1500) lo_port", "2L hi_ip", "1 hi_port", "6 protocol", "0L block", "id packet_no", "24 tcp_flags", "string(null) cand_app", "string(null) cand_name", "string(null) cand_reason", "if(id % 7 = 0, 'PORT', null) own_reason", "60 frame_len",
+        "1L src_ip", "int(id % 1500) src_port", "2L dst_ip", "1 dst_port", "string(null) cand_kind", "timestamp_micros(1700000000000000 + id * 1000000) event_ts", "true is_lo")
+    packets.write.parquet(f"{tmp_path}/packets")
+    found = states.run_stream(spark, f"{tmp_path}/packets", packets.schema, RULES, str(tmp_path), files=1000, late="1 second", idle=300)
+    high = (1_700_000_000 + n - 1) * 1_000_000
+    told = lambda rows: [f for f in rows if f[7] < high - 310 * 1_000_000]
+    got = rows_of(found)
+    assert told(got) == told(rows_of(states.ended_flows(packets, RULES))) and len(told(got)) > 3000
