@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, hash_words, shared_dir, steps, words
+from .common import WordHashes, hash_words, lean, shared_dir, steps, words
 
 WINDOW = 13
 #: Words of benchmark items that are searched at once.
@@ -45,10 +45,10 @@ class SuffixArray:
         n = len(text)
         self.text = text
         ends = np.flatnonzero(text == 0)
-        self.room = np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(n)  # words to the document's end
+        self.room = (np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(n)).astype(np.int32)  # a shard has far fewer than 2^31 words; words to the document's end
         at = np.flatnonzero(text)
-        at = at[np.argsort(text[at], kind="stable")]
-        rank = np.zeros(n, np.int64)  # a suffix's rank is the place at which its group of equal ones starts, from 1; 0: beyond the end
+        at = at[np.argsort(text[at], kind="stable")].astype(np.int32)
+        rank = np.zeros(n, np.int32)  # a suffix's rank is the place at which its group of equal ones starts, from 1; 0: beyond the end
         new = np.append(True, text[at][1:] != text[at][:-1])[: len(at)]
         rank[at] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
         self.at, h = at, 1
@@ -150,7 +150,7 @@ def write_blocks(benchmark: DataFrame, path: str) -> int:
                 yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(hashed, pa.binary())], names=["item_id", "words"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    hashed = items.mapInArrow(run, "item_id long, words binary").where("length(words) > 0").distinct()
+    hashed = items.mapInArrow(lean(run), "item_id long, words binary").where("length(words) > 0").distinct()
     total = hashed.agg(F.sum(F.length("words") / 8)).first()[0] or 0
     blocks = int(total // BLOCK_WORDS) + 1
     hashed.withColumn("block", F.pmod(F.xxhash64("words", "item_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block").write.mode("overwrite").partitionBy("block").parquet(path)
@@ -221,7 +221,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, work: str | None = No
                 ids = pa.array([block.item_ids[k] for k in block.owner[window]], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(at - start[row]), ids, pa.array(block.offset[window]), pa.array(n)], names=[c.split()[0] for c in MATCH.split(", ")])
 
-    return _input(docs).mapInArrow(run, MATCH)
+    return _input(docs).mapInArrow(lean(run), MATCH)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, work: str | None = None) -> DataFrame:
@@ -234,7 +234,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, work: str | None = None
             listed = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(hit), listed], names=["doc_id", "n_words", "n_hit", "items"])
 
-    judged = _input(docs).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
+    judged = _input(docs).mapInArrow(lean(run), "doc_id long, n_words long, n_hit long, items array<string>")
     return judged.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
@@ -255,4 +255,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, work: str | None = None
         for batch, n, hit, _ in judge(batches):
             yield batch.filter(pa.array(~((hit > 0) & (20 * hit >= n))))
 
-    return docs.mapInArrow(keep, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(lean(keep), T.StructType(docs.schema.fields))

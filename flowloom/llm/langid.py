@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, steps
+from .common import crc_mod, lean, steps
 from .sampling import sample
 
 BITS = 12
@@ -168,7 +168,7 @@ def fit(train: DataFrame, limit: int = SAMPLE_ROWS) -> Hierarchy | None:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["lang", "at", "x"])
 
     labelled = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null")
-    rows = sample(labelled, ["lang"], limit).mapInArrow(run, "lang string, at binary, x binary").collect()
+    rows = sample(labelled, ["lang"], limit).mapInArrow(lean(run), "lang string, at binary, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.x)))
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Hierarchy | None, least: float) -> DataFrame:
@@ -213,7 +213,7 @@ def keep_identified(docs: DataFrame, model: Hierarchy | None, least: float) -> D
                 pred, score = _judge(batch, model)
                 yield batch.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(pred, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def calibrated(train: DataFrame, share: float, floor: float) -> tuple[Hierarchy | None, float]:
@@ -238,7 +238,7 @@ def calibrated(train: DataFrame, share: float, floor: float) -> tuple[Hierarchy
                 yield pa.RecordBatch.from_arrays([pa.array(score[np.array(pred) == np.array(batch.column("lang").to_pylist())])], names=["score"])
 
     rows = held.where(chosen).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    scores = sorted(r.score for r in rows.mapInArrow(run, "score double").collect())
+    scores = sorted(r.score for r in rows.mapInArrow(lean(run), "score double").collect())
     k = int(share * (len(scores) + 1))
     return model, max(floor, scores[k - 1]) if k else floor
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sequences, gather, steps
+from .common import Sequences, gather, lean, steps
 
 BLANK = "▁"
 #: Bytes of text that are composed at once.
@@ -385,7 +385,7 @@ def _encoded(docs: DataFrame, model: str, schema: str, columns) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns(fst, batch, ids, size), names=[c.split()[0] for c in schema.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
@@ -421,4 +421,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             text = fst.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(lean(run), "doc_id long, text string")

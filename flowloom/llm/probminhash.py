@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hash_words, materialise, mix64, shared_dir, steps, words
+from .common import WordHashes, hash_words, lean, materialise, mix64, shared_dir, steps, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, work: str | None = None) -> DataFrame:
     """
     path = work or shared_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = materialise(docs.mapInArrow(_sign, "doc_id long, digest binary, sig binary, bands array<long>"), f"{path}/signed")
+    signed = materialise(docs.mapInArrow(lean(_sign), "doc_id long, digest binary, sig binary, bands array<long>"), f"{path}/signed")
     members = signed.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).drop("n")
     head = members.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = members.where("digest is not null").join(head, "digest").select("doc_id", "rep", "digest")
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, work: str | None = None) -> DataFrame:
     mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
     again = materialise(held.join(mixed, "key"), f"{path}/again")
     texts = docs.join(again.select("doc_id").distinct(), "doc_id", "left_semi")
-    packed = materialise(texts.mapInArrow(_pack, "doc_id long, packed binary"), f"{path}/packed")
+    packed = materialise(texts.mapInArrow(lean(_pack), "doc_id long, packed binary"), f"{path}/packed")
     weight = again.join(packed.select("doc_id", size.alias("bytes")), "doc_id").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("nb"))
     rest = (
         again.join(weight, "key").join(sig, "doc_id").join(packed, "doc_id")
@@ -296,7 +296,7 @@ def _signed_pairs(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     joined = pairs.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(
         sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a"
     )
-    return joined.mapInArrow(_equal, "a long, b long")
+    return joined.mapInArrow(lean(_equal), "a long, b long")
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
@@ -305,7 +305,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
         pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     )
-    return materialise(texts.mapInArrow(_verify, "a long, b long").distinct(), path)
+    return materialise(texts.mapInArrow(lean(_verify), "a long, b long").distinct(), path)
 
 
 def similarity(a: str | None, b: str | None) -> float:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, steps, words
+from .common import CACHE_WORDS, lean, steps, words
 from .sampling import bounded, sample
 
 SAMPLE_ROWS = 6_000
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], limit: i
                 x = pa.array([np.sort(f).tobytes() for f in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x, *(batch.column(c) for c in categories)], names=["doc_id", "x", *categories])
 
-    got = rows.mapInArrow(run, ", ".join(["doc_id long, x binary", *(f"{c} int" for c in categories)])).collect()
+    got = rows.mapInArrow(lean(run), ", ".join(["doc_id long, x binary", *(f"{c} int" for c in categories)])).collect()
     if all(r[list(categories)[-1]] is None for r in got):
         return None
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, chain: Chain | None, categories: list[str]) -> Data
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"p_{c} double" for c in categories), "toxic boolean"]))
+    return rows.mapInArrow(lean(run), ", ".join(["doc_id long", *(f"p_{c} double" for c in categories), "toxic boolean"]))
 
 
 def keep_civil(docs: DataFrame, chain: Chain | None) -> DataFrame:
@@ -191,4 +191,4 @@ def keep_civil(docs: DataFrame, chain: Chain | None) -> DataFrame:
         for batch, p in _scored(batches, chain):
             yield batch.filter(pa.array(p[:, -1] < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

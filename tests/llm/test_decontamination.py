@@ -90,3 +90,23 @@ def test_empty_tables(spark, corpus):
     docs, bench = _frames(spark, corpus)
     assert D.contamination(docs.limit(0), bench).count() == 0
     assert D.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_tasks_give_their_memory_back():
+    """What a task has freed doesn't stay with its worker, which later stages' tasks share an executor with."""
+    import os
+
+    from flowloom.llm.common import lean
+
+    def held() -> int:
+        return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    def run(batches):
+        pieces = [bytes(50_000) for _ in range(4_000)]  # below malloc's threshold for maps of their own
+        kept.append(bytes(50_000))  # keeps the heap's end in use
+        yield from batches
+        del pieces
+
+    kept, before = [], held()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert held() - before < 50_000_000
