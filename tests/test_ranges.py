@@ -1,5 +1,6 @@
 """Captures read in ranges equal captures read from end to end, whatever their payloads look like."""
 
+import io
 import random
 import struct
 
@@ -90,3 +91,32 @@ def test_summaries_are_few_and_walks_meet(tmp_path):
     with open(tmp_path / "b.pcap", "rb") as file:
         window = ranges.Window(file, len(prose))
         assert len(ranges.summarise(window, "<", 65_535, range(50_000, 60_000), 60_000)) < 200  # of 10,000 places
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("stretch,few", [(64, 0), (1 << 17, 16)])
+def test_walks_of_all_places_at_once_equal_walks_one_by_one(monkeypatch, order, stretch, few):
+    monkeypatch.setattr(ranges, "STRETCH", stretch)
+    monkeypatch.setattr(ranges, "FEW", few)
+    data = capture_bytes(false_friends(3, order)[:40], order, 0xA1B2C3D4)[: -7]
+    for longest in (200, 65_535):
+        for start, stop in ((24, len(data)), (1_000, 9_000), (5_000, 5_040), (len(data) - 20, len(data))):
+            window = lambda: ranges.Window(io.BytesIO(data), len(data))  # noqa: E731, B023
+            places = range(start, min(stop, start + 6_000))
+            assert ranges.summarise(window(), order, longest, places, stop) == ranges._walks(window(), order, longest, list(places), stop)
+
+
+def test_a_range_of_packets_is_summarised_by_few_reads():
+    """The walks from 65,551 places took a read each."""
+    data = capture_bytes([bytes(k % 40) + b"abc" for k in range(4_000)])
+
+    class Counted(ranges.Window):
+        takes = 0
+
+        def take(self, place, n):
+            self.takes += 1
+            return super().take(place, n)
+
+    window = Counted(io.BytesIO(data), len(data))
+    assert ranges.summarise(window, "<", 65_535, range(24, 24 + 65_551), 96 << 10)
+    assert window.takes < 10_000
