@@ -50,9 +50,11 @@ def signal_problems(fired: DataFrame) -> DataFrame:
 
 
 def chunk_problems(made: DataFrame, sections: DataFrame | None = None, max_chars: int | None = None) -> DataFrame:
-    """Chunks: text, counts, hashes' shape, places 0 to chunk_count - 1 of each section; with `sections` (document_id, section), that theirs exists."""
+    """Chunks: text, counts, hashes' shape, places 0 to chunk_count - 1 of each section; with `sections` (document_id, section), that theirs exists.
+
+    Chunks are read once: what rules they break is counted by section, and the sections are judged and looked up.
+    """
     by = ["document_id", "section"]
-    places = made.groupBy(*by).agg(F.count("*").alias("_n"), F.countDistinct("chunk_index").alias("_d"), F.max("chunk_count").alias("_c"), F.min("chunk_index").alias("_lo"), F.max("chunk_index").alias("_hi"))
     rules = {
         "empty text": (F.trim("text") != "") | (F.col("chunk_count") == 1), "length": F.col("char_count") == F.length("text"), "overlap": F.col("overlap_chars").between(0, F.col("char_count")),
         "first overlaps": (F.col("chunk_index") > 0) | (F.col("overlap_chars") == 0), "id": F.col("chunk_id").rlike(CHUNK_ID), "digest": F.col("content_sha256").rlike("^[0-9a-f]{64}$"),
@@ -60,10 +62,19 @@ def chunk_problems(made: DataFrame, sections: DataFrame | None = None, max_chars
     }
     if max_chars is not None:
         rules["too long"] = F.col("char_count") <= max_chars
-    out = _broken(made, rules).union(_broken(places, {"places": (F.col("_n") == F.col("_d")) & (F.col("_n") == F.col("_c")) & (F.col("_lo") == 0) & (F.col("_hi") == F.col("_c") - 1)}))
-    if sections is None:
-        return out
-    return out.union(_broken(made.join(sections.select(*by).distinct().withColumn("_known", F.lit(True)), by, "left"), {"unknown section": F.col("_known").isNotNull()}))
+    flags = made.select(*by, "chunk_index", "chunk_count", *[(~F.coalesce(ok, F.lit(False))).cast("long").alias(f"_{k}") for k, ok in enumerate(rules.values())])
+    groups = flags.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.countDistinct("chunk_index").alias("_d"), F.max("chunk_count").alias("_c"), F.min("chunk_index").alias("_lo"), F.max("chunk_index").alias("_hi"),
+        *[F.sum(f"_{k}").alias(f"_{k}") for k in range(len(rules))],
+    )
+    places = (F.col("_n") == F.col("_d")) & (F.col("_n") == F.col("_c")) & (F.col("_lo") == 0) & (F.col("_hi") == F.col("_c") - 1)
+    counts = {name: F.sum(f"_{k}") for k, name in enumerate(rules)} | {"places": F.count_if(~F.coalesce(places, F.lit(False)))}
+    if sections is not None:
+        groups = groups.join(sections.select(*by).distinct().withColumn("_known", F.lit(True)), by, "left")
+        counts["unknown section"] = F.sum(F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0))
+    found = groups.agg(*[n.alias(f"_{k}") for k, n in enumerate(counts.values())])
+    each = F.array(*[F.struct(F.lit(name).alias("problem"), F.col(f"_{k}").alias("n")) for k, name in enumerate(counts)])
+    return found.select(F.inline(each)).where("n > 0")
 
 
 def ranking_problems(ranked: DataFrame, by: list[str], per_document: int | None = None) -> DataFrame:
