@@ -9,6 +9,8 @@ in, so a key may hold any part of all rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,17 @@ KINDS = ["IP", "PORT", "APP", "DOMAIN", "PATTERN"]
 EDITS = "at timestamp, seq long, action string, kind string, value string"
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows in a folder of the checkpoint folder, where the session names one: what several branches of a plan read is computed once."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/rule-times-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def as_of(left: DataFrame, right: DataFrame, on: list[str], time: str, order: str, take: str, width: int = WIDTH) -> DataFrame:
     """The left rows with `take` of the right row with the same `on` that is last at or before them (null: none).
 
@@ -28,7 +41,8 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], time: str, order: st
     """
     bucket = F.floor(F.col(time) / width).cast("long")
     kind = right.schema[take].dataType
-    l = left.select(*on, F.col(time).alias("_t"), F.col(order).alias("_o"), bucket.alias("_b"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(kind).alias("_take"))
+    rest = [c for c in left.columns if c not in (*on, time, order)] or [time]
+    l = left.select(*on, F.col(time).alias("_t"), F.col(order).alias("_o"), bucket.alias("_b"), F.lit(1).alias("_side"), F.struct(*rest).alias("_row"), F.lit(None).cast(kind).alias("_take"))
     r = right.dropna(subset=on).select(*on, F.col(time).alias("_t"), F.col(order).alias("_o"), bucket.alias("_b"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(take).alias("_take"))
     ends = r.groupBy(*on, "_b").agg(F.max_by(F.struct("_take"), F.struct("_t", "_o")).alias("_end"))
     seen = l.groupBy(*on, "_b").agg(F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"))
@@ -38,7 +52,8 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], time: str, order: st
     inside = Window.partitionBy(*on, "_b").orderBy("_t", "_o", "_side").rowsBetween(Window.unboundedPreceding, 0)
     marked = l.union(r).withColumn("_last", F.last(F.when(F.col("_side") == 0, F.struct("_take")), ignorenulls=True).over(inside)).where("_side = 1")
     joined = marked.alias("m").join(carried.alias("c"), [*on, "_b"], "left")  # both are dealt out by these columns already
-    return joined.select("m._row.*", F.coalesce(F.col("m._last"), F.col("c._carried"))["_take"].alias(take))
+    own = {c: F.col(c) for c in on} | {time: F.col("m._t"), order: F.col("m._o")}
+    return joined.select(*[own.get(c, F.col(f"m._row.{c}")).alias(c) for c in left.columns], F.coalesce(F.col("m._last"), F.col("c._carried"))["_take"].alias(take))
 
 
 def versions(edits: DataFrame) -> DataFrame:
@@ -84,11 +99,12 @@ def block_reason_as_of(rows: DataFrame, edits: DataFrame, time: Column, ip: str
 
     An edit counts from its own time on. Rows keep all their columns; repeated rows are judged each by itself.
     """
-    key = rows.withColumns({"_id": F.md5(F.to_json(F.struct(ip, port, app, name, time.alias("_time")))), "time": F.unix_micros(time)})
+    key = _stored(rows.withColumns({"_id": F.unhex(F.md5(F.to_json(F.struct(ip, port, app, name, time.alias("_time"))))), "time": F.unix_micros(time)}))
+    edits = _stored(edits)
     distinct = key.where("time is not null").select("_id", "time", ip, port, app, name).distinct()
     asked = lookups(distinct, edits, ip, port, app, name).withColumn("order", F.lit(2**63 - 1))
-    known = versions(edits)
-    held = asked.join(known.select("kind", "value").distinct(), ["kind", "value"], "left_semi")  # what no rule was ever about needs no look back
+    known = _stored(versions(edits))
+    held = _stored(asked.join(known.select("kind", "value").distinct(), ["kind", "value"], "left_semi"))  # what no rule was ever about needs no look back
     found = as_of(held, known, ["kind", "value"], "time", "order", "blocked").where("blocked")
     rank = F.element_at(F.create_map(*[x for k, v in (("IP", 0), ("PORT", 1), ("APP", 2), ("DOMAIN", 3), ("PATTERN", 3)) for x in (F.lit(k), F.lit(v))]), F.col("kind"))
     first = found.groupBy("_id").agg(F.min(rank).alias("_rank"))

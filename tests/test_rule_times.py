@@ -117,3 +117,19 @@ def test_blocks_of_patterns_and_terms(spark, monkeypatch):
     monkeypatch.setattr(patterns, "BLOCK", 2)
     assert sorted(map(tuple, patterns.term_counts(rows, frame(["ab", "ABAB", "b a", "", None, "zz"])).collect())) == counts
     assert patterns.pattern_matches(named, frame([])).count() == 0 and patterns.term_counts(rows, frame([])).count() == 0
+
+
+def test_packets_are_computed_once(spark, tmp_path, monkeypatch):
+    """Where there is a folder for it, the plan's branches read what the packets ask instead of computing it again."""
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: str(tmp_path))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, START + timedelta(hours=k), "1.1.1.1", 80, "HTTP", "a.com") for k in range(50)]
+    packets = spark.createDataFrame(rows, "k int, at timestamp, src_ip_s string, dst_port int, app string, name string")
+    got = rule_times.block_reason_as_of(packets.mapInArrow(counted, packets.schema), spark.createDataFrame(edits_of(3, 60), rule_times.EDITS), F.col("at"))
+    assert got.count() == 50 and seen.value == 50
