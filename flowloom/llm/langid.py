@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lean, steps
+from .common import crc_mod, lean, materialise, shared_dir, steps
 from .sampling import sample
 
 BITS = 12
 BUCKETS = 1 << BITS
 SAMPLE_ROWS = 6_000
-#: Labelled rows that a threshold is set on at most.
-CALIBRATION_ROWS = 12_000
+#: Parts that scores are counted in, in each round of the search for one of them.
+SCORE_BINS = 1_024
 UNDETERMINED = "und"
 #: The family of common languages by ISO 639-1 code; others are a family of their own.
 FAMILIES = {
@@ -216,12 +216,27 @@ def keep_identified(docs: DataFrame, model: Hierarchy | None, least: float) -> D
     return docs.mapInArrow(lean(run), docs.schema)
 
 
+def kth_least(scores: DataFrame, k: int) -> float:
+    """The k-th least of the scores (score), from 1 on, exactly: counts in equal parts of a range, then within the part that holds it, until all in it are equal."""
+    inside, at = scores, F.lit(0)
+    while True:
+        parts = inside.groupBy(at.alias("part")).agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("part").collect()
+        for part in parts:
+            if k <= part.n:
+                break
+            k -= part.n
+        if part.lo == part.hi:
+            return part.lo
+        inside = scores.where(F.col("score").between(part.lo, part.hi))
+        at = F.floor((F.col("score") - part.lo) / (part.hi - part.lo) * SCORE_BINS)  # its ends are never in one part, so each round leaves less
+
+
 def calibrated(train: DataFrame, share: float, floor: float) -> tuple[Hierarchy | None, float]:
     """A model, and the least score that rejects at most `share` of the texts whose language it tells right.
 
     A third of the labelled rows, by a hash of the id, is kept from the model, and the score is a low rank among those of them
-    that it tells right (at most about CALIBRATION_ROWS): the k-th of n, k = share * (n + 1) rounded down. Where they are
-    too few for that rank, all rows are learnt from and `floor` is the score.
+    that it tells right: the k-th of n, k = share * (n + 1) rounded down. All kept rows count, whose scores stay in the shared folder.
+    Where they are too few for that rank, all rows are learnt from and `floor` is the score.
     """
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3))
     held = train.where("lang is not null").where(part == 0)
@@ -229,7 +244,6 @@ def calibrated(train: DataFrame, share: float, floor: float) -> tuple[Hierarchy
     if share * (n + 1) < 1:
         return fit(train), floor
     model = fit(train.where(part != 0))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_003)) < int(min(1.0, CALIBRATION_ROWS / n) * 1_000_003) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -237,10 +251,10 @@ def calibrated(train: DataFrame, share: float, floor: float) -> tuple[Hierarchy
                 pred, score = _judge(batch, model)
                 yield pa.RecordBatch.from_arrays([pa.array(score[np.array(pred) == np.array(batch.column("lang").to_pylist())])], names=["score"])
 
-    rows = held.where(chosen).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    scores = sorted(r.score for r in rows.mapInArrow(lean(run), "score double").collect())
-    k = int(share * (len(scores) + 1))
-    return model, max(floor, scores[k - 1]) if k else floor
+    rows = held.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    scores = materialise(rows.mapInArrow(lean(run), "score double"), f"{shared_dir(train.sparkSession)}/scores")
+    k = int(share * (scores.count() + 1))
+    return model, max(floor, kth_least(scores, k)) if k else floor
 
 
 def training_rows(documents: DataFrame) -> DataFrame:

@@ -174,3 +174,18 @@ def test_fits_are_bounded_where_documents_share_an_id(spark):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.fit(docs, labels, {"toxic": "toxic"}, limit=100) is not None
     assert quality.fit(docs, labels, limit=100) is not None
+
+
+def test_the_threshold_is_a_rank_among_all_kept_rows(spark, monkeypatch):
+    """No sample: the least score is met in every table, however many rows there are."""
+    rng = np.random.default_rng(4)
+    values = np.concatenate([1 - rng.random(3_000) ** 8, np.full(500, 0.25), [0.25 + 1e-16, 5e-324, 0.0, 1.0]])
+    scores = spark.createDataFrame([(float(v),) for v in values], "score double").repartition(5)
+    for k in (1, 2, 3, 250, 504, 2_000, len(values)):
+        assert langid.kth_least(scores, k) == sorted(values)[k - 1]
+    n = 40_000  # more than the 12,000 rows that were looked at
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    monkeypatch.setattr(langid, "fit", lambda train, *_: "model")
+    monkeypatch.setattr(langid, "_judge", lambda batch, model: (["en"] * batch.num_rows, np.array([int(t[5:]) / 40_000 for t in batch.column("text").to_pylist()])))
+    held = sorted(r.doc_id for r in docs.where("pmod(xxhash64(doc_id, 11), 3) = 0").collect())
+    assert langid.calibrated(docs, 0.005, 0.0) == ("model", held[int(0.005 * (len(held) + 1)) - 1] / n)
